@@ -33,7 +33,10 @@ DETECTOR_NAMES = ["DnsAnalyzer", "ProcessCorrelator", "FlowBehavior", "IpReputat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the cores when it is a single small file."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "events" and len(rows.inputFiles()) < cores else rows
 
 
 def div(a: Column, b: int) -> Column:
@@ -308,5 +311,5 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.alias("route_order"),
         F.when((n == 2) & (key % 2 == 0), "0.0.0.0").otherwise(F.concat(F.lit("172.16."), n.cast("string"), F.lit(".0"))).alias("dst"),
         gateway.alias("gateway"), pick(["lo0", "en0", "en0", "utun3"], n).alias("iface"),
-        ~((n < 3) & ((key + t) % 4 == 0)).alias("is_up"), ((n == 1) | (n == 2) | ((key % 5 == 0) & (n == 3))).alias("is_gateway"),
+        (~((n < 3) & ((key + t) % 4 == 0))).alias("is_up"), ((n == 1) | (n == 2) | ((key % 5 == 0) & (n == 3))).alias("is_gateway"),
     )

@@ -5,6 +5,8 @@ Addresses are canonical text. IPv4 is recognised by the absence of ``:``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,23 +40,38 @@ def v4_text(num: Column | str) -> Column:
     return F.concat_ws(".", *parts)
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def v6_hex(ip: Column | str) -> Column:
     """IPv6 text (``::`` and dotted tails allowed) as 32 hex digits."""
-    low = F.lower(_c(ip))
-    tail = F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    num = v4_num(tail)
-    hextets = F.concat(
-        F.hex(F.shiftright(num, 16)), F.lit(":"), F.hex(num.bitwiseAND(F.lit(65535)))
-    )
-    body = F.when(tail != "", F.concat(F.regexp_replace(low, r"\d+\.\d+\.\d+\.\d+$", ""), F.lower(hextets))).otherwise(low)
-    halves = F.split(body, "::", 2)
-    left = F.filter(F.split(halves[0], ":"), lambda x: x != "")
-    right = F.when(
-        F.size(halves) == 2, F.filter(F.split(F.get(halves, F.lit(1)), ":"), lambda x: x != "")
-    ).otherwise(F.array().cast("array<string>"))
-    gap = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    full = F.concat(left, F.array_repeat(F.lit("0000"), gap), right)
-    return F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), "")
+
+    def hextets(num: Column) -> Column:
+        return F.lower(F.concat(F.hex(F.shiftright(num, 16)), F.lit(":"), F.hex(num.bitwiseAND(F.lit(65535)))))
+
+    def without_tail(low: Column) -> Column:
+        dotted = F.concat(
+            F.regexp_replace(low, r"[^:]+$", ""), bind(v4_num(F.substring_index(low, ":", -1)), hextets)
+        )
+        return F.when(low.contains("."), dotted).otherwise(low)
+
+    def groups(text: Column) -> Column:
+        return F.filter(F.split(text, ":"), lambda x: x != "")
+
+    def fill(sides: Column) -> Column:
+        missing = F.greatest(F.lit(8) - F.size(sides["l"]) - F.size(sides["r"]), F.lit(0))
+        full = F.concat(sides["l"], F.array_repeat(F.lit("0000"), missing), sides["r"])
+        return F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), "")
+
+    def halves(text: Column) -> Column:
+        left, right = F.substring_index(text, "::", 1), F.substring_index(text, "::", -1)
+        return F.struct(
+            groups(left).alias("l"), groups(F.when(text.contains("::"), right).otherwise("")).alias("r")
+        )
+
+    return bind(F.lower(_c(ip)), lambda low: bind(without_tail(low), lambda text: bind(halves(text), fill)))
 
 
 def valid_v6(ip: Column | str) -> Column:
@@ -85,100 +102,74 @@ def ip_blob(ip: Column | str) -> Column:
     return F.unhex(ip_hex(ip))
 
 
-def ip_text(blob: Column | str) -> Column:
-    """Canonical text of a 16-byte address (mapped IPv4 prints as IPv4)."""
-    digits = F.lower(F.hex(_c(blob)))
-    v4 = v4_text(F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
-    hextets = [
-        F.regexp_replace(F.substring(digits, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)
-    ]
-    text = F.concat_ws(":", *hextets)
-    v6 = text
-    # The longest run of two or more zero groups, leftmost first, becomes "::".
-    for run in range(2, 9):
-        zeros = r"0(?::0){%d}" % (run - 1)
-        found = text.rlike(rf"(^|:){zeros}(:|$)")
-        v6 = F.when(found, F.regexp_replace(text, rf"^(.*?)(?:^|:){zeros}(?:$|:)(.*)$", "$1::$2")).otherwise(v6)
-    return F.when(digits.startswith(V4_MAPPED_PREFIX), v4).otherwise(v6)
-
-
-def _v4_or_v6(ip: Column, v4_rule: Column, v6_rule: Column) -> Column:
-    return F.when(is_v4(ip), v4_rule).otherwise(v6_rule)
-
-
-def _prefix(num: Column, bits: int) -> Column:
-    return F.shiftright(num, 32 - bits)
-
-
-def _private_v4(n: Column) -> Column:
-    return (_prefix(n, 8) == 10) | (_prefix(n, 12) == (172 << 4 | 1)) | (_prefix(n, 16) == (192 << 8 | 168))
-
-
-def _link_local_v4(n: Column) -> Column:
-    return _prefix(n, 16) == (169 << 8 | 254)
-
-
-def _link_local_v6(ip: Column) -> Column:
-    return ip.rlike("(?i)^fe[89ab][0-9a-f]:")
-
-
-def _multicast_v6(ip: Column) -> Column:
-    return ip.rlike("(?i)^ff[0-9a-f]{2}:")
-
-
-def _unique_local_v6(ip: Column) -> Column:
-    return ip.rlike("(?i)^f[cd][0-9a-f]{2}:")
+def ip_text(blob: Column | str, unmap: bool = True) -> Column:
+    """Canonical text of a 16-byte address; mapped IPv4 prints as IPv4, or as
+    an IPv6 address with a dotted tail without ``unmap``."""
+    def compress(text: Column) -> Column:
+        v6 = text
+        # The longest run of two or more zero groups, leftmost first, becomes "::".
+        for run in range(2, 9):
+            zeros = r"0(?::0){%d}" % (run - 1)
+            found = text.rlike(rf"(^|:){zeros}(:|$)")
+            v6 = F.when(found, F.regexp_replace(text, rf"^(.*?)(?:^|:){zeros}(?:$|:)(.*)$", "$1::$2")).otherwise(v6)
+        return v6
+
+    def print_digits(digits: Column) -> Column:
+        v4 = v4_text(F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
+        groups = F.concat_ws(":", *[
+            F.regexp_replace(F.substring(digits, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)
+        ])
+        mapped = v4 if unmap else F.concat(F.lit("::ffff:"), v4)
+        return F.when(digits.startswith(V4_MAPPED_PREFIX), mapped).otherwise(bind(groups, compress))
+
+    return bind(F.lower(F.hex(_c(blob))), print_digits)
+
+
+# Address blocks as text patterns. One pattern per rule keeps the
+# generated code small and parses nothing.
+_LOOPBACK = r"127\."
+_PRIVATE = r"10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\."
+_LINK_LOCAL = r"169\.254\."
+_BROADCAST = r"255\.255\.255\.255$"
+_UNSPECIFIED = r"0\.0\.0\.0$"
+_SHARED = r"100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
+_MULTICAST = r"2(2[4-9]|3\d)\."
+_LOOPBACK6, _UNSPECIFIED6 = "::1$", "::$"
+_LINK_LOCAL6 = "fe[89ab][0-9a-f]:"
+_UNIQUE_LOCAL6 = "f[cd][0-9a-f]{2}:"
+_MULTICAST6 = "ff[0-9a-f]{2}:"
+
+
+def _in_blocks(ip: Column | str, *blocks: str) -> Column:
+    return _c(ip).rlike("(?i)^(" + "|".join(blocks) + ")")
 
 
 def is_infrastructure(ip: Column | str) -> Column:
     """Broadcast or multicast destination."""
-    ip = _c(ip)
-    n = v4_num(ip)
-    return _v4_or_v6(ip, (n == 0xFFFFFFFF) | (_prefix(n, 4) == 14), _multicast_v6(ip))
+    return _in_blocks(ip, _BROADCAST, _MULTICAST, _MULTICAST6)
 
 
 def is_public(ip: Column | str) -> Column:
-    ip = _c(ip)
-    n = v4_num(ip)
-    local = (
-        (_prefix(n, 8) == 127) | _private_v4(n) | _link_local_v4(n) | (n == 0xFFFFFFFF) | (n == 0)
-        | (_prefix(n, 10) == (100 << 2 | 1))
+    return ~_in_blocks(
+        ip, _LOOPBACK, _PRIVATE, _LINK_LOCAL, _BROADCAST, _UNSPECIFIED, _SHARED, _LOOPBACK6, _UNSPECIFIED6, _UNIQUE_LOCAL6
     )
-    return _v4_or_v6(ip, ~local, ~(ip.isin("::1", "::") | _unique_local_v6(ip)))
 
 
 def is_private_v4_block(ip: Column | str) -> Column:
     """The three private IPv4 blocks only; false for IPv6."""
-    ip = _c(ip)
-    return _v4_or_v6(ip, _private_v4(v4_num(ip)), F.lit(False))
+    return _in_blocks(ip, _PRIVATE)
 
 
 def is_rfc1918(ip: Column | str) -> Column:
-    ip = _c(ip)
-    return _v4_or_v6(ip, _private_v4(v4_num(ip)), _link_local_v6(ip) | _unique_local_v6(ip) | (ip == "::1"))
+    return _in_blocks(ip, _PRIVATE, _LINK_LOCAL6, _UNIQUE_LOCAL6, _LOOPBACK6)
 
 
-def validation_error(ip: Column | str, ttl_ms: Column | str) -> Column:
-    """Why a block request is not acceptable; null when it is."""
-    ip, ttl = _c(ip), _c(ttl_ms)
-    n = v4_num(ip)
-    v4 = (
-        F.when(_prefix(n, 8) == 127, "LoopbackIp")
-        .when(n == 0xFFFFFFFF, "BroadcastIp")
-        .when(_prefix(n, 4) == 14, "MulticastIp")
-        .when(_link_local_v4(n), "LinkLocalIp")
-        .when(n == 0, "UnspecifiedIp")
-    )
-    v6 = (
-        F.when(ip == "::1", "LoopbackIp")
-        .when(_multicast_v6(ip), "MulticastIp")
-        .when(ip == "::", "UnspecifiedIp")
-        .when(_link_local_v6(ip), "LinkLocalIp")
-    )
-    return (
-        F.when(ttl < MIN_TTL_MS, "TtlTooSmall").when(ttl > MAX_TTL_MS, "TtlTooLarge")
-        .when(is_v4(ip), v4).otherwise(v6)
-    )
+def is_loopback(ip: Column | str) -> Column:
+    return _in_blocks(ip, _LOOPBACK, _LOOPBACK6)
+
+
+def is_unspecified(ip: Column | str) -> Column:
+    return _in_blocks(ip, _UNSPECIFIED, _UNSPECIFIED6)
 
 
 # Accepted block lifetimes.
@@ -186,31 +177,38 @@ MIN_TTL_MS = 30_000
 MAX_TTL_MS = 86_400_000
 
 
+def validation_error(ip: Column | str, ttl_ms: Column | str) -> Column:
+    """Why a block request is not acceptable; null when it is."""
+    ttl = _c(ttl_ms)
+    return (
+        F.when(ttl < MIN_TTL_MS, "TtlTooSmall").when(ttl > MAX_TTL_MS, "TtlTooLarge")
+        .when(is_loopback(ip), "LoopbackIp")
+        .when(_in_blocks(ip, _BROADCAST), "BroadcastIp")
+        .when(_in_blocks(ip, _MULTICAST, _MULTICAST6), "MulticastIp")
+        .when(_in_blocks(ip, _LINK_LOCAL, _LINK_LOCAL6), "LinkLocalIp")
+        .when(is_unspecified(ip), "UnspecifiedIp")
+    )
+
+
 def guard_reason(ip: Column | str, is_own: Column, is_gateway: Column) -> Column:
     """Why a remote must not be blocked, first match wins; null when it may be."""
-    ip = _c(ip)
-    v4 = is_v4(ip)
     # Reason texts.
     return (
         F.when(is_own, "remote is own IP")
         .when(is_gateway, "remote is default gateway")
         .when(is_infrastructure(ip), "remote is broadcast/multicast")
-        .when(v4 & _link_local_v4(v4_num(ip)), "remote is link-local")
-        .when(~v4 & ip.isin("::1", "::"), "remote is IPv6 loopback/unspecified")
-        .when(~v4 & _link_local_v6(ip), "remote is IPv6 link-local")
+        .when(_in_blocks(ip, _LINK_LOCAL), "remote is link-local")
+        .when(_in_blocks(ip, _LOOPBACK6, _UNSPECIFIED6), "remote is IPv6 loopback/unspecified")
+        .when(_in_blocks(ip, _LINK_LOCAL6), "remote is IPv6 link-local")
     )
 
 
-def address_order(ip: Column | str, port: Column | str) -> Column:
-    """Sortable (family, address, port): every IPv4 before every IPv6."""
-    ip = _c(ip)
-    return F.struct(F.when(is_v4(ip), 4).otherwise(6).alias("f"), ip_hex(ip).alias("h"), _c(port).alias("p"))
-
+def not_after(ip1: Column, num1: Column, port1: Column, ip2: Column, num2: Column, port2: Column) -> Column:
+    """(ip1, port1) <= (ip2, port2), every IPv4 before every IPv6.
 
-def not_after(ip1: Column, port1: Column, ip2: Column, port2: Column) -> Column:
-    """(ip1, port1) <= (ip2, port2); two IPv4 addresses compare as numbers."""
-    n1, n2 = v4_num(ip1), v4_num(ip2)
-    numeric = (n1 < n2) | ((n1 == n2) & (port1 <= port2))
-    return F.when(is_v4(ip1) & is_v4(ip2), numeric).otherwise(
-        address_order(ip1, port1) <= address_order(ip2, port2)
-    )
+    ``num1`` and ``num2`` are the ``v4_num`` of the addresses, null for IPv6.
+    """
+    numeric = (num1 < num2) | ((num1 == num2) & (port1 <= port2))
+    text = F.struct(v6_hex(ip1), port1) <= F.struct(v6_hex(ip2), port2)
+    both = num1.isNotNull() & num2.isNotNull()
+    return F.when(both, numeric).when(num1.isNotNull(), True).when(num2.isNotNull(), False).otherwise(text)

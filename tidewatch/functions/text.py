@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.ip import OCTET
+from tidewatch.functions.ip import OCTET, bind
 
 
 def _c(col: Column | str) -> Column:
@@ -14,19 +14,19 @@ def _c(col: Column | str) -> Column:
 
 def shannon_entropy(text: Column | str) -> Column:
     """Bits per byte of the UTF-8 text; 0 for empty text."""
-    digits = F.hex(F.encode(_c(text), "utf-8"))
-    n = F.length(digits) / 2
-    count = F.length(digits).cast("int") / 2
-    octets = F.transform(
-        F.sequence(F.lit(1), F.greatest(count.cast("int"), F.lit(1))), lambda i: F.substring(digits, i * 2 - 1, F.lit(2))
-    )
-
-    def term(acc: Column, octet: Column) -> Column:
-        p = F.size(F.filter(octets, lambda o: o == octet)) / n
-        return acc - p * F.log2(p)
-
-    bits = F.aggregate(F.array_sort(F.array_distinct(octets)), F.lit(0.0), term)
-    return F.when(F.length(digits) == 0, F.lit(0.0)).otherwise(bits)
+    # One character per byte, so that lengths are byte counts.
+    chars = F.decode(F.encode(_c(text), "utf-8"), "iso-8859-1")
+
+    def bits(s: Column) -> Column:
+        n = F.length(s).cast("double")
+
+        def term(acc: Column, char: Column) -> Column:
+            return bind((n - F.length(F.replace(s, char, F.lit("")))) / n, lambda p: acc - p * F.log2(p))
+
+        total = F.aggregate(F.array_sort(F.array_distinct(F.split(s, ""))), F.lit(0.0), term)
+        return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(total)
+
+    return bind(chars, bits)
 
 
 def labels(host: Column | str) -> Column:

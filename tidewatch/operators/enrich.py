@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,27 +54,22 @@ def asof_ptr(flows: DataFrame, records: DataFrame, ip: str = "remote_ip", at: st
     return asof_join(flows.drop("dns_name"), names, [ip], at, "ts_us", ["dns_name"])
 
 
-def _prefix(ip: Column, bits: Column) -> Column:
-    """The first ``bits`` bits of an address as text comparable per length."""
-    v4 = F.call_function("shiftright", ips.v4_num(ip), F.lit(32) - bits).cast("string")
-    digits = ips.v6_hex(ip)
-    whole = F.call_function("div", bits, F.lit(4)).cast("int")
-    rest = (bits % 4).cast("int")
-    nibble = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
-    v6 = F.concat(
-        F.substring(digits, F.lit(1), whole),
-        F.when(rest > 0, F.call_function("shiftright", nibble, F.lit(4) - rest).cast("string")).otherwise(""),
-    )
-    return F.when(ips.is_v4(ip), v4).otherwise(v6)
+def _with_bits(df: DataFrame, ip: str) -> DataFrame:
+    """Add family, IPv4 number and IPv6 digits of an address."""
+    v4 = ips.is_v4(ip)
+    return df.withColumns({
+        "_family": F.when(v4, 4).otherwise(6), "_num": ips.v4_num(ip), "_hex": F.when(~v4, ips.v6_hex(ip)),
+    })
 
 
-def parse_networks(networks: DataFrame, column: str = "network") -> DataFrame:
-    """Add family, prefix length and prefix bits of CIDR text."""
-    address = F.split_part(F.col(column), F.lit("/"), F.lit(1))
-    return networks.withColumn("_addr", address).withColumns({
-        "_family": F.when(ips.is_v4("_addr"), 4).otherwise(6),
-        "_bits": F.split_part(F.col(column), F.lit("/"), F.lit(2)).cast("int"),
-    }).withColumn("_prefix", _prefix(F.col("_addr"), F.col("_bits"))).drop("_addr")
+def _prefix() -> Column:
+    """The first ``_bits`` bits of an address as text comparable per length."""
+    bits = F.col("_bits")
+    v4 = F.call_function("shiftright", F.col("_num"), F.lit(32) - bits).cast("string")
+    whole = F.call_function("div", bits, F.lit(4)).cast("int")
+    nibble = F.conv(F.substring("_hex", whole + 1, F.lit(1)), 16, 10).cast("int")
+    part = F.when(bits % 4 > 0, F.call_function("shiftright", nibble, (F.lit(4) - bits % 4)).cast("string")).otherwise("")
+    return F.when(F.col("_family") == 4, v4).otherwise(F.concat(F.substring("_hex", F.lit(1), whole), part))
 
 
 def longest_prefix(addresses: DataFrame, networks: DataFrame, values: list[str], ip: str = "ip") -> DataFrame:
@@ -80,40 +77,67 @@ def longest_prefix(addresses: DataFrame, networks: DataFrame, values: list[str],
 
     Addresses are expanded to the prefix lengths that occur and hash-joined on
     the prefix, so there is no range comparison of addresses with networks.
-    Equal networks resolve to the largest values.
+    Each value comes from the longest network that has one; equal networks
+    resolve to the largest value.
     """
-    nets = parse_networks(networks).select("_family", "_bits", "_prefix", *values)
+    split = networks.select(
+        F.split_part(F.col("network"), F.lit("/"), F.lit(1)).alias("_addr"),
+        F.split_part(F.col("network"), F.lit("/"), F.lit(2)).try_cast("int").alias("_bits"), *values,
+    )
+    nets = _with_bits(split, "_addr").withColumn("_prefix", _prefix()).select("_family", "_bits", "_prefix", *values)
     # At most 33 + 129 rows whatever the network table holds.
     lengths = F.broadcast(nets.select("_family", "_bits").distinct())
     wanted = addresses.select(F.col(ip).alias("_ip")).filter(F.col("_ip").isNotNull()).distinct()
-    expanded = wanted.withColumn("_family", F.when(ips.is_v4("_ip"), 4).otherwise(6)).join(lengths, "_family")
-    hits = expanded.withColumn("_prefix", _prefix(F.col("_ip"), F.col("_bits"))).join(nets, ["_family", "_bits", "_prefix"])
-    best = hits.groupBy("_ip").agg(F.max(F.struct("_bits", *values)).alias("_best"))
-    return best.select(F.col("_ip").alias(ip), *[F.col(f"_best.{v}").alias(v) for v in values])
+    expanded = _with_bits(wanted, "_ip").join(lengths, "_family").withColumn("_prefix", _prefix())
+    hits = expanded.select("_ip", "_family", "_bits", "_prefix").join(nets, ["_family", "_bits", "_prefix"])
+    best = hits.groupBy("_ip").agg(*[
+        F.max(F.when(F.col(v).isNotNull(), F.struct("_bits", v))).alias(f"_best_{v}") for v in values
+    ])
+    return best.select(F.col("_ip").alias(ip), *[F.col(f"_best_{v}.{v}").alias(v) for v in values])
+
+
+def lookup_networks(
+    countries: DataFrame | None = None, asns: DataFrame | None = None, lists: DataFrame | None = None
+) -> DataFrame | None:
+    """All network tables as one, so that one pass over addresses serves all."""
+    parts = []
+    if countries is not None:
+        parts.append(countries.select("network", "country_code"))
+    if asns is not None:
+        parts.append(asns.select("network", "asn"))
+    if lists is not None:
+        parts.append(lists.filter("is_network").select(F.col("entry").alias("network"), F.col("score").alias("_net_score")))
+    if not parts:
+        return None
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def geo_lookup(
     addresses: DataFrame, countries: DataFrame, asns: DataFrame | None = None, ip: str = "ip"
 ) -> DataFrame:
-    """Distinct public addresses with country and, if known, ASN."""
-    wanted = addresses.select(ip).distinct().filter(ips.is_public(ip))
-    result = wanted.join(longest_prefix(wanted, countries, ["country_code"], ip), ip, "left")
-    if asns is None:
-        return result.withColumn("asn", F.lit(None).cast("bigint"))
-    return result.join(longest_prefix(wanted, asns, ["asn"], ip), ip, "left")
+    """Public addresses (distinct) with country and, if known, ASN."""
+    wanted = addresses.select(ip).filter(ips.is_public(ip)).distinct()
+    networks = lookup_networks(countries, asns)
+    values = [c for c in networks.columns if c != "network"]
+    result = wanted.join(longest_prefix(wanted, networks, values, ip), ip, "left")
+    return result if asns is not None else result.withColumn("asn", F.lit(None).cast("bigint"))
+
+
+def _exact_scores(lists: DataFrame, ip: str) -> DataFrame:
+    exact = lists.filter(~F.col("is_network"))
+    return exact.groupBy(F.col("entry").alias(ip)).agg(F.max("score").alias("_exact_score"))
 
 
 def reputation_lookup(addresses: DataFrame, lists: DataFrame, scored: DataFrame, ip: str = "ip") -> DataFrame:
-    """Distinct public addresses with their reputation: the scored feed, else a
-    listed network, else a listed address, else null."""
-    wanted = addresses.select(ip).distinct().filter(ips.is_public(ip))
-    exact = lists.filter(~F.col("is_network")).select(F.col("entry").alias(ip), F.col("score").alias("_exact")).distinct()
-    networks = lists.filter("is_network").select(F.col("entry").alias("network"), F.col("score").alias("_net"))
+    """Public addresses (distinct) with their reputation: the scored feed, else
+    a listed network, else a listed address, else null."""
+    wanted = addresses.select(ip).filter(ips.is_public(ip)).distinct()
+    networks = lookup_networks(lists=lists)
     return (
-        wanted.join(scored.select(F.col("ip").alias(ip), F.col("score").alias("_csv")), ip, "left")
-        .join(longest_prefix(wanted, networks, ["_net"], ip), ip, "left")
-        .join(exact, ip, "left")
-        .select(ip, F.coalesce("_csv", "_net", "_exact").alias("reputation_score"))
+        wanted.join(scored.select(F.col("ip").alias(ip), F.col("score").alias("_csv_score")), ip, "left")
+        .join(longest_prefix(wanted, networks, ["_net_score"], ip), ip, "left")
+        .join(_exact_scores(lists, ip), ip, "left")
+        .select(ip, F.coalesce("_csv_score", "_net_score", "_exact_score").alias("reputation_score"))
     )
 
 
@@ -149,11 +173,19 @@ def enrich(
         d = interval_process(d, processes)
     if ptr is not None:
         d = asof_ptr(d, ptr)
-    d = d.withColumn("enrich_ip", enrichable_ip())
-    if countries is not None:
-        d = attach_enrichment(d, geo_lookup(d, countries, asns, "enrich_ip"), ["enrich_ip"])
+    target = enrichable_ip()
+    d = d.withColumn("enrich_ip", F.when(ips.is_public(target), target))
+    networks = lookup_networks(countries, asns, lists)
+    if networks is not None:
+        values = [c for c in networks.columns if c != "network"]
+        d = d.join(longest_prefix(d, networks, values, "enrich_ip"), "enrich_ip", "left")
     if lists is not None and scored is not None:
-        d = attach_enrichment(d, reputation_lookup(d, lists, scored, "enrich_ip"), ["enrich_ip"])
+        d = (
+            d.join(scored.select(F.col("ip").alias("enrich_ip"), F.col("score").alias("_csv_score")), "enrich_ip", "left")
+            .join(_exact_scores(lists, "enrich_ip"), "enrich_ip", "left")
+            .withColumn("reputation_score", F.coalesce("_csv_score", "_net_score", "_exact_score"))
+            .drop("_csv_score", "_net_score", "_exact_score")
+        )
     types = {"dns_name": "string", "process_path": "string", "process_start_us": "bigint", "country_code": "string",
              "asn": "bigint", "reputation_score": "float", "pid": "bigint"}
     missing = {c: F.lit(None).cast(t) for c, t in types.items() if c not in d.columns}

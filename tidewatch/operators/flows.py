@@ -19,8 +19,12 @@ REEVALUATE_US = SECOND_US
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Order the two (ip, port) ends so that both directions share one key."""
-    src_first = ips.not_after(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
-    return packets.withColumn("src_is_a", src_first).withColumns(_ends(F.col("src_is_a"), "src", "dst", "a", "b"))
+    src_first = ips.not_after(
+        F.col("src_ip"), F.col("_src_num"), F.col("src_port"), F.col("dst_ip"), F.col("_dst_num"), F.col("dst_port")
+    )
+    numbered = packets.withColumns({"_src_num": ips.v4_num("src_ip"), "_dst_num": ips.v4_num("dst_ip")})
+    keyed = numbered.withColumn("src_is_a", src_first).drop("_src_num", "_dst_num")
+    return keyed.withColumns(_ends(F.col("src_is_a"), "src", "dst", "a", "b"))
 
 
 def _ends(flag: Column, yes: str, no: str, first: str, second: str) -> dict[str, Column]:

@@ -31,14 +31,13 @@ def broadcast_address(ip: Column, mask: Column) -> Column:
 
 def own_addresses(interfaces: DataFrame) -> DataFrame:
     """(host, ip): interface addresses and their subnet broadcasts."""
-    used = interfaces.filter(~F.col("is_loopback") & ~F.col("ip").isin("0.0.0.0", "::"))
+    used = interfaces.filter(~F.col("is_loopback") & ~ips.is_unspecified("ip"))
     both = F.array(F.col("ip"), broadcast_address(F.col("ip"), F.col("mask")))
     return used.select("host", F.explode(F.array_compact(both)).alias("ip")).distinct()
 
 
 def usable_gateway(gateway: Column) -> Column:
-    loopback = F.when(ips.is_v4(gateway), ips.v4_num(gateway).between(127 << 24, (128 << 24) - 1)).otherwise(gateway == "::1")
-    return gateway.isNotNull() & ~loopback & ~gateway.isin("0.0.0.0", "::")
+    return gateway.isNotNull() & ~ips.is_loopback(gateway) & ~ips.is_unspecified(gateway)
 
 
 def vpn_peers(routes: DataFrame, own: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,19 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written once as a columnar table and read back.
+
+    For results that several later jobs read: each of them then reads only
+    the columns it needs, and a lost executor costs no recomputation.
+    """
+    use_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

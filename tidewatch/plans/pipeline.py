@@ -12,6 +12,7 @@ from tidewatch.operators.audit import cooldown
 from tidewatch.operators.decide import Policy, block_guard, decide
 from tidewatch.operators.enrich import enrich
 from tidewatch.operators.flows import flows, resolved_only
+from tidewatch.plans.lineage import stage
 
 
 def score_flows(flow_rows: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -38,10 +39,13 @@ def packet_verdicts(
 ) -> DataFrame:
     """One decided row per flow.
 
+    Enriched flows are written once: the cross-flow sweeps read narrow slices
+    of them several times.
+
     ``prepare`` runs on the bare flows (for example to attach a pid known at
     capture); ``dimensions`` are the arguments of ``enrich``.
     """
-    enriched = enrich(prepare(flows(packets)), **dimensions)
+    enriched = stage(enrich(prepare(flows(packets)), **dimensions))
     return decide(score_flows(enriched, excluded), policy)
 
 
@@ -49,7 +53,11 @@ def actionable(
     decided: DataFrame, own_ips: DataFrame | None = None, gateways: DataFrame | None = None
 ) -> DataFrame:
     """Alerts, and the Blocks that are carried out: the remote is not exempt
-    and no earlier Block of it is still in force."""
+    and no earlier Block of it is still in force.
+
+    Give it a written table (``lineage.stage``): filters on the verdict would
+    otherwise repeat the whole scoring expression.
+    """
     alerts = decided.filter("verdict = 'Alert'")
     guarded = block_guard(decided.filter("verdict = 'Block'"), own_ips, gateways)
     allowed = guarded.filter(F.col("skip_reason").isNull()).drop("skip_reason").withColumn("_ttl_us", F.col("ttl_ms") * 1000)

@@ -22,7 +22,7 @@ def read_frames(spark: SparkSession, path: str, streaming: bool = False, **optio
 
 def _number(frame: Column, start: Column | int, size: int) -> Column:
     """Big-endian unsigned number at a zero-based byte offset."""
-    at = (F.lit(start) if isinstance(start, int) else start) + 1
+    at = F.lit(start + 1) if isinstance(start, int) else (start + 1).cast("int")
     return F.conv(F.hex(F.substring(frame, at, F.lit(size))), 16, 10).cast("bigint")
 
 
@@ -31,6 +31,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
 
     The other columns of ``frames`` are kept.
     """
+    columns = [c for c in frames.columns if c != "frame"]
     frame = F.col("frame")
     size = F.octet_length(frame)
     # Ethertypes, header sizes and transport numbers.
@@ -49,11 +50,10 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     whole = F.when(v4, (transport >= 34) & room).when(v6, ~has_ports | room).otherwise(False)
     kept = shaped.filter(transport.isNotNull() & whole)
     payload = _number(frame, 18, 2)
-    columns = [c for c in frames.columns if c != "frame"]
     return kept.select(
         *columns,
-        F.when(v4, v4_text(_number(frame, 26, 4))).otherwise(ip_text(F.substring(frame, 23, 16))).alias("src_ip"),
-        F.when(v4, v4_text(_number(frame, 30, 4))).otherwise(ip_text(F.substring(frame, 39, 16))).alias("dst_ip"),
+        F.when(v4, v4_text(_number(frame, 26, 4))).otherwise(ip_text(F.substring(frame, 23, 16), unmap=False)).alias("src_ip"),
+        F.when(v4, v4_text(_number(frame, 30, 4))).otherwise(ip_text(F.substring(frame, 39, 16), unmap=False)).alias("dst_ip"),
         F.when(has_ports, _number(frame, transport, 2)).otherwise(0).cast("int").alias("src_port"),
         F.when(has_ports, _number(frame, transport + 2, 2)).otherwise(0).cast("int").alias("dst_port"),
         "protocol",

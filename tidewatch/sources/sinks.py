@@ -50,6 +50,7 @@ def verdict_rows(decided: DataFrame, ts_ms=None) -> DataFrame:
 
 
 def write_verdicts(decided: DataFrame, path: str) -> None:
+    """``decided`` should be a written table (``lineage.stage``)."""
     append(verdict_rows(decided), path)
 
 
