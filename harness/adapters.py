@@ -60,14 +60,17 @@ def user_ip(user: Column) -> Column:
                        F.pmod(div(user, 256), F.lit(256)).cast("string"), F.pmod(user, F.lit(256)).cast("string"))
 
 
-def squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def squeezed(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    if streaming:
+        events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    return events.select(
         "event_id", "user_id", "event_type", "value", div(epoch_us() - EPOCH_US, SQUEEZE).alias("us")
     )
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = squeezed(spark, sf_dir)
+def packets(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    ev = squeezed(spark, sf_dir, streaming)
     n = by_type(view=3, click=2, signup=8, purchase=20, error=1)
     burst = F.when(F.col("value") >= BURST_VALUE, by_type(view=0, click=90, signup=7, purchase=60, error=240)).otherwise(0)
 
@@ -222,7 +225,7 @@ def enforcement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         div(epoch_us(), 1000).alias("ts_ms"),
         F.when(block, "Block").otherwise("Unblock").alias("action"),
         ips.ip_blob(ip).alias("ip_blob"), ip.alias("ip_text"),
-        F.when(block, (60000 + F.floor("value") * 40000)).cast("bigint").alias("ttl_ms"),
+        F.when(block, (60000 + F.floor("value") * 4000000)).cast("bigint").alias("ttl_ms"),
         F.concat(F.lit("rule "), (F.col("event_id") % 9).cast("string")).alias("reason"),
         pick(DETECTOR_NAMES, F.col("event_id") % 6).alias("detector"),
         (F.least(F.floor("value"), F.lit(100)) / 100).alias("score"),

@@ -17,10 +17,13 @@ from harness.sql import KEY, LOG_IP, build, code, f, infra, num, public, rfc1918
 from tidewatch.functions import ip as ips
 from tidewatch.functions import text
 from tidewatch.operators import audit, crossflow, decide, detectors, domains, enrich, flows, registry, reports, topology
-from tidewatch.plans.lineage import stage
+from tidewatch.plans.lineage import stage, work_folder
 from tidewatch.plans.pipeline import actionable, packet_verdicts, score_flows
 from tidewatch.schema import DETECTORS, FINDING, FLOW_KEY, VERDICT_KEY
+from tidewatch.session import STATE_STORE
 from tidewatch.sources import feeds, packets as packet_sources, sinks
+from tidewatch.streaming import stateful, windows
+from tidewatch.streaming.sink import stream_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -795,3 +798,60 @@ FROM (SELECT *, split_part(detectors,',',1) AS top, list_transform(string_split(
 def _(spark, sf):
     feed = reports.activity_feed(A.verdicts(spark, sf), A.findings(spark, sf), 1000)
     return reports.explain_why(reports.explain_verdict(feed)).select("verdict_id", "sentence", "why")
+
+
+# -- streams -----------------------------------------------------------------
+# Each reads the events as a file stream to its end. Rows after the last
+# watermark stay in state, so the statements stop there too.
+
+def drained(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    folder = work_folder(spark)
+    stream_sink(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def packet_stream(spark, sf):
+    return A.packets(spark, sf, streaming=True).withColumn("ts", F.timestamp_micros("ts_us"))
+
+
+_MARK = "(SELECT (max(ts_us)-10000000)//1000*1000 FROM {0})"
+
+
+@query("stream_flows", f"SELECT flow_id, packet_count, byte_count, remote_ip, first_us, last_us FROM net_flows WHERE last_us+4999999<={_MARK.format('packets')}")
+def _(spark, sf):
+    return drained(spark, windows.stream_flows(packet_stream(spark, sf)).select(
+        "flow_id", "packet_count", "byte_count", "remote_ip", "first_us", "last_us"))
+
+
+@query("stream_connections", f"SELECT {KEY}, first_us FROM bare_flows")
+def _(spark, sf):
+    return drained(spark, stateful.stream_connections(packet_stream(spark, sf))).select(*FLOW_KEY, "first_us")
+
+
+def connection_stream(spark, sf):
+    """New flows written by a batch job, read as a stream."""
+    events = crossflow.connections(net_flows(spark, sf)).withColumn("ts", F.timestamp_micros("ts_us"))
+    folder = work_folder(spark)
+    events.write.parquet(f"{folder}/connections")
+    return spark.readStream.schema(events.schema).parquet(f"{folder}/connections")
+
+
+@query("stream_scan_dns", f"""SELECT pid0 AS pid, remote_ip, min(ts_us) AS first_us, count(*) AS scan_count, CAST(sum(CASE WHEN protocol=17 AND remote_port=53 THEN 1 ELSE 0 END) AS BIGINT) AS dns_count
+FROM conn_marked GROUP BY pid0, remote_ip, run HAVING max(ts_us)+60000000<={_MARK.format("conn")}""")
+def _(spark, sf):
+    return drained(spark, windows.stream_scan_dns(connection_stream(spark, sf)))
+
+
+@query("stream_running_counts", """SELECT scan_count, dns_count, count(*) AS flows FROM (SELECT count(*) OVER w AS scan_count,
+  CAST(sum(CASE WHEN protocol=17 AND remote_port=53 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS dns_count FROM conn_marked WINDOW w AS (PARTITION BY pid0, remote_ip, run ORDER BY ts_us, flow_id ROWS UNBOUNDED PRECEDING)) GROUP BY ALL""")
+def _(spark, sf):
+    rows = drained(spark, stateful.stream_running_counts(connection_stream(spark, sf)))
+    return rows.groupBy("scan_count", "dns_count").agg(F.count("*").alias("flows"))
+
+
+@query("stream_diversity", f"""SELECT pid, window_end_us, count(DISTINCT remote_ip) AS distinct_ips, count(*) AS pid_connections FROM (
+  SELECT pid, remote_ip, unnest(generate_series(ts_us//1000000*1000000+1000000, ts_us//1000000*1000000+10000000, 1000000)) AS window_end_us FROM conn WHERE pid IS NOT NULL)
+GROUP BY ALL HAVING window_end_us<={_MARK.format("conn")}""")
+def _(spark, sf):
+    return drained(spark, windows.stream_diversity(connection_stream(spark, sf)))

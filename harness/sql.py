@@ -177,7 +177,7 @@ SELECT n, arg_max(score, line_no) AS score FROM (SELECT c_custkey AS line_no, (c
 LOG_IP = "'203.0.' || (user_id//256%256) || '.' || (user_id%256)"
 cte("log", f"""
 SELECT 'e' || event_id AS event_id, epoch_us(ts)//1000 AS ts_ms, CASE WHEN event_type='purchase' THEN 'Block' ELSE 'Unblock' END AS action,
-  {LOG_IP} AS ip_text, CASE WHEN event_type='purchase' THEN 60000+CAST(floor(value) AS BIGINT)*40000 END AS ttl_ms,
+  {LOG_IP} AS ip_text, CASE WHEN event_type='purchase' THEN 60000+CAST(floor(value) AS BIGINT)*4000000 END AS ttl_ms,
   'rule ' || event_id%9 AS reason, {arr(DETECTOR_NAMES, "event_id%6")} AS detector, least(floor(value),100)/100 AS score,
   CASE WHEN event_id%11=0 THEN 'send failed' END AS error FROM events WHERE event_type IN ('purchase','error')
 """)

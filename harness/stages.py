@@ -82,6 +82,7 @@ cte("pool_ips", f"SELECT DISTINCT CASE WHEN {public('dst_ip')} THEN dst_ip ELSE
 cte("pool_geo", f"""
 SELECT q.ip, arg_max(t.country_code, (t.plen, t.country_code)) AS country_code, arg_max(t.asn, (t.plen, t.asn)) AS asn
 FROM pool_ips q JOIN nets t ON {num("q.ip")} BETWEEN t.lo AND t.hi WHERE {public("q.ip")} GROUP BY q.ip
+UNION ALL SELECT q.ip, max(t.country_code), max(t.asn) FROM pool_ips q JOIN nets6 t ON regexp_replace(q.ip, '^2001:db8::.*', '2001:db8:0')=t.prefix GROUP BY q.ip
 """)
 cte("pool_rep", f"""
 SELECT ip, CASE WHEN {num("ip")} IN (SELECT n FROM csv_feed) THEN (SELECT max(score) FROM csv_feed c WHERE c.n={num("q.ip")})

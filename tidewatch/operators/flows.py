@@ -73,16 +73,24 @@ def flows(packets: DataFrame, idle_us: int = IDLE_US, extra_keys: list[str] | No
     """
     keys = [*FLOW_KEY, *(extra_keys or [])]
     keyed = with_flow_key(with_ts_us(packets))
-    # Time and direction of the first packet in one sortable number; packets
-    # of equal time count in a-to-b order.
-    first_direction = F.col("ts_us") * 2 + F.when(F.col("src_is_a"), 0).otherwise(1)
     aggs = {
         "packet_count": ("sum", F.lit(1).cast("bigint")),
         "byte_count": ("sum", F.col("length").cast("bigint")),
-        "_direction": ("min", first_direction),
+        "_direction": ("min", time_and_direction()),
     }
     firsts = ("local_ip",) if "local_ip" in packets.columns else ()
     runs = islands(keyed, keys, "ts_us", idle_us, aggs, split_at_gap=True, firsts=firsts)
+    return describe(runs, keys, idle_us)
+
+
+def time_and_direction() -> Column:
+    """Time and direction of a packet in one sortable number; packets of equal
+    time count in a-to-b order."""
+    return F.col("ts_us") * 2 + F.when(F.col("src_is_a"), 0).otherwise(1)
+
+
+def describe(runs: DataFrame, keys: list[str], idle_us: int = IDLE_US) -> DataFrame:
+    """Flow columns that follow from a session's key, times and direction."""
     a_first = F.pmod(F.col("_direction"), F.lit(2)) == 0
     described = runs.withColumns(_ends(a_first, "a", "b", "src", "dst")).drop("_direction")
     described = described.withColumns({

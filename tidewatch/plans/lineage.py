@@ -20,15 +20,20 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder."""
+    use_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{folder}/work-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written once as a columnar table and read back.
 
     For results that several later jobs read: each of them then reads only
     the columns it needs, and a lost executor costs no recomputation.
     """
-    use_checkpoint_dir(df.sparkSession)
-    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
