@@ -50,7 +50,7 @@ def net_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rich_flows(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.enrich(net_flows(spark, sf), **dimensions(spark, sf))
+    return enrich.enrich(staged_flows(spark, sf), **dimensions(spark, sf))
 
 
 def staged_flows(spark: SparkSession, sf: str) -> DataFrame:
@@ -808,7 +808,7 @@ def drained(spark: SparkSession, rows: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     folder = work_folder(spark)
     stream_sink(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out").select(*rows.columns)
 
 
 def packet_stream(spark, sf):

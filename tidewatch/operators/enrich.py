@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import ip as ips
 from tidewatch.operators.flows import enrichable_ip
+from tidewatch.plans.lineage import stage
 from tidewatch.plans.sliced import asof_join, running
 
 
@@ -155,6 +156,27 @@ def attach_enrichment(flows: DataFrame, updates: DataFrame, on: list[str]) -> Da
     return joined.withColumns(merged).drop(*[f"_new_{c}" for c in fields])
 
 
+def address_facts(
+    flows: DataFrame, countries: DataFrame | None, asns: DataFrame | None, lists: DataFrame | None,
+    scored: DataFrame | None, ip: str = "enrich_ip",
+) -> DataFrame | None:
+    """Everything known about each distinct address of ``ip``, one row each."""
+    networks = lookup_networks(countries, asns, lists)
+    if networks is None:
+        return None
+    values = [c for c in networks.columns if c != "network"]
+    wanted = flows.select(ip).filter(F.col(ip).isNotNull()).distinct()
+    facts = wanted.join(longest_prefix(wanted, networks, values, ip), ip, "left")
+    if lists is None or scored is None:
+        return facts.drop("_net_score")
+    return (
+        facts.join(scored.select(F.col("ip").alias(ip), F.col("score").alias("_csv_score")), ip, "left")
+        .join(_exact_scores(lists, ip), ip, "left")
+        .withColumn("reputation_score", F.coalesce("_csv_score", "_net_score", "_exact_score"))
+        .drop("_csv_score", "_net_score", "_exact_score")
+    )
+
+
 def enrich(
     flows: DataFrame,
     snapshots: DataFrame | None = None,
@@ -166,6 +188,8 @@ def enrich(
     scored: DataFrame | None = None,
 ) -> DataFrame:
     """All enrichments; a missing dimension leaves its columns null."""
+    target = enrichable_ip()
+    flows = flows.withColumn("enrich_ip", F.when(ips.is_public(target), target))
     d = flows
     if snapshots is not None:
         d = asof_pid(d, snapshots)
@@ -173,19 +197,11 @@ def enrich(
         d = interval_process(d, processes)
     if ptr is not None:
         d = asof_ptr(d, ptr)
-    target = enrichable_ip()
-    d = d.withColumn("enrich_ip", F.when(ips.is_public(target), target))
-    networks = lookup_networks(countries, asns, lists)
-    if networks is not None:
-        values = [c for c in networks.columns if c != "network"]
-        d = d.join(longest_prefix(d, networks, values, "enrich_ip"), "enrich_ip", "left")
-    if lists is not None and scored is not None:
-        d = (
-            d.join(scored.select(F.col("ip").alias("enrich_ip"), F.col("score").alias("_csv_score")), "enrich_ip", "left")
-            .join(_exact_scores(lists, "enrich_ip"), "enrich_ip", "left")
-            .withColumn("reputation_score", F.coalesce("_csv_score", "_net_score", "_exact_score"))
-            .drop("_csv_score", "_net_score", "_exact_score")
-        )
+    facts = address_facts(flows, countries, asns, lists, scored)
+    if facts is not None:
+        # A written table has a known size, so Spark broadcasts it when it is
+        # small and otherwise joins by shuffle, splitting hot addresses.
+        d = d.join(stage(facts), "enrich_ip", "left")
     types = {"dns_name": "string", "process_path": "string", "process_start_us": "bigint", "country_code": "string",
              "asn": "bigint", "reputation_score": "float", "pid": "bigint"}
     missing = {c: F.lit(None).cast(t) for c, t in types.items() if c not in d.columns}

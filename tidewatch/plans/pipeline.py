@@ -39,13 +39,14 @@ def packet_verdicts(
 ) -> DataFrame:
     """One decided row per flow.
 
-    Enriched flows are written once: the cross-flow sweeps read narrow slices
-    of them several times.
+    Bare and enriched flows are written once each, as the address lookup and
+    the cross-flow sweeps read narrow slices of them several times.
 
     ``prepare`` runs on the bare flows (for example to attach a pid known at
     capture); ``dimensions`` are the arguments of ``enrich``.
     """
-    enriched = stage(enrich(prepare(flows(packets)), **dimensions))
+    bare = stage(prepare(flows(packets)))
+    enriched = stage(enrich(bare, **dimensions))
     return decide(score_flows(enriched, excluded), policy)
 
 

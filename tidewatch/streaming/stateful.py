@@ -23,7 +23,8 @@ _KEY_TYPES = "a_ip string, a_port int, b_ip string, b_port int, protocol int"
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values("ts_us", kind="stable")
+    rows = pd.concat(list(batches))
+    return rows.sort_values(["ts_us", "flow_id"] if "flow_id" in rows else ["ts_us"], kind="stable")
 
 
 class _Stateful(StatefulProcessor):
