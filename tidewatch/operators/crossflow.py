@@ -168,6 +168,19 @@ def crossflow_lookup(flows: DataFrame, events: DataFrame, excluded: DataFrame |
     ``dns_b``, ``beacon_a``, ``beacon_b`` (n, mean_s, cv) and ``diversity``
     (distinct_ips, at_cap).
     """
+    return with_counters(flows, crossflow_counters(flows, events, excluded))
+
+
+def with_counters(flows: DataFrame, counters: DataFrame) -> DataFrame:
+    joined = flows.join(counters, "flow_id", "left")
+    return joined.withColumns({
+        "scan_a": F.coalesce("_sa.scan_count", F.lit(0)), "dns_a": F.coalesce("_sa.dns_count", F.lit(0)),
+        "scan_b": F.coalesce("_sb.scan_count", F.lit(0)), "dns_b": F.coalesce("_sb.dns_count", F.lit(0)),
+    }).drop("_sa", "_sb")
+
+
+def crossflow_counters(flows: DataFrame, events: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """One row of counters per flow id, from the flows' keys and times only."""
     ends = flows.select(
         "flow_id", F.col("eval_us").alias("ts_us"), "pid", "protocol",
         F.explode(F.array(
@@ -192,17 +205,13 @@ def crossflow_lookup(flows: DataFrame, events: DataFrame, excluded: DataFrame |
         beacons.withColumn("kind", F.lit("beacon")), allowMissingColumns=True
     ).unionByName(spread.withColumn("kind", F.lit("spread")), allowMissingColumns=True).select(*columns)
     beacon = ("beacon_n", "beacon_mean_s", "beacon_cv")
-    per_flow = long.groupBy("flow_id").agg(
+    return long.groupBy("flow_id").agg(
         pick("scan", "a", "scan_count", "dns_count").alias("_sa"),
         pick("scan", "b", "scan_count", "dns_count").alias("_sb"),
         pick("beacon", "a", *beacon).alias("beacon_a"),
         pick("beacon", "b", *beacon).alias("beacon_b"),
         pick("spread", None, "distinct_ips", "at_cap").alias("diversity"),
     )
-    return flows.join(per_flow, "flow_id", "left").withColumns({
-        "scan_a": F.coalesce("_sa.scan_count", F.lit(0)), "dns_a": F.coalesce("_sa.dns_count", F.lit(0)),
-        "scan_b": F.coalesce("_sb.scan_count", F.lit(0)), "dns_b": F.coalesce("_sb.dns_count", F.lit(0)),
-    }).drop("_sa", "_sb")
 
 
 def _tier(score: float, confidence: float) -> Column:

@@ -18,16 +18,17 @@ from tidewatch.plans.lineage import stage
 def score_flows(flow_rows: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """All six detectors over enriched flows of known direction.
 
-    The five per-flow detectors are one projection; the cross-flow lookup
-    carries only the columns it needs and joins back on the flow id.
+    The five per-flow detectors are a projection of the flow table; the
+    cross-flow counters are computed from a few of its columns and joined on
+    the flow id.
     """
     known = resolved_only(flow_rows)
-    looked_up = crossflow.crossflow_lookup(known, crossflow.connections(known, excluded), excluded)
-    scored = looked_up
+    counters = crossflow.crossflow_counters(known, crossflow.connections(known, excluded), excluded)
+    scored = known
     for score in (detectors.score_dns, detectors.score_process, detectors.score_flow_behavior,
                   detectors.score_ip_reputation, detectors.score_dns_tunnel):
         scored = score(scored)
-    return crossflow.score_cross_flow(scored)
+    return crossflow.score_cross_flow(crossflow.with_counters(scored, counters))
 
 
 def packet_verdicts(
