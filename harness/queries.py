@@ -434,7 +434,7 @@ def _(spark, sf):
 @query("finding_counts", f"""SELECT detector_id, count(*) AS runs, CAST(sum(CASE WHEN score>0 THEN 1 ELSE 0 END) AS BIGINT) AS findings FROM (
   {" UNION ALL ".join(f"SELECT '{name}' AS detector_id, score FROM d{i}" for i, name in enumerate(DETECTORS, 1))}) GROUP BY 1""")
 def _(spark, sf):
-    scored = score_flows(stage(rich_flows(spark, sf)))
+    scored = stage(score_flows(stage(rich_flows(spark, sf))))
     return decide.finding_rows(scored).groupBy("detector_id").agg(
         F.count("*").alias("runs"), F.count_if(F.col("score") > 0).alias("findings"))
 
@@ -487,7 +487,7 @@ def _(spark, sf):
 
 @query("latest_verdicts", """SELECT verdict_id, a_ip, a_port, b_ip, verdict, ts_ms, reason FROM (SELECT *, row_number() OVER (PARTITION BY a_ip, a_port, b_ip, b_port, protocol, verdict ORDER BY ts_ms DESC, verdict_id DESC) AS rn FROM verd) WHERE rn=1""")
 def _(spark, sf):
-    return audit.latest_verdicts(A.verdicts(spark, sf)).select("verdict_id", "a_ip", F.col("a_port").cast("bigint").alias("a_port"), "b_ip", "verdict", "ts_ms", "reason")
+    return audit.latest_verdicts(A.verdicts(spark, sf)).select("verdict_id", "a_ip", "a_port", "b_ip", "verdict", "ts_ms", "reason")
 
 
 _LAST = "SELECT l.* FROM log l JOIN (SELECT ip_text, max(ts_ms) AS ts_ms FROM log GROUP BY 1) m USING (ip_text, ts_ms)"

@@ -99,7 +99,7 @@ SELECT ts_us, CASE WHEN reply THEN remote_ip ELSE local_ip END AS src_ip, CASE W
   CASE WHEN remote_port=53 THEN 17 ELSE 6 END AS protocol, length, local_ip
 FROM (SELECT us + i * CASE WHEN kind=0 THEN 100000 ELSE {types(view=0, click=300000, signup=5000000, purchase=100000, error=200000)} END AS ts_us,
   {USER_IP} AS local_ip,
-  CASE WHEN kind=0 THEN 40000 + user_id%20000 ELSE 10000 + (event_id*251+i)%25000 END AS local_port,
+  CAST(CASE WHEN kind=0 THEN 40000 + user_id%20000 ELSE 10000 + (event_id*251+i)%25000 END AS INTEGER) AS local_port,
   CASE WHEN kind=1 AND event_type='purchase' THEN '198.51.100.' || (i+1) WHEN kind=1 AND event_type='click' THEN '203.0.113.53'
     ELSE {arr(POOL, "event_id%10")} END AS remote_ip,
   CASE WHEN kind=0 THEN {types(view=443, click=80, signup=53, purchase=8080, error=22)} ELSE {types(view=0, click=53, signup=8443, purchase=443, error=22)} END AS remote_port,
@@ -182,7 +182,7 @@ SELECT 'e' || event_id AS event_id, epoch_us(ts)//1000 AS ts_ms, CASE WHEN event
   CASE WHEN event_id%11=0 THEN 'send failed' END AS error FROM events WHERE event_type IN ('purchase','error')
 """)
 cte("verd", f"""
-SELECT event_id AS verdict_id, epoch_us(ts)//1000 AS ts_ms, {USER_IP} AS a_ip, 40000+user_id%50 AS a_port, {arr(POOL[:9], "event_id%9")} AS b_ip,
+SELECT event_id AS verdict_id, epoch_us(ts)//1000 AS ts_ms, {USER_IP} AS a_ip, CAST(40000+user_id%50 AS INTEGER) AS a_port, {arr(POOL[:9], "event_id%9")} AS b_ip,
   443 AS b_port, 6 AS protocol, CASE WHEN user_id%7<>0 THEN user_id END AS pid, CASE WHEN user_id%9<>0 THEN {arr(PATHS, "user_id%8")} END AS process_path,
   CASE WHEN event_id%4=0 THEN 'h' || event_id%30 || '.example.com' END AS dns_name, CASE WHEN event_id%6<>0 THEN {code("user_id%25")} END AS country_code,
   CASE WHEN event_type IN ('signup','purchase') THEN 'Block' ELSE 'Alert' END AS verdict, 'score ' || event_id%100 AS reason,
