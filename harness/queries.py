@@ -717,13 +717,12 @@ def _(spark, sf):
 
 
 def centroids(spark, sf):
-    """Positions of the even nations, so that some codes are unknown."""
     key = F.col("n_nationkey")
-    return A.table(spark, sf, "nation").filter(key % 2 == 0).select(
+    return A.table(spark, sf, "nation").select(
         A.country_code(key).alias("code"), F.col("n_name").alias("name"), (key * 3).alias("lat"), (key * 7).alias("lng"))
 
 
-_POINTS = f"SELECT country_code, count, n_name AS name, n_nationkey*3 AS lat, n_nationkey*7 AS lng FROM ({_COUNTRIES}) JOIN nation ON country_code={code('n_nationkey')} WHERE n_nationkey%2=0"
+_POINTS = f"SELECT country_code, count, n_name AS name, n_nationkey*3 AS lat, n_nationkey*7 AS lng FROM ({_COUNTRIES}) JOIN nation ON country_code={code('n_nationkey')}"
 
 
 @query("country_points", _POINTS)
@@ -753,12 +752,13 @@ def _(spark, sf):
     return reports.peak_bucket(reports.activity_chart(A.verdicts(spark, sf), A.NOW_MS, A.TZ))
 
 
-def _feed_sql(where: str = "", limit: int = 50) -> str:
+def _feed_sql(where: str = "", limit: int | None = 50) -> str:
+    top = f"ORDER BY ts_ms DESC, verdict_id DESC LIMIT {limit}" if limit else ""
     return f"""SELECT v.verdict_id, v.ts_ms, CASE WHEN coalesce(process_path,'')='' THEN 'Unknown app' ELSE {S.BASE.format("process_path")} END AS app_name, verdict,
  (SELECT string_agg(detector_id, ',' ORDER BY score DESC, detector_id) FROM finds f WHERE f.verdict_id=v.verdict_id) AS detectors,
  coalesce(remote_ip, CASE WHEN a_ip=local_ip THEN b_ip WHEN b_ip=local_ip THEN a_ip END, b_ip) AS remote, country_code, dns_name,
  (SELECT first(ev_text ORDER BY score DESC, detector_id) FROM finds f WHERE f.verdict_id=v.verdict_id AND ev_text IS NOT NULL) AS top_text
-FROM (SELECT * FROM verd {where} ORDER BY ts_ms DESC, verdict_id DESC LIMIT {limit}) v"""
+FROM (SELECT * FROM verd {where} {top}) v"""
 
 
 def feed_view(feed: DataFrame) -> DataFrame:
@@ -794,9 +794,9 @@ _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.PHRASES.items())
  WHEN top_text LIKE 'Beacon%' THEN '{reports.BEACON_PHRASE}' WHEN top_text LIKE 'DNS query%' THEN '{reports.DNS_PHRASE}' ELSE '{reports.PHRASES["CrossFlow"]}' END || ' (' || coalesce(dns_name, remote) || ') ' ||
  CASE WHEN verdict='Block' THEN '— blocked.' ELSE '— flagged for review.' END AS sentence,
  app_name || ' tried to ' || array_to_string(phrases[:-2], ', ') || ' and ' || phrases[-1] || '. ' || CASE WHEN verdict='Block' THEN 'This system blocked it to protect you.' ELSE 'This system flagged it so you can review it.' END AS why
-FROM (SELECT *, split_part(detectors,',',1) AS top, list_transform(string_split(detectors,','), lambda x: CASE x {_CASE} END) AS phrases FROM ({_feed_sql("", 1000)}))""")
+FROM (SELECT *, split_part(detectors,',',1) AS top, list_transform(string_split(detectors,','), lambda x: CASE x {_CASE} END) AS phrases FROM ({_feed_sql("", None)}))""")
 def _(spark, sf):
-    feed = reports.activity_feed(A.verdicts(spark, sf), A.findings(spark, sf), 1000)
+    feed = reports.activity_feed(A.verdicts(spark, sf), A.findings(spark, sf), None)
     return reports.explain_why(reports.explain_verdict(feed)).select("verdict_id", "sentence", "why")
 
 

@@ -161,7 +161,7 @@ SELECT base - base % size AS lo, base - base % size + size - 1 AS hi, plen, coun
 SELECT (c_custkey*2654435761)%4294967296 AS base, 8+c_custkey%17 AS plen, CAST(1 AS BIGINT)<<CAST(24-c_custkey%17 AS BIGINT) AS size,
   {code("c_nationkey")} AS country_code, c_custkey AS asn FROM customer)
 """)
-cte("nets6", f"SELECT '2001:db8:' || lower(hex(c_custkey%65536)) AS prefix, {code('c_nationkey')} AS country_code, c_custkey AS asn FROM customer WHERE c_custkey%100=0")
+cte("nets6", f"SELECT '2001:db8:' || lower(hex(c_custkey%65536)) AS prefix, {code('c_nationkey')} AS country_code, c_custkey AS asn FROM customer")
 cte("addr", f"""
 SELECT o_orderkey AS order_id, o_orderkey*2246822519%4294967296 AS n,
   CASE WHEN o_orderkey%10=0 THEN '2001:db8:' || lower(hex(o_orderkey//10*5%65536)) || '::1' ELSE {text("(o_orderkey*2246822519%4294967296)")} END AS ip FROM orders

@@ -170,20 +170,21 @@ def pick_remote(a: str = "a_ip", b: str = "b_ip", local: str = "local_ip", store
 
 
 def activity_feed(
-    verdicts: DataFrame, findings: DataFrame, limit: int, detector: str | None = None, app: str | None = None
+    verdicts: DataFrame, findings: DataFrame, limit: int | None, detector: str | None = None, app: str | None = None
 ) -> DataFrame:
     """Newest verdicts with their detectors, best first, and top evidence.
 
     The verdicts are limited first; the findings are then semi-joined to that
     short list, so they are read once and only the wanted rows are grouped. A
-    verdict has one finding per detector.
+    verdict has one finding per detector. Without ``limit`` every verdict is
+    described, in no particular order.
     """
     chosen = verdicts
     if detector is not None:
         chosen = filter_by_detector(verdicts, findings, detector)
     elif app is not None:
         chosen = filter_by_app(verdicts, app)
-    shown = recent(chosen, limit, "verdict_id")
+    shown = chosen if limit is None else recent(chosen, limit, "verdict_id")
     item = F.struct((-F.col("score")).alias("neg"), "detector_id", "evidence")
     listed = findings.join(shown.select("verdict_id"), "verdict_id", "left_semi").groupBy("verdict_id").agg(
         F.array_sort(F.collect_list(item), _by_score).alias("_f")
