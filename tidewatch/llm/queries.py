@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import packing, quality
+from tidewatch.llm import mixing, packing, quality
 from tidewatch.plans.lineage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stage(packing.tokenise(table(spark, sf_dir, "documents"), tokenizer())))
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(stage(mixing.sizes(table(spark, sf_dir, "documents"))))
