@@ -73,18 +73,22 @@ def draws(sized: DataFrame, goals: DataFrame, block: int = BLOCK, seed: int = 0)
     before = held.withColumn("before", F.sum("held").over(Window.partitionBy("rank").orderBy("block")) - F.col("held"))
     placed = dealt.join(before, ["rank", "block"])
     cut = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest")))
-    # In the last block: the documents that fit, in permuted order, and then the one that fills the gap best.
-    group = Window.partitionBy("rank", "block")
-    order = [F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size", "source"]
-    edge = (
-        cut.withColumn("sum", F.sum("words").over(group.orderBy(*order)))
-        .withColumn("fits", F.col("sum") <= F.col("rest") - F.col("before"))
-        .withColumn("gap", F.col("rest") - F.col("before") - F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))).over(group), F.lit(0)))
-        .withColumn("off", F.abs(F.col("words") - F.col("gap")))
-        .withColumn("turn", F.row_number().over(group.orderBy("fits", "off", *order)))
-        .withColumn("more", (F.col("fits") | ((F.col("turn") == 1) & (F.col("off") < F.col("gap")))).cast("long"))
-        .drop("sum", "fits", "gap", "off", "turn")
-    )
+    # The last block of a source, one row: longest first, every document that still fits. It has at most about
+    # ``block`` units, as those without words aren't among them.
+    unit = F.struct((-F.col("words")).alias("less"), F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("mixed"), "doc_id", "size", "source")
+    held_docs = F.array_sort(F.collect_list(unit))
+    start = F.struct(F.col("rest").alias("left"), F.array().cast("array<long>").alias("took"), F.lit(0).cast("long").alias("n"))
+
+    def fit(a: Column, x: Column) -> Column:
+        fits = a.left + x.less >= 0
+        return F.struct(F.when(fits, a.left + x.less).otherwise(a.left).alias("left"), F.when(fits, F.array_append(a.took, a.n)).otherwise(a.took).alias("took"), (a.n + 1).alias("n"))
+
+    last = cut.where("words > 0").groupBy("rank", "block").agg(held_docs.alias("units"), F.min(F.col("rest") - F.col("before")).alias("rest"))
+    last = last.withColumn("took", F.aggregate("units", start, fit, lambda a: a.took))
+    last = last.select("rank", F.explode(F.transform("took", lambda i: F.get("units", i.cast("int")))).alias("u"))
+    last = last.select(F.col("rank").alias("_rank"), F.col("u.doc_id").alias("_doc"), F.col("u.source").alias("_src"), F.col("u.size").alias("_size"))
+    same = (F.col("rank") == F.col("_rank")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_size"))
+    edge = cut.join(last, same, "left").withColumn("more", F.col("_rank").isNotNull().cast("long")).drop("_rank", "_doc", "_src", "_size")
     clear = placed.where(~((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest"))))
     clear = clear.withColumn("more", (F.col("before") + F.col("held") <= F.col("rest")).cast("long"))
     both = clear.unionByName(edge)
