@@ -47,13 +47,13 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """chunk, doc_id (null: the least), text as UTF-8 bytes (null: none); and the number of shards."""
+def chunked(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """chunk, doc_id (null: the least), text as UTF-8 bytes (null: none), columns to carry as c0, c1, ...; and the number of shards."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK))
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), text.alias("text")), max(1, -(-size // SHARE))
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))), max(1, -(-size // SHARE))
 
 
 def slide(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,6 +70,7 @@ class Part:
     """Some rows of a chunk: their elements, windows, and fragments (runs of windows with one anchor)."""
 
     def __init__(self, batch: pa.RecordBatch, width: int, gram: int, elements: Callable):
+        self.batch = batch
         self.ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         self.data, self.offsets = K.flat(batch.column("text"))
         self.values, self.bounds = elements(self, self.data, self.offsets)
