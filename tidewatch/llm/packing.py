@@ -12,7 +12,9 @@ doc_id is kept, further columns are ignored, an empty table gives an empty resul
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,8 +27,8 @@ from tidewatch.llm import kernels as K
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers at most, and their longest.
+REMEMBERED, LONGEST = 1_000_000, 64
 #: Rows of one length that are ranked together at most, on average.
 RANKED = 100_000
 
@@ -34,30 +36,44 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Ids(dict):
-    """Ids of each word as little-endian bytes; a word is a run without ASCII white space, which the vocabulary drops."""
+    """Ids of each word as little-endian bytes.
+
+    The vocabulary drops white space and ignores case, so that a word (a run without ASCII white space, ASCII letters in lower
+    case) has the same ids wherever it stands. A text in which a special token may stand is left as it is.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        new = [w for w in set().union(*split) if w not in self]
+        # A full stop or comma after a letter is a token of its own.
+        ends = [w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122]
+        self._learn({w for w in new if not (len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122)} | {w[:-1] for w in ends} | {b".", b","})
+        for w in ends:
+            self[w] = self[w[:-1]] + self[w[-1:]]
+        found = [b"".join(map(self.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del self[w]
         return found
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.translate(SPACES).split(" ")))
-
-
-#: ASCII white space, each made a blank.
-SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+    def _learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        for low in range(0, len(new), 20_000):
+            part = new[low : low + 20_000]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for w, x in zip(part, encoded):
+                self[w] = array("I", x.ids).tobytes()
 
 
-@lru_cache(2)
+@lru_cache(1)
 def ids_at(path: str) -> Ids:
     return Ids(path)
 
@@ -69,8 +85,11 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: boo
         ids = ids_at(path)
         for part in K.pieces(batches):
             rows: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                made = ids.of(text or "") + END.to_bytes(4, "little")
+            data, offsets = K.flat(part.column("text"))
+            data, offsets = data.tobytes(), offsets.tolist()
+            found = ids.of([data[a:b] for a, b in zip(offsets, offsets[1:])])
+            for doc_id, own_ids in zip(part.column("doc_id").to_pylist(), found):
+                made = own_ids + END.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(made), 4 * capacity)):
                     own = made[at : at + 4 * capacity]
                     for column, x in zip(rows, (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), own)):
