@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, near, packing, quality, substrings, suffixes
+from tidewatch.llm import language, mixing, near, packing, quality, substrings, suffixes
 from tidewatch.plans.lineage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_dedup")
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.sample(docs, ~language.held_out()))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
