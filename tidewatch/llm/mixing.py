@@ -122,6 +122,22 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, chance: Column)
     )
 
 
+def _halved(nodes: DataFrame, level: int, seed: int) -> DataFrame:
+    """Two children of each node; the left one draws from each source after the other."""
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def share(a: Column, x: Column) -> Column:
+        chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), F.size(a.got)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        took = hypergeometric(a.total, x, a.draw, chance)
+        return F.struct((a.total - x).alias("total"), (a.draw - took).alias("draw"), F.concat(a.got, F.array(took)).alias("got"))
+
+    start = F.struct(total.alias("total"), F.floor(total / 2).cast("long").alias("draw"), F.array().cast("array<long>").alias("got"))
+    halves = nodes.withColumn("left", F.aggregate("n", start, share, lambda a: a.got))
+    right = F.zip_with("n", "left", lambda a, b: a - b)
+    children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("n")))
+    return halves.select(F.explode(children).alias("c")).select("c.node", "c.n")
+
+
 def quotas(counts: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     """counts: rank, n (blocks drawn of a source, every rank from 0 once). Returns shard, rank, n: each shard's blocks of each source.
 
@@ -129,18 +145,7 @@ def quotas(counts: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     """
     nodes = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n"))), lambda x: x.n).alias("n")).select(F.lit(0).cast("long").alias("node"), "n")
     for level in range(levels):
-        total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-
-        def share(a: Column, x: Column, level: int = level) -> Column:
-            chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), F.size(a.got)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-            took = hypergeometric(a.total, x, a.draw, chance)
-            return F.struct((a.total - x).alias("total"), (a.draw - took).alias("draw"), F.concat(a.got, F.array(took)).alias("got"))
-
-        start = F.struct(total.alias("total"), F.floor(total / 2).cast("long").alias("draw"), F.array().cast("array<long>").alias("got"))
-        halves = nodes.withColumn("left", F.aggregate("n", start, share, lambda a: a.got))
-        right = F.zip_with("n", "left", lambda a, b: a - b)
-        children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("n")))
-        nodes = halves.select(F.explode(children).alias("c")).select("c.node", "c.n")
+        nodes = _halved(nodes, level, seed)
     return nodes.select(F.col("node").alias("shard"), F.posexplode("n").alias("rank", "n"))
 
 
