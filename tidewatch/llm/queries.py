@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import language, mixing, near, packing, quality, substrings, suffixes
+from tidewatch.llm import chat, language, mixing, near, packing, quality, substrings, suffixes
 from tidewatch.plans.lineage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.sample(docs, ~language.held_out()))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op2_chat",
+    """
+    with turns as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), told as (
+        select *, length(role) + length(text) + length(regexp_replace(role || text, '[^<[\\\\]', '', 'g')) + 13 as size from turns
+    )
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+        cast(sum(size) as bigint) as formatted_chars
+    from told group by conv_id
+    """,
+)
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"select * from values (-1L, 0L, 'user', '{text}'), (-1L, 1L, 'assistant', '{text}') as t(conv_id, turn, role, text)")
+    return chat.read_back(chat.formatted(turns.unionByName(own)))
