@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import chat, imatch, language, mixing, near, packing, quality, substrings, suffixes
+from tidewatch.llm import chat, imatch, language, mixing, near, packing, quality, substrings, suffixes, warc
 from tidewatch.plans.lineage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,41 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_warc_revisits",
+    r"""
+    with named as (
+        select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from pages
+    ), split as (
+        select *, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') as host,
+            regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+            list_filter(list_sort(string_split(regexp_extract(u, '\?(.*)$', 1), '&')),
+                lambda x: x <> '' and not regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)')) as query
+        from named
+    ), keyed as (
+        select page_id, html, host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end as key from split
+    ), tagged as (
+        select page_id, html, key, 'day ' || cast(page_id // 100 as varchar) as day,
+            case when page_id % 7 <> 0 then '"' || substr(md5(html), 1, 12) || '"' end as tag
+        from keyed
+    ), revisits as (
+        select *, 8 * page_id + 8001 as ts, case when page_id % 11 = 0 then '"other"' else tag end as seen from tagged
+    ), found as (
+        select r.page_id, r.ts, r.seen, r.day, p.page_id as base, p.tag as base_tag, p.day as base_day, p.html
+        from revisits r asof left join (select *, 8 * page_id as at from tagged) p on r.key = p.key and r.ts > p.at
+    ), judged as (
+        select *, case when base is null then 'no_response' when seen is not null and base_tag is not null then if(seen = base_tag, 'resolved', 'changed')
+            when day = base_day then 'resolved' else 'changed' end as status from found
+    )
+    select cast(2 * page_id + 1 as bigint) as record_id, cast(ts as bigint) as ts, cast(2 * base as bigint) as refers_to, status,
+        case when status = 'resolved' then cast(length(html) as varchar) else '0' end as content_length, cast(ts as varchar) as date,
+        case when status = 'resolved' then md5(html) end as body_md5
+    from judged
+    """,
+)
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    header = F.col("headers")
+    return found.select("record_id", "ts", "refers_to", "status", header["content-length"].alias("content_length"), header["date"].alias("date"), F.md5("body").alias("body_md5"))
