@@ -73,18 +73,22 @@ def draws(sized: DataFrame, goals: DataFrame, block: int = BLOCK, seed: int = 0)
     before = held.withColumn("before", F.sum("held").over(Window.partitionBy("rank").orderBy("block")) - F.col("held"))
     placed = dealt.join(before, ["rank", "block"])
     cut = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest")))
-    # The last block of a source, one row: longest first, every document that still fits. It has at most about
-    # ``block`` units, as those without words aren't among them.
+    # The last block of a source, one row: longest first, every document that still fits, and the shortest of those that
+    # don't if it is nearer to the target than none. It has at most about ``block`` units, as those without words aren't among them.
     unit = F.struct((-F.col("words")).alias("less"), F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("mixed"), "doc_id", "size", "source")
     held_docs = F.array_sort(F.collect_list(unit))
-    start = F.struct(F.col("rest").alias("left"), F.array().cast("array<long>").alias("took"), F.lit(0).cast("long").alias("n"))
+    start = F.struct(F.col("rest").alias("left"), F.array().cast("array<long>").alias("took"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("past"))
 
     def fit(a: Column, x: Column) -> Column:
         fits = a.left + x.less >= 0
-        return F.struct(F.when(fits, a.left + x.less).otherwise(a.left).alias("left"), F.when(fits, F.array_append(a.took, a.n)).otherwise(a.took).alias("took"), (a.n + 1).alias("n"))
+        return F.struct(F.when(fits, a.left + x.less).otherwise(a.left).alias("left"), F.when(fits, F.array_append(a.took, a.n)).otherwise(a.took).alias("took"), (a.n + 1).alias("n"), F.when(fits, a.past).otherwise(a.n).alias("past"))
+
+    def end(a: Column) -> Column:
+        nearer = (a.past >= 0) & (-F.get("units", a.past.cast("int"))["less"] < 2 * a.left)
+        return F.when(nearer, F.array_append(a.took, a.past)).otherwise(a.took)
 
     last = cut.where("words > 0").groupBy("rank", "block").agg(held_docs.alias("units"), F.min(F.col("rest") - F.col("before")).alias("rest"))
-    last = last.withColumn("took", F.aggregate("units", start, fit, lambda a: a.took))
+    last = last.withColumn("took", F.aggregate("units", start, fit, end))
     last = last.select("rank", F.explode(F.transform("took", lambda i: F.get("units", i.cast("int")))).alias("u"))
     last = last.select(F.col("rank").alias("_rank"), F.col("u.doc_id").alias("_doc"), F.col("u.source").alias("_src"), F.col("u.size").alias("_size"))
     same = (F.col("rank") == F.col("_rank")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_size"))
