@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import ip as ips
 from tidewatch.functions.times import DAY_MS
-from tidewatch.plans.chains import FOLD_LIMIT, accepted_rows
+from tidewatch.plans.chains import accepted_rows
 from tidewatch.plans.sliced import running
 from tidewatch.schema import SEVERITIES, VERDICT_KEY
 
@@ -15,7 +15,6 @@ from tidewatch.schema import SEVERITIES, VERDICT_KEY
 # the most blocks kept at once.
 ENFORCEMENT_DAYS, VERDICT_DAYS = 90, 7
 MIN_REMAINING_MS = 30_000
-MAX_ACTIVE_BLOCKS = 10_000
 
 
 def latest_verdicts(verdicts: DataFrame, id_column: str = "verdict_id") -> DataFrame:
@@ -31,9 +30,6 @@ def latest_verdicts(verdicts: DataFrame, id_column: str = "verdict_id") -> DataF
     )
 
 
-dedup_verdicts = latest_verdicts
-
-
 def latest_findings(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Findings that belong to the stored version of their verdict."""
     return findings.join(verdicts.select("verdict_id", "ts_ms"), ["verdict_id", "ts_ms"], "left_semi")
@@ -154,14 +150,13 @@ def split_valid(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
 
 def cooldown(
     blocks: DataFrame, remote: str = "remote_ip", ts: str = "ts_ms", ttl: str = "ttl_ms", row_id: str = "verdict_id",
-    fold_limit: int = FOLD_LIMIT, slice_us: int = 600_000,
 ) -> DataFrame:
     """Block decisions that are carried out: none for a remote while its last
     one is in force. Adds ``until``."""
-    return accepted_rows(blocks, [remote], ts, ttl, row_id, fold_limit, slice_us)
+    return accepted_rows(blocks, [remote], ts, ttl, row_id)
 
 
-def block_intervals(log: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def block_intervals(log: DataFrame) -> DataFrame:
     """(ip_text, start_ms, end_ms) during which an address was blocked.
 
     A Block during a block changes nothing; an Unblock ends it. Unblocks clear
@@ -174,12 +169,8 @@ def block_intervals(log: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     parts = running(rows, ["ip_text"], "ts_ms", ["_u", "event_id"], sums={"_part": F.col("_u")}, slice_us=DAY_MS)
     ends = parts.filter("_u = 1").select("ip_text", (F.col("_part") - 1).alias("_part"), F.col("ts_ms").alias("_cut"))
     blocks = parts.filter(F.col("action") == "Block").filter(F.col("ttl_ms") > 0)
-    started = accepted_rows(blocks, ["ip_text", "_part"], "ts_ms", "ttl_ms", "event_id", fold_limit, slice_us=DAY_MS)
+    started = accepted_rows(blocks, ["ip_text", "_part"], "ts_ms", "ttl_ms", "event_id")
     return started.join(ends, ["ip_text", "_part"], "left").select(
         "ip_text", F.col("ts_ms").alias("start_ms"),
         F.least(F.col("until"), F.coalesce("_cut", F.col("until"))).alias("end_ms"),
     )
-
-
-def severity_names(rank: Column) -> Column:
-    return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank)

@@ -1,28 +1,24 @@
 """Cooldown chains: accept a row, then ignore the key until it expires.
 
-Which rows are accepted depends on the row accepted before, so this is a walk
-along "next acceptable row" pointers. Keys with few rows walk inside one row
-of a grouped array. Keys above ``fold_limit`` rows walk by pointer doubling:
-every row finds its next acceptable row with an as-of pass, and the rows
-reachable from each key's first row are marked in log2(chain length) joins.
+Which rows are accepted depends on the row accepted before. Rows with equal
+key and time are reduced to one before they move; then each key's times are
+walked in sorted order by a task that holds only the end of the last
+cooldown, jumping from one accepted row to the next by binary search. One
+path serves keys of any size, and no key is gathered in memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.times import SECOND_US
-from tidewatch.plans.lineage import cut
-from tidewatch.plans.sliced import running
-
-FOLD_LIMIT = 10_000
-
 
-def accepted_rows(
-    df: DataFrame, keys: list[str], ts: str, ttl: str, row_id: str, fold_limit: int = FOLD_LIMIT,
-    slice_us: int = 60 * SECOND_US,
-) -> DataFrame:
+def accepted_rows(df: DataFrame, keys: list[str], ts: str, ttl: str, row_id: str) -> DataFrame:
     """Rows of ``df`` that start a new cooldown, with ``until = ts + ttl``.
 
     A key is free again at ``until`` itself. Rows with equal time count in
@@ -30,57 +26,33 @@ def accepted_rows(
     """
     first = df.groupBy(*keys, ts).agg(F.min(F.struct(row_id, ttl)).alias("_r"))
     nodes = first.select(*keys, ts, F.col(f"_r.{row_id}").alias(row_id), (F.col(ts) + F.col(f"_r.{ttl}")).alias("until"))
-    sizes = nodes.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > fold_limit).select(*keys)
-    if hot.isEmpty():
-        return df.join(_fold(nodes, keys, ts, row_id), [*keys, ts, row_id])
-    chosen = _fold(nodes.join(hot, keys, "left_anti"), keys, ts, row_id).unionByName(
-        _double(nodes.join(hot, keys, "left_semi"), keys, ts, row_id, slice_us)
-    )
-    return df.join(chosen, [*keys, ts, row_id])
-
-
-def _fold(nodes: DataFrame, keys: list[str], ts: str, row_id: str) -> DataFrame:
-    step = F.struct(F.col(ts).alias("at"), F.col("until").alias("until"), F.col(row_id).alias("id"))
-    kind = nodes.select(F.array(step).alias("a")).schema["a"].dataType
-    start = F.struct(F.lit(None).cast("bigint").alias("free"), F.array().cast(kind).alias("kept"))
-    merged = F.aggregate(
-        F.array_sort("_rows"),
-        start,
-        lambda acc, x: F.when(
-            acc["free"].isNull() | (x["at"] >= acc["free"]),
-            F.struct(x["until"].alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    return (
-        nodes.groupBy(*keys).agg(F.collect_list(step).alias("_rows"))
-        .select(*keys, F.explode(merged).alias("k"))
-        .select(*keys, F.col("k.at").alias(ts), F.col("k.id").alias(row_id), F.col("k.until").alias("until"))
-    )
-
 
-def _double(nodes: DataFrame, keys: list[str], ts: str, row_id: str, slice_us: int) -> DataFrame:
-    # Looking forward is looking back on the reversed clock: the first row at
-    # or after `until` is the last one at or before -until. Nodes are kinds 0,
-    # so a node at exactly `until` is found.
-    nodes = cut(nodes)
-    marks = nodes.select(*keys, (-F.col(ts)).alias("_at"), F.lit(0).alias("_kind"), F.col(ts).alias("_node"),
-                         F.lit(None).cast("bigint").alias("_from"))
-    probes = nodes.select(*keys, (-F.col("until")).alias("_at"), F.lit(1).alias("_kind"),
-                          F.lit(None).cast("bigint").alias("_node"), F.col(ts).alias("_from"))
-    jumps = cut(
-        running(marks.unionByName(probes), keys, "_at", ["_kind"], lasts={"_to": F.col("_node")}, slice_us=slice_us)
-        .filter("_kind = 1 AND _to IS NOT NULL").select(*keys, "_from", "_to")
-    )
-    marked = cut(nodes.groupBy(*keys).agg(F.min(ts).alias("_from")))
-    while True:
-        reached = marked.join(jumps, [*keys, "_from"]).select(*keys, F.col("_to").alias("_from"))
-        marked = cut(marked.unionByName(reached).distinct())
-        further = jumps.select(*keys, F.col("_to").alias("_via"), F.col("_from").alias("_start")).join(
-            jumps.select(*keys, F.col("_from").alias("_via"), "_to"), [*keys, "_via"]
-        )
-        jumps = cut(further.select(*keys, F.col("_start").alias("_from"), "_to"))
-        if jumps.isEmpty():
-            break
-    return nodes.join(marked.withColumnRenamed("_from", ts), [*keys, ts], "left_semi").select(*keys, ts, row_id, "until")
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, free = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.StructArray.from_arrays([batch.column(k) for k in keys], names=keys)
+            changed = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                column = batch.column(k)
+                changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            heads = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            at, until = (batch.column(c).to_numpy(zero_copy_only=False) for c in (ts, "until"))
+            taken = []
+            for low, high in zip(heads, heads[1:]):
+                key = own[low].as_py() if low == 0 or high == batch.num_rows else None
+                free = free if key is not None and key == last else None
+                row = low if free is None else low + int(np.searchsorted(at[low:high], free))
+                while row < high:
+                    taken.append(row)
+                    free = until[row]
+                    row += 1
+                    if row < high and at[row] < free:
+                        row += int(np.searchsorted(at[row:high], free))
+                last = key
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    known = nodes.dropna(subset=[*keys, ts])
+    walked = known.repartition(*keys).sortWithinPartitions(*keys, ts).mapInArrow(walk, nodes.schema)
+    return df.join(walked, [*keys, ts, row_id])

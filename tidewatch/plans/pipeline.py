@@ -63,5 +63,5 @@ def actionable(
     alerts = decided.filter("verdict = 'Alert'")
     guarded = block_guard(decided.filter("verdict = 'Block'"), own_ips, gateways)
     allowed = guarded.filter(F.col("skip_reason").isNull()).drop("skip_reason").withColumn("_ttl_us", F.col("ttl_ms") * 1000)
-    done = cooldown(allowed, "remote_ip", "eval_us", "_ttl_us", "flow_id", slice_us=600_000_000)
+    done = cooldown(allowed, "remote_ip", "eval_us", "_ttl_us", "flow_id")
     return alerts.unionByName(done.select(*alerts.columns))
