@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,15 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return rows.sort_values(["ts_us", "flow_id"] if "flow_id" in rows else ["ts_us"], kind="stable")
 
 
+#: Stands for no earlier row.
+NEVER = np.iinfo("int64").min
+
+
+def _latest_before(ts: np.ndarray, last: int | None) -> np.ndarray:
+    """The latest time before each row, and that after all of them."""
+    return np.maximum.accumulate(np.concatenate([[NEVER if last is None else last], ts]).astype("int64"))
+
+
 class _Stateful(StatefulProcessor):
     """One value state; keys fall silent and are dropped by an event timer."""
 
@@ -56,15 +66,14 @@ class NewFlows(_Stateful):
     keep_us = IDLE_US
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for row in _in_order(rows).to_dict("records"):
-            if last is None or row["ts_us"] - last >= IDLE_US:
-                out.append((*key, int(row["ts_us"]), row["src_ip"], row["dst_ip"], row["local_ip"]))
-            last = int(row["ts_us"]) if last is None else max(last, int(row["ts_us"]))
-        self._remember(last, last)
-        columns = [*FLOW_KEY, "first_us", "src_ip", "dst_ip", "local_ip"]
-        yield pd.DataFrame(out, columns=columns)
+        rows = _in_order(rows)
+        latest = _latest_before(rows["ts_us"].to_numpy(), self.state.get()[0] if self.state.exists() else None)
+        fresh = (latest[:-1] == NEVER) | (rows["ts_us"].to_numpy() - latest[:-1] >= IDLE_US)
+        self._remember(int(latest[-1]), int(latest[-1]))
+        out = rows.loc[fresh, ["ts_us", "src_ip", "dst_ip", "local_ip"]].rename(columns={"ts_us": "first_us"})
+        for at, (name, value) in enumerate(zip(FLOW_KEY, key)):
+            out.insert(at, name, value)
+        yield out
 
 
 def _keyed(packets: DataFrame, delay: str) -> DataFrame:
@@ -151,16 +160,18 @@ class RunningCounts(_Stateful):
 
     def handleInputRows(self, key, rows, timerValues):
         last, scans, dns = self.state.get() if self.state.exists() else (None, 0, 0)
-        out = []
-        for row in _in_order(rows).to_dict("records"):
-            ts = int(row["ts_us"])
-            if last is None or ts - last > self.keep_us:
-                scans = dns = 0
-            scans, dns = scans + 1, dns + int(row["is_dns"])
-            last = ts if last is None else max(last, ts)
-            out.append((row["flow_id"], scans, dns))
-        self._remember(last, last, scans, dns)
-        yield pd.DataFrame(out, columns=["flow_id", "scan_count", "dns_count"])
+        rows = _in_order(rows)
+        ts, is_dns = rows["ts_us"].to_numpy(), rows["is_dns"].to_numpy().astype("int64")
+        latest = _latest_before(ts, last)
+        fresh = (latest[:-1] == NEVER) | (ts - latest[:-1] > self.keep_us)
+        # Counts go on from the last fresh start, or from the state before the first.
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(ts)), -1))
+        sums = np.concatenate([[0], np.cumsum(is_dns)])
+        carried = begin < 0
+        n = np.arange(1, len(ts) + 1) - np.maximum(begin, 0) + np.where(carried, scans, 0)
+        d = sums[1:] - sums[np.maximum(begin, 0)] + np.where(carried, dns, 0)
+        self._remember(int(latest[-1]), int(latest[-1]), int(n[-1]), int(d[-1]))
+        yield pd.DataFrame({"flow_id": rows["flow_id"].to_numpy(), "scan_count": n, "dns_count": d})
 
 
 def stream_running_counts(connections: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -176,35 +187,34 @@ def stream_running_counts(connections: DataFrame, delay: str = "10 seconds") ->
 
 
 class Beacons(_Stateful):
-    """The last arrival times of an endpoint.
-
-    A beacon's mean interval is at least two seconds, so a window that holds
-    more than ``most`` arrivals is none, and the latest ``most + 1`` tell.
-    """
+    """The arrival times of an endpoint within the window, which alone bounds them."""
 
     state_schema = "times array<long>"
     keep_us = cf.WINDOW_S * SECOND_US
-    most = int(cf.WINDOW_S / cf.BEACON_MEAN_MIN_S) + 1
 
     def handleInputRows(self, key, rows, timerValues):
-        times = list(self.state.get()[0]) if self.state.exists() else []
-        out = []
-        for row in _in_order(rows).to_dict("records"):
-            ts = int(row["ts_us"])
-            times = [t for t in times if t >= ts - self.keep_us][-self.most:] + [ts]
-            n = len(times)
-            total = times[-1] - times[0]
-            squares = sum((b - a) ** 2 for a, b in zip(times, times[1:]))
-            known = 1 < n <= self.most and total > 0
-            cv = max((n - 1) * squares / total**2 - 1.0, 0.0) ** 0.5 if known else None
-            out.append((row["flow_id"], n if n <= self.most else None, total / (n - 1) / 1e6 if known else None, cv))
-        self._remember(times[-1], times)
-        yield pd.DataFrame(out, columns=["flow_id", "beacon_n", "beacon_mean_s", "beacon_cv"])
+        before = np.array(self.state.get()[0] if self.state.exists() else [], "int64")
+        rows = _in_order(rows)
+        times = np.concatenate([before, rows["ts_us"].to_numpy().astype("int64")])
+        first = np.searchsorted(times, times - self.keep_us)[len(before):]
+        at = np.arange(len(before), len(times))
+        n = at - first + 1
+        total = times[at] - times[first]
+        gaps = np.diff(times, prepend=times[:1])
+        squares = np.cumsum(np.where(gaps <= self.keep_us, gaps, 0) ** 2)  # longer gaps are inside no window
+        spread = (squares[at] - squares[first]).astype(float)
+        known = (n > 1) & (total > 0)
+        whole = np.where(known, total, 1).astype(float)
+        cv = np.sqrt(np.maximum((n - 1) * spread / whole**2 - 1.0, 0.0))
+        self._remember(int(times[-1]), [int(t) for t in times[first[-1]:]])
+        yield pd.DataFrame({
+            "flow_id": rows["flow_id"].to_numpy(), "beacon_n": n,
+            "beacon_mean_s": np.where(known, whole / np.maximum(n - 1, 1) / 1e6, np.nan), "beacon_cv": np.where(known, cv, np.nan),
+        }).astype({"beacon_mean_s": "Float64", "beacon_cv": "Float64"})
 
 
 def stream_beacon(connections: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Every connection with its endpoint's regularity; null counts mean too
-    many arrivals for a beacon."""
+    """Every connection with its endpoint's regularity in the last minute."""
     rows = connections.withWatermark("ts", delay).select("ts", "ts_us", "flow_id", "remote_ip", "remote_port", "protocol")
     return rows.groupBy("remote_ip", "remote_port", "protocol").transformWithStateInPandas(
         statefulProcessor=Beacons(), outputMode="append", timeMode="eventTime",
