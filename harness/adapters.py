@@ -33,10 +33,7 @@ DETECTOR_NAMES = ["DnsAnalyzer", "ProcessCorrelator", "FlowBehavior", "IpReputat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when it is a single small file."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name == "events" and len(rows.inputFiles()) < cores else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def div(a: Column, b: int) -> Column:
@@ -143,8 +140,8 @@ def host_name() -> Column:
     return (
         F.when(page % 5 == 1, F.concat(digest, F.lit("."), host))
         .when(page % 5 == 2, F.concat(digest, F.reverse(digest), F.lit(".a.b.c.d.e."), host))
-        .when(page % 5 == 3, F.concat(F.substring(digest, 1, 12), F.lit(".10.1.2.3.evil.xyz")))
-        .when((page % 5 == 4) & (page % 10 == 4), F.lit("www.github.com"))
+        .when(page % 5 == 3, F.concat(F.substring(digest, 1, 12), F.lit(".10.1.2.3.Evil.XYZ")))
+        .when((page % 5 == 4) & (page % 10 == 4), F.lit("WWW.GitHub.com"))
         .otherwise(host)
     )
 

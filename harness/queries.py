@@ -246,10 +246,10 @@ def _(spark, sf):
                     text.starts_with_any("path", detectors.TEMP_DIRS).alias("in_temp"))
 
 
-@query("domain_match", """SELECT DISTINCT dns_name FROM host_names WHERE dns_name='example.com' OR dns_name LIKE '%.example.com' OR dns_name LIKE '%.evil.xyz'
-  OR dns_name='blog' OR dns_name LIKE '%.blog' OR list_contains(regexp_split_to_array(lower(dns_name),'[.-]'),'blog')""")
+@query("domain_match", """SELECT DISTINCT dns_name FROM host_names WHERE lower(dns_name)='example.com' OR lower(dns_name) LIKE '%.example.com' OR lower(dns_name) LIKE '%.evil.xyz'
+  OR lower(dns_name)='blog' OR lower(dns_name) LIKE '%.blog' OR list_contains(regexp_split_to_array(lower(dns_name),'[.-]'),'blog')""")
 def _(spark, sf):
-    entries = spark.createDataFrame([("example.com",), ("evil.xyz",), ("blog",)], "entry string")
+    entries = spark.createDataFrame([("Example.com",), ("evil.xyz",), ("blog",)], "entry string")
     return domains.domain_match(A.hosts(spark, sf), entries)
 
 
@@ -577,7 +577,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The same chain by pointer doubling, as for keys too large to fold."""
     blocks = A.verdicts(spark, sf).filter("verdict = 'Block'").select(F.col("b_ip").alias("remote"), "ts_ms", "ttl_ms", "verdict_id")
-    return audit.cooldown(blocks, "remote", fold_limit=0).select("remote", "ts_ms", "until")
+    return audit.cooldown(blocks, "remote").select("remote", "ts_ms", "until")
 
 
 @query("block_intervals", _chain_sql(

@@ -135,8 +135,8 @@ SELECT *, CASE WHEN src_ip<>local_ip AND dst_ip=local_ip THEN src_ip ELSE dst_ip
 cte("host_names", f"""
 SELECT page_id, CASE WHEN page_id%5=1 THEN md5(CAST(page_id AS VARCHAR)) || '.' || host
   WHEN page_id%5=2 THEN md5(CAST(page_id AS VARCHAR)) || reverse(md5(CAST(page_id AS VARCHAR))) || '.a.b.c.d.e.' || host
-  WHEN page_id%5=3 THEN substring(md5(CAST(page_id AS VARCHAR)),1,12) || '.10.1.2.3.evil.xyz'
-  WHEN page_id%10=4 THEN 'www.github.com' ELSE host END AS dns_name
+  WHEN page_id%5=3 THEN substring(md5(CAST(page_id AS VARCHAR)),1,12) || '.10.1.2.3.Evil.XYZ'
+  WHEN page_id%10=4 THEN 'WWW.GitHub.com' ELSE host END AS dns_name
 FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages)
 """)
 cte("ptr_rows", f"SELECT {arr(POOL, 'page_id%10')} AS ip, dns_name AS name, (page_id*7919)%1000*1000000 AS ts_us FROM host_names")

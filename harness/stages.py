@@ -56,7 +56,7 @@ BASE = "regexp_extract(rtrim({0},'/'), '[^/]*$')"
 
 
 def suffix_match(name: str, entries) -> str:
-    return "(" + " OR ".join(f"{name}='{e}' OR {name} LIKE '%.{e}'" for e in entries) + ")"
+    return "(" + " OR ".join(f"lower({name})='{e}' OR lower({name}) LIKE '%.{e}'" for e in entries) + ")"
 
 
 # Enrichment.

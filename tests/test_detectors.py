@@ -158,3 +158,15 @@ def test_row_detector_errors_are_findings(spark):
     got = {r.flow_id: r for r in own.findings(df).collect()}
     assert got["a"].score == 0.5 and got["a"].status == "Completed"
     assert got["b"].status == "Errored" and got["b"].score == 0
+
+
+def test_host_case_does_not_matter(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import domains
+
+    hosts = spark.createDataFrame([("X.MALWARE.example.com",), ("My-BLOG.org",), ("other.net",)], "dns_name string")
+    entries = spark.createDataFrame([("Malware.Example.com",), ("blog",)], "entry string")
+    assert {r.dns_name for r in domains.domain_match(hosts, entries).collect()} == {"X.MALWARE.example.com", "My-BLOG.org"}
+    hit = hosts.select("dns_name", domains.match_expr(F.col("dns_name"), ["malware.example.com", "Blog"]).alias("hit")).collect()
+    assert {r.dns_name: r.hit for r in hit} == {"X.MALWARE.example.com": True, "My-BLOG.org": True, "other.net": False}

@@ -90,11 +90,12 @@ def score_dns(
     """Suspicious host names. ``blocked``/``allowed`` replace the short fixed
     lists with flags from ``domains.flag_domains`` for lists of any size."""
     name = F.col("dns_name")
-    blocked = match_expr(name, DNS_BLOCKLIST) if blocked is None else blocked
+    lower = F.lower(name)
+    blocked = match_expr(lower, DNS_BLOCKLIST) if blocked is None else blocked
     if allowed is None:
         allowed = F.lit(False)
         for domain in DNS_ALLOWLIST:
-            allowed = allowed | (name == domain) | name.endswith("." + domain)
+            allowed = allowed | (lower == domain) | lower.endswith("." + domain)
     d = flows.withColumn("_live", name.isNotNull() & ~F.coalesce(allowed, F.lit(False)))
     d = d.withColumns({
         "_entropy": F.when(F.col("_live"), text.shannon_entropy(name)),
@@ -284,7 +285,3 @@ def score_dns_tunnel(flows: DataFrame) -> DataFrame:
         ladder(total, [(0.6, "Critical"), (0.4, "High"), (0.2, "Medium")], "Low"),
         F.col("_n"), F.when(live, scored).otherwise(skipped),
     ).drop("_dns", "_doh", "_rate", "_bpp", "_sub", "_entropy", "_longest", "_total", "_n", *[f"_e{i}" for i in range(1, 5)])
-
-
-def severity_rank(severity: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity).cast("int") - 1
