@@ -87,3 +87,12 @@ def test_decode_frames(spark):
         1: ("10.0.0.1", "10.0.0.2", 8000, 443, 6, 60), 2: ("10.0.0.1", "10.0.0.2", 0, 0, 1, 60),
         5: ("fe80::1", "ff02::fb", 5353, 5353, 17, 44),
     }
+
+
+def test_feed_lines_with_white_space(spark):
+    from tidewatch.sources.feeds import parse_blocklist, parse_threat_csv
+
+    lines = spark.createDataFrame([("\t1.2.3.4  ",), ("5.6.7.0/24/x",), (" 5.6.7.0/24\t",), ("\t# note",)], "value string")
+    assert {r.entry for r in parse_blocklist(lines).collect()} == {"1.2.3.4", "5.6.7.0/24"}
+    rows = spark.createDataFrame([("\t1.2.3.4\t,\t0.5 , botnet\t", 1)], "value string, at int")
+    assert [tuple(r) for r in parse_threat_csv(rows, ["at"]).collect()] == [("1.2.3.4", 0.5, "botnet")]

@@ -33,7 +33,3 @@ def local_time(ts_ms: Column | str, tz: str) -> Column:
 
 def local_date(ts_ms: Column | str, tz: str) -> Column:
     return F.to_date(local_time(ts_ms, tz))
-
-
-def local_hour(ts_ms: Column | str, tz: str) -> Column:
-    return F.hour(local_time(ts_ms, tz))

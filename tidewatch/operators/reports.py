@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions import text
 from tidewatch.functions.times import DAY_MS, HOUR_MS, local_date, local_time
@@ -207,14 +206,10 @@ def _by_score(x: Column, y: Column) -> Column:
 
 
 def share_of_max(counts: DataFrame, count: str | Column = "count", top: int | None = None) -> DataFrame:
-    """Bar length: count over the largest count, which is at least 1.
-
-    The rows are a report's groups (detectors, apps, countries, days), few
-    enough for one window partition.
-    """
+    """Bar length: count over the largest count, which is at least 1 and comes from a one-row aggregate."""
     value = F.col(count) if isinstance(count, str) else count
     shown = counts if top is None else counts.orderBy(F.desc(value), counts.columns[0]).limit(top)
-    peak = F.greatest(F.max(value).over(Window.partitionBy(F.lit(1))), F.lit(1))
+    peak = shown.agg(F.greatest(F.max(value), F.lit(1)).alias("peak")).scalar()
     return shown.withColumn("share", value / peak)
 
 

@@ -23,8 +23,14 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("dt", F.to_date(F.timestamp_millis("ts_ms")))
 
 
+# Files a day that one append writes at most.
+FILES = 8
+
+
 def append(df: DataFrame, path: str) -> None:
-    with_day(df).write.mode("append").partitionBy("dt").parquet(path)
+    """Rows of a day are brought together first, so that an append leaves a few files a day and not one a task."""
+    days = with_day(df).withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.lit(FILES)))
+    days.repartition("dt", "_share").drop("_share").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
