@@ -77,32 +77,20 @@ def asof_join(
     Equal right times resolve to the largest ``values``. Rows with a null key
     or time match nothing.
     """
-    keyed = F.lit(True)
-    for key in [*keys, left_ts]:
-        keyed = keyed & F.col(key).isNotNull()
     known = F.lit(True)
     for key in [*keys, right_ts]:
         known = known & F.col(key).isNotNull()
-    value_type = right.select(F.struct(*values).alias("v")).schema["v"].dataType
-    left_type = left.select(F.struct(*left.columns).alias("v")).schema["v"].dataType
-
-    probes = left.filter(keyed).select(
-        *keys, F.col(left_ts).alias("_at"), F.lit(1).alias("_kind"),
-        F.lit(None).cast(value_type).alias("_value"), F.struct(*left.columns).alias("_row"),
-    )
-    facts = (
-        right.filter(known)
-        .groupBy(*keys, F.col(right_ts).alias("_at"))
-        .agg(F.max(F.struct(*values)).alias("_value"))
-        .select(*keys, "_at", F.lit(0).alias("_kind"), "_value", F.lit(None).cast(left_type).alias("_row"))
-    )
-    found = running(
-        facts.unionByName(probes), keys, "_at", ["_kind"], lasts={"_found": F.col("_value")}, slice_us=slice_us
-    ).filter("_kind = 1")
-    matched = found.select("_row.*", *[F.col("_found")[v].alias(v) for v in values])
-    types = {f.name: f.dataType for f in value_type.fields}
-    unmatched = left.filter(~keyed).select(*left.columns, *[F.lit(None).cast(types[v]).alias(v) for v in values])
-    return matched.unionByName(unmatched)
+    asked = F.lit(True)
+    for key in [*keys, left_ts]:
+        asked = asked & F.col(key).isNotNull()
+    value = right.select(F.struct(*values).alias("v")).schema["v"].dataType
+    facts = right.filter(known).groupBy(*keys, F.col(right_ts).alias("_at")).agg(F.max(F.struct(*values)).alias("_value"))
+    # Only distinct keys and times are swept; what they find is joined to the rows.
+    probes = left.filter(asked).select(*keys, F.col(left_ts).alias("_at")).distinct().withColumn("_value", F.lit(None).cast(value))
+    timeline = facts.withColumn("_kind", F.lit(0)).unionByName(probes.withColumn("_kind", F.lit(1)))
+    swept = running(timeline, keys, "_at", ["_kind"], lasts={"_found": F.col("_value")}, slice_us=slice_us).filter("_kind = 1")
+    found = swept.select(*keys, F.col("_at").alias(left_ts), *[F.col("_found")[v].alias(v) for v in values])
+    return left.join(found, [*keys, left_ts], "left").select(*left.columns, *values)
 
 
 def islands(
