@@ -575,7 +575,7 @@ def _(spark, sf):
 
 @query("cooldown_hot_keys", ORACLES["cooldown"])
 def _(spark, sf):
-    """The same chain by pointer doubling, as for keys too large to fold."""
+    """The same chains; a key of any size takes the same path."""
     blocks = A.verdicts(spark, sf).filter("verdict = 'Block'").select(F.col("b_ip").alias("remote"), "ts_ms", "ttl_ms", "verdict_id")
     return audit.cooldown(blocks, "remote").select("remote", "ts_ms", "until")
 
@@ -801,8 +801,13 @@ def _(spark, sf):
 
 
 # -- streams -----------------------------------------------------------------
-# Each reads the events as a file stream to its end. Rows after the last
-# watermark stay in state, so the statements stop there too.
+# Each reads a stream of several micro-batches that a batch job has written in
+# the order of time, and last rows far ahead, which move the watermark past
+# all others; what they make is left out.
+
+# Files of each micro-batch, and how far ahead the last row is.
+STREAM_FILES, STREAM_PARTS, AHEAD_US = 2, 2, 7_200_000_000
+
 
 def drained(spark: SparkSession, rows: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -811,14 +816,35 @@ def drained(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/out").select(*rows.columns)
 
 
-def packet_stream(spark, sf):
-    return A.packets(spark, sf, streaming=True).withColumn("ts", F.timestamp_micros("ts_us"))
+def replayed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    rows = stage(rows.withColumn("ts", F.timestamp_micros("ts_us")))
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    folder = f"{work_folder(spark)}/stream"
+    part = F.least(F.floor((F.col("ts_us") - low) * STREAM_PARTS / F.lit(max(high - low, 1))), F.lit(STREAM_PARTS - 1))
+    for k in range(STREAM_PARTS):
+        rows.filter(part == k).repartition(STREAM_FILES).write.mode("append").parquet(folder)
+    one = stage(rows.limit(1))
+    for k in range(1, 3):  # twice, as the second of two chained aggregations is a batch behind
+        last = one.withColumn("ts_us", F.lit(high + k * AHEAD_US)).withColumn("ts", F.timestamp_micros("ts_us")).select(*rows.columns)
+        for _ in range(STREAM_FILES):
+            last.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(folder)
+
+
+def before(rows: DataFrame, us: str) -> DataFrame:
+    """Rows that the last rows didn't make: only they are beyond the squeezed month and an hour."""
+    return rows.filter(F.col(us) < LAST_US)
 
 
-_MARK = "(SELECT (max(ts_us)-10000000)//1000*1000 FROM {0})"
+# Events are squeezed to 1000 seconds, and bursts last for minutes.
+LAST_US = 7_000_000_000
 
 
-@query("stream_flows", f"SELECT flow_id, packet_count, byte_count, remote_ip, first_us, last_us FROM net_flows WHERE last_us+4999999<={_MARK.format('packets')}")
+def packet_stream(spark, sf):
+    return replayed(spark, A.packets(spark, sf))
+
+
+@query("stream_flows", "SELECT flow_id, packet_count, byte_count, remote_ip, first_us, last_us FROM net_flows")
 def _(spark, sf):
     return drained(spark, windows.stream_flows(packet_stream(spark, sf)).select(
         "flow_id", "packet_count", "byte_count", "remote_ip", "first_us", "last_us"))
@@ -826,19 +852,22 @@ def _(spark, sf):
 
 @query("stream_connections", f"SELECT {KEY}, first_us FROM bare_flows")
 def _(spark, sf):
-    return drained(spark, stateful.stream_connections(packet_stream(spark, sf))).select(*FLOW_KEY, "first_us")
+    return before(drained(spark, stateful.stream_connections(packet_stream(spark, sf))), "first_us").select(*FLOW_KEY, "first_us")
+
+
+@query("stream_reevaluate", ORACLES["reevaluations"])
+def _(spark, sf):
+    rows = before(drained(spark, stateful.stream_reevaluate(packet_stream(spark, sf))), "eval_us")
+    return rows.select(flows.flow_id(FLOW_KEY).alias("flow_id"), "eval_us", (F.col("eval_us") - F.col("first_us")).alias("flow_age_us"), "packet_count", "byte_count")
 
 
 def connection_stream(spark, sf):
-    """New flows written by a batch job, read as a stream."""
-    events = crossflow.connections(net_flows(spark, sf)).withColumn("ts", F.timestamp_micros("ts_us"))
-    folder = work_folder(spark)
-    events.write.parquet(f"{folder}/connections")
-    return spark.readStream.schema(events.schema).parquet(f"{folder}/connections")
+    """New flows as a stream."""
+    return replayed(spark, crossflow.connections(net_flows(spark, sf)))
 
 
 @query("stream_scan_dns", f"""SELECT pid0 AS pid, remote_ip, min(ts_us) AS first_us, count(*) AS scan_count, CAST(sum(CASE WHEN protocol=17 AND remote_port=53 THEN 1 ELSE 0 END) AS BIGINT) AS dns_count
-FROM conn_marked GROUP BY pid0, remote_ip, run HAVING max(ts_us)+60000000<={_MARK.format("conn")}""")
+FROM conn_marked GROUP BY pid0, remote_ip, run""")
 def _(spark, sf):
     return drained(spark, windows.stream_scan_dns(connection_stream(spark, sf)))
 
@@ -846,12 +875,35 @@ def _(spark, sf):
 @query("stream_running_counts", """SELECT scan_count, dns_count, count(*) AS flows FROM (SELECT count(*) OVER w AS scan_count,
   CAST(sum(CASE WHEN protocol=17 AND remote_port=53 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS dns_count FROM conn_marked WINDOW w AS (PARTITION BY pid0, remote_ip, run ORDER BY ts_us, flow_id ROWS UNBOUNDED PRECEDING)) GROUP BY ALL""")
 def _(spark, sf):
-    rows = drained(spark, stateful.stream_running_counts(connection_stream(spark, sf)))
-    return rows.groupBy("scan_count", "dns_count").agg(F.count("*").alias("flows"))
+    connections = connection_stream(spark, sf)
+    rows = drained(spark, stateful.stream_running_counts(connections.withColumn("flow_id", F.when(F.col("ts_us") < LAST_US, F.col("flow_id")))))
+    return rows.filter("flow_id IS NOT NULL").groupBy("scan_count", "dns_count").agg(F.count("*").alias("flows"))
+
+
+@query("stream_beacon", f"""SELECT flow_id, n AS beacon_n, {S.e6("CASE WHEN n>1 AND total>0 THEN total/(n-1)/1e6 END")} AS mean_e6,
+  {S.e6("CASE WHEN n>1 AND total>0 THEN sqrt(greatest((n-1)*CAST(squares AS DOUBLE)/(CAST(total AS DOUBLE)*total)-1.0, 0.0)) END")} AS cv_e6
+FROM (SELECT flow_id, place-min(place) OVER w+1 AS n, ts_us-min(ts_us) OVER w AS total, running-min(running) OVER w AS squares
+  FROM (SELECT *, CAST(sum(gap*gap) OVER o AS BIGINT) AS running FROM (SELECT *, row_number() OVER o AS place, CASE WHEN ts_us-lag(ts_us) OVER o<=60000000 THEN ts_us-lag(ts_us) OVER o ELSE 0 END AS gap
+    FROM conn WINDOW o AS (PARTITION BY remote_ip, remote_port, protocol ORDER BY ts_us, flow_id)) WINDOW o AS (PARTITION BY remote_ip, remote_port, protocol ORDER BY ts_us, flow_id))
+  WINDOW w AS (PARTITION BY remote_ip, remote_port, protocol ORDER BY ts_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))""")
+def _(spark, sf):
+    connections = connection_stream(spark, sf)
+    rows = drained(spark, stateful.stream_beacon(connections.withColumn("flow_id", F.when(F.col("ts_us") < LAST_US, F.col("flow_id")))))
+    return rows.filter("flow_id IS NOT NULL").select("flow_id", "beacon_n", e6("beacon_mean_s").alias("mean_e6"), e6("beacon_cv").alias("cv_e6"))
+
+
+@query("stream_cooldown", ORACLES["cooldown"])
+def _(spark, sf):
+    blocks = A.verdicts(spark, sf).filter("verdict = 'Block'").select(
+        (F.col("ts_ms") * 1000).alias("ts_us"), F.col("verdict_id").cast("string").alias("flow_id"), F.col("b_ip").alias("remote_ip"), "ttl_ms")
+    last = blocks.agg(F.max("ts_us")).first()[0]
+    rows = drained(spark, stateful.stream_cooldown(replayed(spark, blocks))).filter(F.col("ts_us") <= F.lit(last))
+    return rows.select(F.col("remote_ip").alias("remote"), F.expr("ts_us div 1000").alias("ts_ms"), F.expr("until_us div 1000").alias("until"))
 
 
 @query("stream_diversity", f"""SELECT pid, window_end_us, count(DISTINCT remote_ip) AS distinct_ips, count(*) AS pid_connections FROM (
   SELECT pid, remote_ip, unnest(generate_series(ts_us//1000000*1000000+1000000, ts_us//1000000*1000000+10000000, 1000000)) AS window_end_us FROM conn WHERE pid IS NOT NULL)
-GROUP BY ALL HAVING window_end_us<={_MARK.format("conn")}""")
+GROUP BY ALL""")
 def _(spark, sf):
-    return drained(spark, windows.stream_diversity(connection_stream(spark, sf)))
+    known = crossflow.connections(net_flows(spark, sf)).filter("pid IS NOT NULL")
+    return before(drained(spark, windows.stream_diversity(replayed(spark, known))), "window_end_us")
