@@ -335,7 +335,7 @@ def test_fingerprints(docs, nothing, spark):
     assert len(got) == len(texts())
     shas = Counter(r["edited_sha256"] for r in got if r["doc_id"] in (1, 4, 100, 101, 102))
     order = spark.createDataFrame(texts(), "doc_id long, text string")
-    order = [(r["doc_id"], r["text"]) for r in imatch.narrow(order).distinct().orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    order = [(r["doc_id"] if r["doc_id"] != R.NOBODY else None, r["text"]) for r in imatch.narrow(order).distinct().orderBy("doc_id", "h").collect()]
     for k, (d, t) in enumerate(order):
         q = len(t) // 4
         edited = t[: len(t) - q] + order[(k + 1) % len(order)][1][:q]
