@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 #: The ASCII white space that ends a word.
 WHITE = np.zeros(256, bool)

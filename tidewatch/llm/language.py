@@ -24,6 +24,8 @@ from tidewatch.llm import kernels as K
 
 SAMPLE, SHORTEST, LONGEST, LEARNED = 40, 100, 4000, 12_000
 BLOCK = 1024
+#: Bytes of text parsed side by side.
+PIECE = 6 << 20
 #: Symbols: 0 between words, 1 for rare letters, the others for the most frequent letters of the sample.
 SYMBOLS = 64
 UNKNOWN = "und"
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(frozen)
-        for piece in K.pieces(batches, limit=4 * K.PIECE):
+        for piece in K.pieces(batches, limit=PIECE):
             names, score = model.judge(*K.flat(piece.column("text")))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 

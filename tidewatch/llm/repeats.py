@@ -47,13 +47,13 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def chunked(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, carry: tuple[str, ...] = (), share: int = SHARE) -> tuple[DataFrame, int]:
     """chunk, doc_id (null: the least), text as UTF-8 bytes (null: none), columns to carry as c0, c1, ...; and the number of shards."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK))
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))), max(1, -(-size // SHARE))
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))), max(1, -(-size // share))
 
 
 def slide(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,9 +76,9 @@ class Part:
         self.values, self.bounds = elements(self, self.data, self.offsets)
         self.width = width
         n = len(self.values)
-        self.row = K.rows_of(self.bounds)
-        inside = K.whole(self.row, width)
-        at = np.flatnonzero(inside)
+        row = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
+        at = np.flatnonzero(K.whole(row, width))
+        del row
         self.start = self.count = np.zeros(0, np.int64)
         self.key = np.zeros(0, np.uint64)
         if not len(at):
@@ -89,7 +89,12 @@ class Part:
         head = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)]))
         self.start = at[head]
         self.count = np.diff(np.concatenate([head, [len(at)]]))
-        self.key = grams[best[head].astype(np.int64)] >> np.uint64(16)
+        # Anchors are least grams; mixed anew, their keys are even.
+        self.key = K.mix(grams[best[head].astype(np.int64)]) >> np.uint64(16)
+
+    def row(self, at: np.ndarray) -> np.ndarray:
+        """Row of each element."""
+        return np.searchsorted(self.bounds, at, "right") - 1
 
 
 def parts(batches: Iterable[pa.RecordBatch], width: int, gram: int, elements: Callable) -> Iterator[Part]:
@@ -123,7 +128,7 @@ def asked(keys_docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 def candidates(table: pa.Table, width: int, gram: int, elements: Callable) -> tuple[list[Part], np.ndarray, np.ndarray]:
     found = list(parts(table.to_batches(), width, gram, elements))
-    return found, *asked([(p.key, p.ids[p.row[p.start]]) for p in found])
+    return found, *asked([(p.key, p.ids[p.row(p.start)]) for p in found])
 
 
 def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
@@ -173,7 +178,7 @@ def shared_anchors(docs: DataFrame, shards: int, width: int, gram: int, elements
 
 
 def _light(table: pa.Table, width: int, gram: int, elements: Callable) -> tuple[np.ndarray, np.ndarray]:
-    return asked([(p.key, p.ids[p.row[p.start]]) for p in parts(table.to_batches(), width, gram, elements)])
+    return asked([(p.key, p.ids[p.row(p.start)]) for p in parts(table.to_batches(), width, gram, elements)])
 
 
 def told(replied: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:

@@ -37,7 +37,7 @@ def edges(found: list[R.Part], shared: np.ndarray) -> list[np.ndarray]:
         on = R.member(part.key, shared)
         size = part.count[on]
         at = np.repeat(part.start[on] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, size) + np.arange(size.sum())
-        row = part.row[at]
+        row = part.row(at)
         node, edge = K.windows(part.values, part.width - 1)[at] >> np.uint64(32), K.windows(part.values, part.width)[at]
         out.append((node.astype(np.uint32), edge, part.ids[row], (at - part.bounds[row]).astype(np.int32), np.full(len(at), k, np.int32), at))
     return [np.concatenate(x) for x in zip(*out)]

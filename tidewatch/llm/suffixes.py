@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch.llm import kernels as K, repeats as R
 
 WIDTH, GRAM = 50, 20
+#: Bytes of text whose fragments go to one shard, on average: a shard sorts at most some four times as many.
+SHARE = 2 << 20
 #: Entries of a queue that are held in memory.
 SPILL = 1 << 20
 #: Largest number of symbols for which a level is sorted by induction.
@@ -48,18 +50,19 @@ class Queue:
         if self.held > SPILL:
             self.file = self.file or tempfile.TemporaryFile()
             for x in self.parts:
-                self.file.write(np.ascontiguousarray(x, np.int64).tobytes())
+                self.file.write(np.ascontiguousarray(x, np.int32).tobytes())
             self.parts, self.held = [], 0
 
     def take(self) -> Iterator[np.ndarray]:
         if self.file:
             self.file.seek(0)
-            while block := self.file.read(8 * SPILL):
-                yield np.frombuffer(block, np.int64)
+            while block := self.file.read(4 * SPILL):
+                yield np.frombuffer(block, np.int32)
             self.file.close()
             self.file = None
-        parts, self.parts, self.held = self.parts, [], 0
-        yield from parts
+        if self.parts:
+            whole, self.parts, self.held = np.concatenate(self.parts), [], 0
+            yield whole
 
 
 def _deal(queues: list[Queue], symbols: np.ndarray, suffixes: np.ndarray) -> None:
@@ -106,7 +109,7 @@ def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, n_symbols: in
         for block in reversed(larger[c]):
             found = before(block[::-1], True)
             _deal(queues, text[found], found)
-    end = np.array([len(text) - 1])
+    end = np.array([len(text) - 1], np.int32)
     ordered = [x for c in range(n_symbols) for x in [*larger[c], *(b[::-1] for b in reversed(smaller[c]))]]
     return np.concatenate([end, *ordered]) if ordered else end
 
@@ -130,22 +133,24 @@ def suffix_order(text: np.ndarray, cover: int) -> np.ndarray:
     """Order of the suffixes of ``text`` (its last symbol 0, found only there) by their first ``cover`` symbols at least."""
     n = len(text)
     if n < 3:
-        return np.arange(n)[::-1]
+        return np.arange(n, dtype=np.int32)[::-1]
     n_symbols = int(text.max()) + 1
-    step = np.sign(np.diff(text.astype(np.int64)))
-    moves = np.flatnonzero(step)
-    after = moves[np.minimum(np.searchsorted(moves, np.arange(n - 1)), len(moves) - 1)]
+    up, moves = text[1:] > text[:-1], text[1:] != text[:-1]
+    after = np.where(moves, np.arange(n - 1, dtype=np.int32), np.int32(n - 2))
+    after = np.minimum.accumulate(after[::-1])[::-1]  # the next place where the symbol changes
     small = np.ones(n, bool)
-    small[:-1] = step[after] > 0
-    first = np.flatnonzero(small[1:] & ~small[:-1]) + 1  # leftmost S-suffixes, the end among them
+    small[:-1] = up[after]
+    del up, moves, after
+    first = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)  # leftmost S-suffixes, the end among them
     rough = induce(text, small, first, n_symbols)
     is_first = np.zeros(n, bool)
     is_first[first] = True
     sorted_first = rough[is_first[rough]]
-    stop = np.full(n, n)
+    stop = np.full(n, n, np.int32)
     stop[first[:-1]] = first[1:] + 1
-    own = K._spans(K.mix(text.astype(np.uint64) + np.uint64(1)), sorted_first, np.minimum(stop[sorted_first], n))
-    name = np.zeros(n, np.int64)
+    own = K._spans(K.mix(np.arange(1, n_symbols + 1, dtype=np.uint64))[text], sorted_first, np.minimum(stop[sorted_first], n))
+    del rough, is_first, stop
+    name = np.zeros(n, np.int32)
     name[sorted_first] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
     names = name[first]
     if names.max() + 1 < len(names):
@@ -157,7 +162,7 @@ def suffix_order(text: np.ndarray, cover: int) -> np.ndarray:
 
 def strings(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """``starts`` in the order of their suffixes, and where in it a string of ``width`` bytes begins that differs from the one before."""
-    wanted = np.full(len(text), -1)
+    wanted = np.full(len(text), -1, np.int32)
     wanted[starts] = np.arange(len(starts))
     order = suffix_order(text, width)
     order = order[wanted[order] >= 0]
@@ -190,7 +195,7 @@ class Fragments:
             on = R.member(part.key, shared)
             start, count = part.start[on], part.count[on]
             content = K.span_hashes(part.data, start, start + count + width - 1)
-            rows.append((part.key[on], content, part.ids[part.row[start]], np.full(len(start), k, np.int32), start, count))
+            rows.append((part.key[on], content, part.ids[part.row(start)], np.full(len(start), k, np.int32), start, count))
         self.key, self.content, self.doc, self.part, self.start, self.count = (np.concatenate(x) for x in zip(*rows))
         order, head = R.first_of(self.key, self.content, self.doc)
         self.own = order[head]
@@ -254,7 +259,7 @@ def judged(rows: list[list[np.ndarray]], width: int) -> list[np.ndarray]:
 
 def _walk(docs: DataFrame, emit, schema: str, width: int, gram: int, carry: tuple[str, ...] = ()) -> DataFrame:
     assert width - gram + 1 <= 32, "the strings of a fragment are named by 32 bits"
-    chunks, shards = R.chunked(docs, carry)
+    chunks, shards = R.chunked(docs, carry, SHARE)
     near = R.shared_anchors(chunks, shards, width, gram, raw)
 
     def known(table: pa.Table, replied: pa.Table) -> Fragments | None:
