@@ -460,17 +460,35 @@ def _(spark, sf):
     return decide.top_detector(A.findings(spark, sf))
 
 
-@query("actionable", f"""WITH RECURSIVE dec AS ({S.DECIDED}), fl AS ({build("SELECT flow_id, eval_us FROM net_flows")}),
+_CHAIN = f"""WITH RECURSIVE dec AS ({S.DECIDED}), fl AS ({build("SELECT flow_id, eval_us FROM net_flows")}),
  b AS (SELECT remote_ip, eval_us, min((flow_id, ttl_ms)) AS r FROM dec JOIN fl USING (flow_id) WHERE verdict='Block' GROUP BY ALL),
  nodes AS (SELECT remote_ip, eval_us, r[1] AS flow_id, eval_us+r[2]*1000 AS until FROM b),
  jumps AS (SELECT n.*, m.eval_us AS nxt FROM nodes n ASOF LEFT JOIN nodes m ON n.remote_ip=m.remote_ip AND n.until<=m.eval_us),
  chain AS (SELECT j.* FROM jumps j JOIN (SELECT remote_ip, min(eval_us) AS eval_us FROM nodes GROUP BY 1) s USING (remote_ip, eval_us)
    UNION ALL SELECT j.* FROM chain c JOIN jumps j ON j.remote_ip=c.remote_ip AND j.eval_us=c.nxt)
-SELECT flow_id, 'Block' AS verdict FROM chain UNION ALL SELECT flow_id, 'Alert' FROM dec WHERE verdict='Alert'""")
+"""
+
+
+@query("actionable", _CHAIN + "SELECT flow_id, 'Block' AS verdict FROM chain UNION ALL SELECT flow_id, 'Alert' FROM dec WHERE verdict='Alert'")
 def _(spark, sf):
     return actionable(stage(decided(spark, sf).select("flow_id", "remote_ip", "eval_us", "ttl_ms", "verdict"))).select("flow_id", "verdict")
 
 
+# Squeezed events end here.
+_END_MS = 1_000_000
+
+
+@query("enforced_blocks", _CHAIN + f"""SELECT ip_text, CAST(ts_ms+ttl_ms-{_END_MS} AS BIGINT) AS remaining_ms FROM (
+  SELECT remote_ip AS ip_text, max(eval_us)//1000 AS ts_ms, arg_max(until-eval_us, eval_us)//1000 AS ttl_ms FROM chain GROUP BY 1) WHERE ts_ms+ttl_ms>{_END_MS}""")
+def _(spark, sf):
+    """Packets to verdicts to carried-out Blocks to the stored log to the addresses that are blocked."""
+    rows = decided(spark, sf).select("flow_id", "remote_ip", "eval_us", "ttl_ms", "reason", "composite_score", *VERDICT_KEY)
+    path = f"{work_folder(spark)}/enforcement"
+    sinks.write_enforcement(sinks.enforcement_rows(actionable(stage(rows))), path)
+    log = sinks.read_table(spark, path)
+    return audit.active_blocks(log, _END_MS).select("ip_text", "remaining_ms")
+
+
 @query("custom_detector", f"SELECT verdict_id, CASE WHEN composite_score>0.9 THEN 'Errored' ELSE 'Completed' END AS status, CASE WHEN composite_score>0.9 THEN 0 ELSE {S.e6('CAST(composite_score AS FLOAT)')} END AS score_e6 FROM verd")
 def _(spark, sf):
     def fragile(row):

@@ -56,7 +56,8 @@ def verdict_rows(decided: DataFrame, ts_ms=None) -> DataFrame:
 
 
 def write_verdicts(decided: DataFrame, path: str) -> None:
-    """``decided`` should be a written table (``lineage.stage``)."""
+    """``decided`` should be a written table (``lineage.stage``) of ``pipeline.actionable`` rows: a Block that is skipped
+    (exempt, or within the cooldown of another) is not stored."""
     append(verdict_rows(decided), path)
 
 
@@ -92,6 +93,21 @@ def write_enforcement(events: DataFrame, path: str) -> None:
     append(new_enforcement(events, stored), path)
 
 
+def enforcement_rows(actionable: DataFrame) -> DataFrame:
+    """Log rows of the Blocks that are carried out (``pipeline.actionable``), with repeatable ids.
+
+    ``detector`` is taken from the column of that name where there is one.
+    """
+    stamp = F.call_function("div", F.col("eval_us"), F.lit(1000).cast("bigint"))
+    detector = F.col("detector") if "detector" in actionable.columns else F.lit(None).cast("string")
+    return actionable.filter("verdict = 'Block'").select(
+        F.md5(F.concat_ws("|", verdict_id(), F.col("eval_us").cast("string"))).alias("event_id"), stamp.alias("ts_ms"),
+        F.lit("Block").alias("action"), ip_blob("remote_ip").alias("ip_blob"), F.col("remote_ip").alias("ip_text"), "ttl_ms",
+        "reason", detector.alias("detector"), F.col("composite_score").cast("double").alias("score"),
+        F.lit(None).cast("string").alias("error"),
+    ).select(*ENFORCEMENT.fieldNames())
+
+
 def write_circuit_events(events: DataFrame, path: str) -> None:
     append(events, path)
 
