@@ -2,11 +2,12 @@
 
 Documents with equal sets are one class. Each class has ``COORDINATES`` minwise tokens. In each of ``TREES`` independent trees the
 classes branch by one token after another: a node holds the classes that agree in all tokens of its path. A node of at most ``SMALL``
-classes is compared exhaustively; a larger one branches on, at each level linking all its classes to one pivot, so that a crowd
-of copies costs its size and not its square. At likeness 0.8 a pair meets in a node of depth d of some tree with probability
+classes is compared exhaustively; a larger one branches on, and if its classes have ``ALIKE`` tokens in common, links all of them to
+one pivot, so that a crowd of copies costs its size and not its square; classes that so stay apart from their crowd, and are not far from
+the pivot, are compared with ``PIVOTS`` others of it, in every tree. At likeness 0.8 a pair meets in a node of depth d of some tree with probability
 1 - (1 - 0.8^d)^16: all but 7e-12 at depth 1, 1e-5 at depth 3. Candidates whose tokens agree far less than the likeness asked for go
 (five standard deviations below), and the others are confirmed on their full sets: first each class's likeliest partner, then
-what still lies between two groups.
+what still lies between two groups, then the further pivots of crowds.
 
 A null or empty text has an empty set and is linked with nothing. A null doc_id is smaller than all others. Rows with
 one doc_id are documents each. Further columns are ignored by ``groups`` and carried by ``keep``; an empty table gives an empty result.
@@ -18,13 +19,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.llm import kernels as K, repeats as R
 from tidewatch.plans.lineage import stage
 
 WIDTH, PERCENT = 4, 80
 TREES, COORDINATES, SMALL, DEPTH = 16, 64, 24, 8
+#: Tokens that a crowd has in common, at least, when its classes are linked to a pivot.
+ALIKE = 3
+#: Further pivots of such a crowd for those of its classes that the first one didn't link.
+PIVOTS = 32
 _RNG = np.random.default_rng(987654321)
 _FACTORS = _RNG.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = [int(x) for x in _RNG.integers(-(2**62), 2**62, TREES)]
@@ -95,23 +100,35 @@ def token(tree, level: int):
     return F.get("tokens", ((tree + TREES * level + 7 * (TREES * level // COORDINATES)) % COORDINATES).cast("int"))
 
 
-def candidates(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that share a small node or a large node's pivot."""
+def candidates(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of classes that share a small node or a crowd's pivot; and the first crowds of each tree (key, node, pivot)."""
     rows = classes.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "value")).select("node", "tree", F.xxhash64("tree", "value").alias("key"))
     salt = F.element_at(F.array(*map(F.lit, _SALTS)), F.col("tree") + 1)
-    pairs = None
+    pairs = crowded = None
     for level in range(depth):
         crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(salt)).alias("pivot")).where("n > 1")
         held = stage(rows.join(crowds, "key").withColumn("pivot", F.col("pivot").bitwiseXOR(salt)))
         few, crowd = held.where(F.col("n") <= small).select("key", "node"), held.where(F.col("n") > small)
         both = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
         led = crowd.where("pivot != node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-        found = both.unionByName(led)
+        found = both.unionByName(led) if level + 1 >= min(ALIKE, depth) else both
         pairs = found if pairs is None else pairs.unionByName(found)
+        if level + 1 <= min(ALIKE, depth):
+            crowded = crowd.select("key", "node", "pivot")
         if level + 1 == depth or crowd.isEmpty():
             break
         rows = crowd.select("node", "tree", "key").join(classes.select("node", "tokens"), "node").select("node", "tree", F.xxhash64("key", token(F.col("tree"), level + 1)).alias("key"))
-    return pairs.distinct()
+    return pairs.distinct(), crowded
+
+
+def further(crowds: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs of the classes that aren't linked with their crowd's pivot and of further pivots of the crowd."""
+    own, lead = (tops.select(F.col("node").alias(c), F.col("top").alias(f"top_{c}")) for c in ("node", "pivot"))
+    apart = crowds.join(own, "node", "left").join(lead, "pivot", "left").where(F.coalesce("top_node", "node") != F.coalesce("top_pivot", "pivot")).select("key", "node")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))  # cut to its first rows in each task
+    others = crowds.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("node").alias("other"))
+    both = apart.join(others, "key").where("node != other")
+    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -131,27 +148,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches):
             hashes, bounds = sets(piece, width)
-            at = bounds.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(names(hashes, bounds)), pa.array([R.pack(np.diff(hashes[a:b] >> np.uint64(8), prepend=np.uint64(0))) for a, b in zip(at, at[1:])], pa.binary())], ["node", "members"])
+            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names(hashes, bounds)), listed], ["node", "members"])
 
     needed = narrow(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return needed.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return needed.mapInArrow(run, "node long, members array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full sets have the likeness."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("m_a").to_pylist(), batch.column("m_b").to_pylist()):
-                x, y = (np.cumsum(R.unpack(s)[0], dtype=np.uint64) for s in (x, y))
-                common = int((x == y[np.minimum(np.searchsorted(y, x), len(y) - 1)]).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     left, right = (members.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}")) for x in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    common = F.size(F.array_intersect("m_a", "m_b"))
+    good = 100 * common >= percent * (F.size("m_a") + F.size("m_b") - common)
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(good).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,20 +178,30 @@ def components(edges: DataFrame) -> DataFrame:
             return tops
 
 
+def apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs of classes that aren't in one group yet."""
+    left, right = (tops.select(F.col("node").alias(x), F.col("top").alias(f"top_{x}")) for x in "ab")
+    return pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b")
+
+
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     seen = stage(sketches(docs, width))
     classes = stage(seen.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens")))
-    pairs = stage(likely(candidates(classes, small, depth), classes, percent))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc_id"), "node")
-    members = stage(full_sets(docs, wanted, width))
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "same").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "same"))
-    best = ends.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    found, crowds = candidates(classes, small, depth)
+    pairs = stage(likely(found, classes, percent))
+    # Of a crowd, those count that may reach the likeness with its pivot: two steps from it at most.
+    ends = crowds.select("key", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    crowds = stage(ends.join(pairs, ["a", "b"], "left_semi").select("key", "node", "pivot"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    members = stage(full_sets(docs, ends.distinct().join(classes.select("node", "doc_id"), "node"), width))
+    sided = pairs.select(F.col("a").alias("node"), "a", "b", "same").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "same"))
+    best = stage(sided.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
     links = stage(confirmed(best, members, percent))
+    links = stage(links.unionByName(confirmed(apart(pairs, components(links)).join(best, ["a", "b"], "left_anti"), members, percent)))
     tops = components(links)
-    joined = pairs.join(tops.select(F.col("node").alias("a"), F.col("top").alias("x")), "a", "left").join(tops.select(F.col("node").alias("b"), F.col("top").alias("y")), "b", "left")
-    between = joined.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    tops = components(links.unionByName(confirmed(between, members, percent)))
+    rest = likely(further(crowds, tops).join(pairs, ["a", "b"], "left_anti"), classes, percent)
+    tops = components(links.unionByName(confirmed(apart(rest, tops), members, percent)))
     of_class = classes.select("node", "doc_id").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
     least = of_class.groupBy("top").agg(F.min("doc_id").alias("component"))
     of_class = stage(of_class.select("node", "top").join(least, "top").select("node", "component"))
