@@ -28,7 +28,7 @@ from tidewatch.llm import kernels as K
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers at most, and their longest.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Rows of one length that are ranked together at most, on average.
 RANKED = 100_000
 
@@ -59,9 +59,9 @@ class Ids(dict):
         for w in ends:
             self[w] = self[w[:-1]] + self[w[-1:]]
         found = [b"".join(map(self.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > LONGEST:
-                del self[w]
+        # Long words, and words made up of two, are not remembered.
+        for w in {w for w in new if len(w) > LONGEST}.union(ends):
+            del self[w]
         return found
 
     def _learn(self, words: set[bytes]) -> None:
