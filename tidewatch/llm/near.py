@@ -29,7 +29,7 @@ TREES, COORDINATES, SMALL, DEPTH = 16, 64, 24, 8
 #: Tokens that a crowd has in common, at least, when its classes are linked to a pivot.
 ALIKE = 3
 #: Further pivots of such a crowd for those of its classes that the first one didn't link.
-PIVOTS = 8
+PIVOTS = 32
 _RNG = np.random.default_rng(987654321)
 _FACTORS = _RNG.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = [int(x) for x in _RNG.integers(-(2**62), 2**62, TREES)]
