@@ -371,6 +371,22 @@ def test_a_crowd_of_near_copies_is_one_group(spark, nothing):
     assert near.groups(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 50])
+def test_pairs_on_one_template_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    template, rows = some(172), []
+    for k in range(150):  # likeness 0.75 to all others, 0.80 to 0.85 to the partner
+        own = rng.randint(17, 21)
+        shared = some(28 - own)
+        rows += [(2 * k, f"{template} {shared} {some(own)}"), (2 * k + 1, f"{template} {shared} {some(own)}")]
+    got = near.groups(frame(spark, rows))
+    want = brute.near(rows)
+    assert len({r[2] for r in want}) == 150
+    assert found(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=str)
+
+
 # 10
 
 

@@ -3,11 +3,12 @@
 Documents with equal sets are one class. Each class has ``COORDINATES`` minwise tokens. In each of ``TREES`` independent trees the
 classes branch by one token after another: a node holds the classes that agree in all tokens of its path. A node of at most ``SMALL``
 classes is compared exhaustively; a larger one branches on, and if its classes have ``ALIKE`` tokens in common, links all of them to
-one pivot, so that a crowd of copies costs its size and not its square; classes that so stay apart from their crowd, and are not far from
-the pivot, are compared with ``PIVOTS`` others of it, in every tree. At likeness 0.8 a pair meets in a node of depth d of some tree with probability
-1 - (1 - 0.8^d)^16: all but 7e-12 at depth 1, 1e-5 at depth 3. Candidates whose tokens agree far less than the likeness asked for go
-(five standard deviations below), and the others are confirmed on their full sets: first each class's likeliest partner, then
-what still lies between two groups, then the further pivots of crowds.
+one pivot, so that a crowd of copies costs its size and not its square. Nodes that are still larger at depth ``DEPTH``, where the
+tokens of all trees are used once, are compared exactly: their classes outside the node's largest group with all of the node, on the
+full sets, in blocks. At likeness 0.8 a pair so meets in a node of depth d of some tree, and is compared there, with probability
+1 - (1 - 0.8^d)^16: all but 7e-12 at depth 1, 1e-5 at depth 3, 2e-4 at depth 4 (7e-6 at likeness 0.85), however large a node is.
+Candidates of small nodes and of pivots whose tokens agree far less than the likeness asked for go (five standard deviations below),
+and the others are confirmed on their full sets: first each class's likeliest partner, then what still lies between two groups.
 
 A null or empty text has an empty set and is linked with nothing. A null doc_id is smaller than all others. Rows with
 one doc_id are documents each. Further columns are ignored by ``groups`` and carried by ``keep``; an empty table gives an empty result.
@@ -25,11 +26,13 @@ from tidewatch.llm import kernels as K, repeats as R
 from tidewatch.plans.lineage import stage
 
 WIDTH, PERCENT = 4, 80
-TREES, COORDINATES, SMALL, DEPTH = 16, 64, 24, 8
+TREES, COORDINATES, SMALL, DEPTH = 16, 64, 24, 4
 #: Tokens that a crowd has in common, at least, when its classes are linked to a pivot.
 ALIKE = 3
-#: Further pivots of such a crowd for those of its classes that the first one didn't link.
-PIVOTS = 32
+#: Classes, and shingles of them, in a block of a crowd that is compared exactly, on average.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Classes that have a shingle, at most, when its pairs are counted one by one.
+RARE = 24
 _RNG = np.random.default_rng(987654321)
 _FACTORS = _RNG.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = [int(x) for x in _RNG.integers(-(2**62), 2**62, TREES)]
@@ -101,10 +104,10 @@ def token(tree, level: int):
 
 
 def candidates(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a < b, of classes that share a small node or a crowd's pivot; and the first crowds of each tree (key, node, pivot)."""
+    """Pairs (a, b), a < b, of classes that share a small node or a crowd's pivot; and the crowds that are left at the last depth (key, node)."""
     rows = classes.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "value")).select("node", "tree", F.xxhash64("tree", "value").alias("key"))
     salt = F.element_at(F.array(*map(F.lit, _SALTS)), F.col("tree") + 1)
-    pairs = crowded = None
+    pairs = None
     for level in range(depth):
         crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(salt)).alias("pivot")).where("n > 1")
         held = stage(rows.join(crowds, "key").withColumn("pivot", F.col("pivot").bitwiseXOR(salt)))
@@ -113,22 +116,10 @@ def candidates(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> tu
         led = crowd.where("pivot != node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
         found = both.unionByName(led) if level + 1 >= min(ALIKE, depth) else both
         pairs = found if pairs is None else pairs.unionByName(found)
-        if level + 1 <= min(ALIKE, depth):
-            crowded = crowd.select("key", "node", "pivot")
         if level + 1 == depth or crowd.isEmpty():
             break
         rows = crowd.select("node", "tree", "key").join(classes.select("node", "tokens"), "node").select("node", "tree", F.xxhash64("key", token(F.col("tree"), level + 1)).alias("key"))
-    return pairs.distinct(), crowded
-
-
-def further(crowds: DataFrame, tops: DataFrame) -> DataFrame:
-    """Pairs of the classes that aren't linked with their crowd's pivot and of further pivots of the crowd."""
-    own, lead = (tops.select(F.col("node").alias(c), F.col("top").alias(f"top_{c}")) for c in ("node", "pivot"))
-    apart = crowds.join(own, "node", "left").join(lead, "pivot", "left").where(F.coalesce("top_node", "node") != F.coalesce("top_pivot", "pivot")).select("key", "node")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))  # cut to its first rows in each task
-    others = crowds.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("node").alias("other"))
-    both = apart.join(others, "key").where("node != other")
-    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return pairs.distinct(), crowd.select("key", "node")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -178,6 +169,88 @@ def components(edges: DataFrame) -> DataFrame:
             return tops
 
 
+def overlaps(node: np.ndarray, asks: np.ndarray, sets_: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that ask, rows that are asked, and how many members each two have in common."""
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    every, one, own = np.unique(node, return_index=True, return_inverse=True)
+    spots = [np.full(len(every), -1) for _ in "lr"]
+    for spot, rows in zip(spots, (left, right)):
+        spot[own[rows]] = np.arange(len(rows))
+    bounds = sets_.offsets.to_numpy()
+    sizes = np.diff(bounds)[one]
+    start = np.repeat(bounds[one] - bounds[0] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    members = sets_.flatten().to_numpy()[start + np.arange(sizes.sum())]
+    row = np.repeat(np.arange(len(every)), sizes)
+    order = np.argsort(members, kind="stable")
+    members, row = members[order], row[order]
+    many = np.diff(np.flatnonzero(np.concatenate([[True], members[1:] != members[:-1], [True]]))) if len(members) else np.zeros(0, np.int64)
+    name, many = np.repeat(np.arange(len(many)), many), np.repeat(many, many)
+    common = np.zeros((len(left), len(right)), np.float32)
+
+    def count(x: np.ndarray, y: np.ndarray) -> None:
+        l, r = spots[0][x], spots[1][y]
+        both = (l >= 0) & (r >= 0)
+        np.add.at(common.reshape(-1), l[both] * len(right) + r[both], np.float32(1))
+
+    few = many <= RARE
+    n, x = name[few], row[few]
+    for step in range(1, RARE):
+        at = np.flatnonzero(n[step:] == n[:-step])
+        count(x[at], x[at + step])
+        count(x[at + step], x[at])
+    _, n = np.unique(name[~few], return_inverse=True)
+    x = row[~few]
+    for low in range(0, int(n[-1]) + 1 if len(n) else 0, 1024):
+        a, b = np.searchsorted(n, (low, low + 1024))
+        held = np.zeros((len(every), 1024), np.float32)
+        held[x[a:b], n[a:b] - low] = 1
+        common += held[own[left]] @ held[own[right]].T
+    return left, right, common
+
+
+def bridges(table: pa.Table, percent: int) -> pa.Table:
+    """Groups (a, b) that likenesses between classes that ask and classes that are asked connect; as few as do so."""
+    node, top, asks = (table.column(c).to_numpy() for c in ("node", "top", "asks"))
+    sets_ = table.column("members").combine_chunks()
+    sizes = np.diff(sets_.offsets.to_numpy()).astype(np.int64)
+    left, right, common = overlaps(node, asks.astype(bool), sets_)
+    group, label = np.unique(top, return_inverse=True)
+    edges = [np.zeros(0, np.int64)]
+    for low in range(0, len(left), 256):
+        mine, both = left[low : low + 256], common[low : low + 256].astype(np.int64)
+        x, y = np.nonzero((100 * both >= percent * (sizes[mine][:, None] + sizes[right][None, :] - both)) & (label[mine][:, None] != label[right][None, :]))
+        edges.append(np.unique(label[mine[x]] * len(group) + label[right[y]]))
+    a, b = np.divmod(np.unique(np.concatenate(edges)), len(group))
+    least = np.arange(len(group))
+    while len(a):
+        lower = least.copy()
+        np.minimum.at(lower, a, least[b])
+        np.minimum.at(lower, b, least[a])
+        lower = lower[lower]
+        if (lower == least).all():
+            break
+        least = lower
+    moved = np.flatnonzero(least != np.arange(len(group)))
+    return pa.table([pa.array(group[moved]), pa.array(group[least[moved]])], ["a", "b"])
+
+
+def across(crowds: DataFrame, tops: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Groups (a, b) that the classes of a crowd connect: those outside its largest group are compared with all of it."""
+    held = crowds.join(tops, "node", "left").join(classes.select("node", "n_shingles"), "node")
+    held = stage(held.select("key", "node", F.coalesce("top", "node").alias("top"), "n_shingles"))
+    parts = held.groupBy("key", "top").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    sums = parts.groupBy("key").agg(F.max(F.struct("n", "top", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("main.n < n")
+    number = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    n, size = F.col("n"), F.col("size")
+    sums = sums.select("key", F.col("main.top").alias("main"), number(n - F.col("main.n"), size - F.col("main.size")).alias("high"), number(n, size).alias("wide"))
+    own = held.join(sums, "key")
+    mine, each = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = own.where("top != main").select("key", "node", "top", F.lit(1).alias("asks"), mine("high").alias("i"), each("wide").alias("j"))
+    right = own.select("key", "node", "top", F.lit(0).alias("asks"), each("high").alias("i"), mine("wide").alias("j"))
+    dealt = left.unionByName(right).join(members, "node")
+    return dealt.groupBy("key", "i", "j").applyInArrow(lambda table: bridges(table, percent), "a long, b long").distinct()
+
+
 def apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     """Pairs of classes that aren't in one group yet."""
     left, right = (tops.select(F.col("node").alias(x), F.col("top").alias(f"top_{x}")) for x in "ab")
@@ -190,18 +263,15 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: i
     classes = stage(seen.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens")))
     found, crowds = candidates(classes, small, depth)
     pairs = stage(likely(found, classes, percent))
-    # Of a crowd, those count that may reach the likeness with its pivot: two steps from it at most.
-    ends = crowds.select("key", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    crowds = stage(ends.join(pairs, ["a", "b"], "left_semi").select("key", "node", "pivot"))
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    crowds = stage(crowds)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node"))
     members = stage(full_sets(docs, ends.distinct().join(classes.select("node", "doc_id"), "node"), width))
     sided = pairs.select(F.col("a").alias("node"), "a", "b", "same").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "same"))
     best = stage(sided.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
     links = stage(confirmed(best, members, percent))
     links = stage(links.unionByName(confirmed(apart(pairs, components(links)).join(best, ["a", "b"], "left_anti"), members, percent)))
     tops = components(links)
-    rest = likely(further(crowds, tops).join(pairs, ["a", "b"], "left_anti"), classes, percent)
-    tops = components(links.unionByName(confirmed(apart(rest, tops), members, percent)))
+    tops = components(links.unionByName(across(crowds, tops, classes, members, percent)))
     of_class = classes.select("node", "doc_id").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
     least = of_class.groupBy("top").agg(F.min("doc_id").alias("component"))
     of_class = stage(of_class.select("node", "top").join(least, "top").select("node", "component"))
