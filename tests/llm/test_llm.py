@@ -429,6 +429,14 @@ def test_languages(spark, nothing):
     assert language.predict(nothing, language.sample(nothing, ~language.held_out())).count() == 0
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(k, "the cat and the dog " * 20, "en") for k in range(20)] + [(100 + k, "le chat et le chien " * 300, "fr") for k in range(20)]
+    table = spark.createDataFrame(rows + [(200, "the cow " * 900, "en")], "doc_id long, text string, lang string")
+    learned = language.sample(table, F.lit(True))
+    assert set(learned) == {"en", "fr"} and len(learned["fr"]) == 20
+    assert all(len(t) <= language.LONGEST for t in learned["en"])
+
+
 def test_blobs():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.int32), np.array([-1, 2], np.int64)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, R.unpack(R.pack(*arrays))))

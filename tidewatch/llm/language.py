@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built of a bounded sample of labelled text: at most ``SAMPLE`` documents (the first by hash,
-of ``SHORTEST`` to ``LONGEST`` characters; a bound on the learned sample only) and ``LEARNED`` symbols. A whole text is parsed against each automaton into
+of ``SHORTEST`` to ``LONGEST`` characters, or of any length where a language has none such; a bound on the learned sample only) and ``LEARNED`` symbols. A whole text is parsed against each automaton into
 longest matches, and the language that needs the fewest phrases, as bits for each symbol, wins; the first by name on a tie. A long
 text is parsed in blocks of ``BLOCK`` symbols, side by side, so that a block's end ends a phrase. Symbols are the letters, in lower
 case, and one for whatever stands between them.
@@ -32,18 +32,21 @@ UNKNOWN = "und"
 
 
 def sample(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
-    """Texts to learn from, by language: at most ``SAMPLE`` each."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(SHORTEST, LONGEST))
-    mixed = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))  # Spark cuts such a window to its first rows in each task
-    picked = mixed.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "id").distinct()
+    """Texts to learn from, by language: at most ``SAMPLE`` each; of a language with none of the length asked for, those of any length."""
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    fits = F.length("text").between(SHORTEST, LONGEST).alias("fits")
+    mixed = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), fits)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("fits"), "h", "id"))  # Spark cuts such a window to its first rows in each task
+    picked = mixed.withColumn("place", place).where(F.col("place") <= SAMPLE).groupBy("lang", "id").agg(F.max("fits").alias("fits"))
     text = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    cut = F.when(F.col("fits"), F.col("text")).otherwise(F.substring("text", 1, LEARNED)).alias("text")
     texts: dict[str, list[str]] = {}
+    others: dict[str, list[str]] = {}
     # The bound on the broadcast ids, and on what comes back, is SAMPLE for each language.
-    for r in sorted(text.join(F.broadcast(picked), ["id", "lang"]).select("id", "lang", "text").distinct().collect()):
-        if r["text"] and len(r["text"]) <= LONGEST:
-            texts.setdefault(r["lang"], []).append(r["text"])
-    return texts
+    for r in sorted(text.join(F.broadcast(picked), ["id", "lang"]).select("id", "lang", cut, "fits").distinct().collect()):
+        if r["text"] and (len(r["text"]) <= LONGEST or not r["fits"]):
+            (texts if r["fits"] else others).setdefault(r["lang"], []).append(r["text"])
+    return others | texts
 
 
 @lru_cache(1)
