@@ -76,3 +76,87 @@ def near(rows, width=4, percent=80):
     for i, (d, _) in enumerate(sets):
         least[top(i)] = min(least.get(top(i), low(d)), low(d))
     return [(d, len(s), None if least[top(i)] == low(None) else least[top(i)], low(d) == least[top(i)]) for i, (d, s) in enumerate(sets)]
+
+
+def fault(row, earlier):
+    """0 sound, 1 blank, 2 duplicate, 3 truncated."""
+    words = WORD.findall(row[1])
+    if not words:
+        return 1
+    if row in earlier:
+        return 2
+    return 0 if words[-1][-1] in ".!?" else 3
+
+
+def cheapest(rows, faults):
+    """Cost, audit and remaining role:text lines of the cheapest repair, ties by audit: all ways, keeping the best of each state.
+
+    Whole audits are compared, and ways that agree in state and number of rows read are compared by cost and audit.
+    """
+    follows = {"": "su", "s": "u", "u": "a", "a": "u"}
+    best = {"": (0, "", ())}
+
+    def better(into, state, way):
+        if state not in into or way[:2] < into[state][:2]:
+            into[state] = way
+            return True
+        return False
+
+    def insertions(ways):
+        todo = list(ways)
+        while todo:
+            state = todo.pop()
+            cost, audit, out = ways[state]
+            for role in ("user", "assistant"):
+                if role[0] in follows[state] and better(ways, role[0], (cost + 2, audit + "I", (*out, f"{role}:"))):
+                    todo.append(role[0])
+        return ways
+
+    for (role, text), bad in zip(rows, faults):
+        plain, new = dict(best), {}
+        for state, (cost, audit, out) in plain.items():
+            better(new, state, (cost + 3, audit + "D", out))
+        if bad in (0, 3):
+            more = bad == 3
+            # Insertions come from every state, as the best way to a state may differ by what follows.
+            for source in plain:
+                for state, (cost, audit, out) in insertions({source: plain[source]}).items():
+                    if role[:1] and role[:1] in follows[state]:
+                        better(new, role[:1], (cost + more, audit + "K", (*out, f"{role}:{text}")))
+                    for to in ("user", "assistant"):
+                        if to[0] in follows[state]:
+                            better(new, to[0], (cost + 2 + more, audit + "R", (*out, f"{to}:{text}")))
+        best = new
+    ends = [w for source in best for state, w in insertions({source: best[source]}).items() if state in ("", "a")]
+    cost, audit, out = min(ends, key=lambda w: w[:2])
+    return cost, audit, list(out)
+
+
+def dialogues(rows):
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 after the planted damage."""
+    import zlib
+
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        own = by[conv]
+        show = lambda x: " " if x is None else str(x)
+        k = zlib.crc32(f"{show(conv)}:{show(turn)}".encode()) % 20
+        role, text = show(role), show(text)
+        if k == 1:
+            text = ""
+        if k == 2:
+            text = re.sub("[.!?]", "", text)
+        if k == 4:
+            role = "user"
+        own += [(turn, role, text)] * (0 if k == 0 else 2 if k == 3 else 1)
+    out = []
+    for conv, own in by.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        pairs = [r[1:] for r in own]
+        faults = [fault(r, pairs[:k]) for k, r in enumerate(pairs)]
+        turns = {r[0] for r in own if r[0] is not None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(pairs, pairs[1:]))
+        cost, audit, left = cheapest(pairs, faults)
+        out.append((conv, gaps, *(faults.count(f) for f in (1, 2, 3)), illegal, cost, audit, hashlib.sha256("\n".join(left).encode()).hexdigest()))
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import chat, imatch, language, mixing, near, packing, quality, substrings, suffixes, warc
+from tidewatch.llm import bytepairs, chat, dialogue, imatch, infill, language, mixing, near, packing, quality, substrings, suffixes, warc
 from tidewatch.plans.lineage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,42 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
     header = F.col("headers")
     return found.select("record_id", "ts", "refers_to", "status", header["content-length"].alias("content_length"), header["date"].alias("date"), F.md5("body").alias("body_md5"))
+
+
+@query("op11_byte_pairs")
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op12_dialogue_repair")
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.digest(dialogue.damage(table(spark, sf_dir, "conversations")))
+
+
+@query(
+    "op13_fill_in_middle",
+    """
+    with texts as (
+        select row_number() over () as row, doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+    ), drawn as (
+        select *, list_filter(string_split(replace(text, chr(10), chr(10) || chr(0)), chr(0)), lambda x: x <> '') as units,
+            cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+            cast('0x' || substr(h, 25, 8) as bigint) as h4
+        from texts
+    ), cut as (
+        select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+            case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+        from drawn
+    ), split as (
+        select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from cut
+    )
+    select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars,
+        case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+        sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+        sha256(text) as restored_sha256
+    from split
+    """,
+)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(table(spark, sf_dir, "documents"))
