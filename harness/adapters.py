@@ -313,3 +313,74 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         gateway.alias("gateway"), pick(["lo0", "en0", "en0", "utun3"], n).alias("iface"),
         (~((n < 3) & ((key + t) % 4 == 0))).alias("is_up"), ((n == 1) | (n == 2) | ((key % 5 == 0) & (n == 3))).alias("is_gateway"),
     )
+
+
+# A fleet: ten users share a host, and every host uses the same ports and pids.
+USERS_PER_HOST = 10
+TICKS, TICK_US = 13, 100_000_000
+
+
+def fleet_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir)
+    fold = lambda c: F.when(F.col(c) >= 40000, 40000 + (F.col(c) - 40000) % USERS_PER_HOST).otherwise(F.col(c)).cast("int")
+    user = ips.v4_num("local_ip") - ips.v4_num(F.lit("10.0.0.0"))
+    host = F.concat(F.lit("h"), div(user, USERS_PER_HOST).cast("string"))
+    return p.withColumns({"src_port": fold("src_port"), "dst_port": fold("dst_port"), "host": host})
+
+
+def with_fleet_pid(flows: DataFrame) -> DataFrame:
+    user = ips.v4_num("local_ip") - ips.v4_num(F.lit("10.0.0.0"))
+    return flows.withColumn("pid", F.when(user % 7 != 0, user % USERS_PER_HOST + 1))
+
+
+def fleet_host(user: Column) -> Column:
+    return F.concat(F.lit("h"), div(user, USERS_PER_HOST).cast("string"))
+
+
+def fleet_port_pids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = squeezed(spark, sf_dir)
+    port = by_type(view=443, click=80, signup=53, purchase=8080, error=22)
+    user = F.col("user_id")
+    return ev.select(
+        fleet_host(user).alias("host"), (div(F.col("us"), 5_000_000) * 5_000_000 + 2_000_000).alias("snapshot_us"),
+        (40000 + user % USERS_PER_HOST).cast("int").alias("port"), F.when(port == 53, 17).otherwise(6).alias("protocol"),
+        (user % USERS_PER_HOST + 1).alias("pid"),
+    ).distinct()
+
+
+def fleet_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = processes(spark, sf_dir)
+    user = F.col("pid")
+    return rows.select(fleet_host(user).alias("host"), (user % USERS_PER_HOST + 1).alias("pid"), "start_us", "end_us", "path")
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "events").select(div(F.col("user_id"), USERS_PER_HOST).alias("h")).distinct()
+    ticks = hosts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TICKS - 1))))
+    return ticks.select("h", "t", F.concat(F.lit("h"), F.col("h").cast("string")).alias("host"), (F.col("t").cast("bigint") * TICK_US).alias("ts_us"))
+
+
+def fleet_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of each host; its tunnel at times has an address that is a remote one otherwise."""
+    h, t, n = F.col("h"), F.col("t"), F.col("n")
+    base = _ticks(spark, sf_dir).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    there = (n == 0) | ((n == 1) & ((t + h) % 7 != 5)) | ((n == 2) & ((t + h) % 6 >= 3))
+    net = F.concat(F.lit("192.168."), (h % 256).cast("string"), F.lit(".2"))
+    return base.filter(there).select(
+        "host", "ts_us", pick(["lo0", "en0", "utun3"], n).alias("iface"),
+        F.when(n == 0, "127.0.0.1").when(n == 1, net).otherwise(pick(POOL, h % 4)).alias("ip"),
+        pick(["255.0.0.0", "255.255.255.0", "255.255.255.255"], n).alias("mask"), (n == 0).alias("is_loopback"),
+    )
+
+
+def fleet_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of each host; gateway and tunnel peer change, and at times there is none."""
+    h, t, n = F.col("h"), F.col("t"), F.col("n")
+    base = _ticks(spark, sf_dir).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    peer = F.when((t + h) % 3 == 0, "203.0.113.53").otherwise(pick(POOL, (h + 1) % 4))
+    return base.select(
+        "host", "ts_us", n.alias("route_order"), pick(["0.0.0.0", "172.16.0.0"], n).alias("dst"),
+        F.when(n == 0, pick(POOL, (h + F.floor(t / 4)) % 9)).otherwise(peer).alias("gateway"),
+        pick(["en0", "utun3"], n).alias("iface"),
+        F.when(n == 0, (t + h) % 5 != 3).otherwise(t % 4 >= 1).alias("is_up"), (n == 0).alias("is_gateway"),
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from harness import adapters as A
 from harness import stages as S
-from harness.sql import KEY, LOG_IP, build, code, f, infra, num, public, rfc1918, text as sql_text, v6
+from harness.sql import KEY, LOG_IP, build, code, f, infra, not_in_force, num, public, rfc1918, text as sql_text, v6
 from tidewatch.functions import ip as ips
 from tidewatch.functions import text
 from tidewatch.operators import audit, crossflow, decide, detectors, domains, enrich, flows, registry, reports, topology
@@ -346,7 +346,10 @@ def _(spark, sf):
   {S.e6("coalesce(cv_a,cv_b)")} AS cv_e6, distinct_ips FROM cross_at""")
 def _(spark, sf):
     f_ = staged_flows(spark, sf)
-    found = crossflow.crossflow_lookup(f_, crossflow.connections(f_))
+    return counters_view(crossflow.crossflow_lookup(f_, crossflow.connections(f_)))
+
+
+def counters_view(found: DataFrame) -> DataFrame:
     return found.select(
         "flow_id", "scan_a", "dns_a", "scan_b", "dns_b",
         (F.coalesce("beacon_a.beacon_n", F.lit(0)) + F.coalesce("beacon_b.beacon_n", F.lit(0))).alias("beacon_n"),
@@ -354,6 +357,58 @@ def _(spark, sf):
         F.coalesce("diversity.distinct_ips", F.lit(0)).alias("distinct_ips"))
 
 
+# -- hosts of a fleet, and what changes with time ------------------------------
+
+def fleet_flows(spark, sf):
+    return stage(A.with_fleet_pid(flows.flows(A.fleet_packets(spark, sf), extra_keys=["host"])))
+
+
+def fleet_excluded(spark, sf):
+    return topology.exclusion_versions(A.fleet_interfaces(spark, sf), A.fleet_routes(spark, sf))
+
+
+@query("exclusion_versions", "SELECT host, ip, valid_from, valid_to FROM fleet_excluded")
+def _(spark, sf):
+    return fleet_excluded(spark, sf)
+
+
+@query("excluded_connections", f"SELECT host, flow_id, remote_ip, first_us AS ts_us FROM fleet_flows f WHERE NOT {infra('remote_ip')} AND {not_in_force('f', 'remote_ip', 'first_us')}")
+def _(spark, sf):
+    return crossflow.connections(fleet_flows(spark, sf), fleet_excluded(spark, sf)).select("host", "flow_id", "remote_ip", "ts_us")
+
+
+def _held(name: str) -> str:
+    return f"EXISTS (SELECT 1 FROM fleet_{name}_versions x WHERE x.host=f.host AND x.ip=f.remote_ip AND f.eval_us>=x.valid_from AND f.eval_us<coalesce(x.valid_to, 9000000000000000000))"
+
+
+@query("block_guard_versions", f"""SELECT flow_id, CASE WHEN {_held("own")} THEN 'remote is own IP' WHEN {_held("gateway")} THEN 'remote is default gateway'
+  WHEN {infra("remote_ip")} THEN 'remote is broadcast/multicast' WHEN NOT {v6("remote_ip")} AND {num("remote_ip")}>>16=43518 THEN 'remote is link-local' END AS skip_reason FROM fleet_flows f""")
+def _(spark, sf):
+    own, gateways = topology.own_versions(A.fleet_interfaces(spark, sf)), topology.gateway_versions(A.fleet_routes(spark, sf))
+    return decide.block_guard(fleet_flows(spark, sf), own, gateways).select("flow_id", "skip_reason")
+
+
+@query("asof_pid_hosts", "SELECT flow_id, host, CAST(local_port AS INTEGER) AS local_port, pid FROM fleet_pid_flows")
+def _(spark, sf):
+    return enrich.asof_pid(fleet_flows(spark, sf), A.fleet_port_pids(spark, sf)).select("flow_id", "host", "local_port", "pid")
+
+
+@query("enrich_all", f"""SELECT flow_id, host, CAST(local_port AS INTEGER) AS local_port, pid, process_path, process_start_us, dns_name, country_code, asn,
+  {S.e6('reputation_score')} AS reputation_e6 FROM fleet_rich_flows""")
+def _(spark, sf):
+    found = enrich.enrich(fleet_flows(spark, sf), **dimensions(spark, sf) | {
+        "snapshots": A.fleet_port_pids(spark, sf), "processes": A.fleet_processes(spark, sf)})
+    return found.select("flow_id", "host", "local_port", "pid", "process_path", "process_start_us", "dns_name", "country_code", "asn",
+                        e6("reputation_score").alias("reputation_e6"))
+
+
+@query("crossflow_excluded", f"""SELECT flow_id, scan_a, dns_a, scan_b, dns_b, CAST(coalesce(n_a,0)+coalesce(n_b,0) AS BIGINT) AS beacon_n,
+  {S.e6("coalesce(cv_a,cv_b)")} AS cv_e6, distinct_ips FROM fleet_cross_at""")
+def _(spark, sf):
+    f_, excluded = fleet_flows(spark, sf), stage(fleet_excluded(spark, sf))
+    return counters_view(crossflow.crossflow_lookup(f_, crossflow.connections(f_, excluded), excluded))
+
+
 # -- detectors and decisions -------------------------------------------------
 
 def finding_view(df: DataFrame, detector: str) -> DataFrame:
@@ -864,8 +919,8 @@ def packet_stream(spark, sf):
 
 @query("stream_flows", "SELECT flow_id, packet_count, byte_count, remote_ip, first_us, last_us FROM net_flows")
 def _(spark, sf):
-    return drained(spark, windows.stream_flows(packet_stream(spark, sf)).select(
-        "flow_id", "packet_count", "byte_count", "remote_ip", "first_us", "last_us"))
+    return before(drained(spark, windows.stream_flows(packet_stream(spark, sf)).select(
+        "flow_id", "packet_count", "byte_count", "remote_ip", "first_us", "last_us")), "first_us")
 
 
 @query("stream_connections", f"SELECT {KEY}, first_us FROM bare_flows")
@@ -887,7 +942,7 @@ def connection_stream(spark, sf):
 @query("stream_scan_dns", f"""SELECT pid0 AS pid, remote_ip, min(ts_us) AS first_us, count(*) AS scan_count, CAST(sum(CASE WHEN protocol=17 AND remote_port=53 THEN 1 ELSE 0 END) AS BIGINT) AS dns_count
 FROM conn_marked GROUP BY pid0, remote_ip, run""")
 def _(spark, sf):
-    return drained(spark, windows.stream_scan_dns(connection_stream(spark, sf)))
+    return before(drained(spark, windows.stream_scan_dns(connection_stream(spark, sf))), "first_us")
 
 
 @query("stream_running_counts", """SELECT scan_count, dns_count, count(*) AS flows FROM (SELECT count(*) OVER w AS scan_count,

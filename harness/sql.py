@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from harness.adapters import BURST_VALUE, DETECTOR_NAMES, EPOCH_US, PATHS, POOL, SQUEEZE
+from harness.adapters import BURST_VALUE, DETECTOR_NAMES, EPOCH_US, PATHS, POOL, SQUEEZE, TICK_US, TICKS, USERS_PER_HOST
 
 CTES: dict[str, str] = {}
 
@@ -216,3 +216,62 @@ SELECT 'host' || s_suppkey AS host, t*5000000 AS ts_us, n AS route_order,
   n=3 AS tunnel, NOT (n<3 AND (s_suppkey+t)%4=0) AS is_up, n IN (1,2) OR (s_suppkey%5=0 AND n=3) AS is_gateway
 FROM supplier, (SELECT unnest(generate_series(0,5)) AS t), (SELECT unnest(generate_series(0,3)) AS n)
 """)
+
+
+# The fleet: several users share a host, and hosts use the same ports and pids.
+def renamed(body: str, *names: str) -> str:
+    for name in names:
+        body = re.sub(rf"\b{name}\b", f"fleet_{name}", body)
+    return body
+
+
+_ID = KEY.replace(", ", " || '|' || ")
+cte("fleet_packets", f"""
+SELECT ts_us, src_ip, dst_ip, CASE WHEN src_port>=40000 THEN 40000+(src_port-40000)%{USERS_PER_HOST} ELSE src_port END AS src_port,
+  CASE WHEN dst_port>=40000 THEN 40000+(dst_port-40000)%{USERS_PER_HOST} ELSE dst_port END AS dst_port, protocol, length, local_ip,
+  'h' || ({num("local_ip")}-167772160)//{USERS_PER_HOST} AS host FROM packets
+""")
+cte("fleet_keyed", renamed(CTES["keyed"], "packets"))
+cte("fleet_marked", renamed(CTES["marked"].replace(KEY, f"{KEY}, host"), "keyed"))
+cte("fleet_bare_flows", renamed(CTES["bare_flows"].replace(_ID, f"{_ID} || '|' || host").replace(KEY, f"{KEY}, host"), "marked"))
+cte("fleet_flows", renamed(CTES["net_flows"], "bare_flows").replace("THEN user_no END", f"THEN user_no%{USERS_PER_HOST}+1 END"))
+cte("fleet_pids", f"""
+SELECT DISTINCT 'h' || user_id//{USERS_PER_HOST} AS host, us//5000000*5000000+2000000 AS snapshot_us, 40000+user_id%{USERS_PER_HOST} AS port,
+  CASE WHEN event_type='signup' THEN 17 ELSE 6 END AS protocol, user_id%{USERS_PER_HOST}+1 AS pid FROM ev
+""")
+cte("fleet_proc", f"SELECT 'h' || pid//{USERS_PER_HOST} AS host, pid%{USERS_PER_HOST}+1 AS pid, start_us, end_us, path FROM proc")
+cte("fleet_ticks", f"""
+SELECT h, t, 'h' || h AS host, CAST(t*{TICK_US} AS BIGINT) AS ts_us, CASE WHEN (t+h)%3=0 THEN '203.0.113.53' ELSE {arr(POOL, "(h+1)%4")} END AS peer
+FROM (SELECT DISTINCT user_id//{USERS_PER_HOST} AS h FROM events), (SELECT unnest(generate_series(0,{TICKS - 1})) AS t)
+""")
+cte("fleet_own_at", f"""
+SELECT host, ts_us, '192.168.' || h%256 || '.2' AS ip FROM fleet_ticks WHERE (t+h)%7<>5 UNION SELECT host, ts_us, '192.168.' || h%256 || '.255' FROM fleet_ticks WHERE (t+h)%7<>5
+UNION SELECT host, ts_us, {arr(POOL, "h%4")} FROM fleet_ticks WHERE (t+h)%6>=3
+""")
+cte("fleet_gateway_at", f"""
+SELECT host, ts_us, last_value(gateway IGNORE NULLS) OVER (PARTITION BY host ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS ip
+FROM (SELECT host, ts_us, CASE WHEN (t+h)%5<>3 THEN {arr(POOL, "(h+t//4)%9")} WHEN t%4>=1 THEN peer END AS gateway FROM fleet_ticks)
+""")
+cte("fleet_peer_at", "SELECT host, ts_us, peer AS ip FROM fleet_ticks t WHERE t%4>=1 AND NOT EXISTS (SELECT 1 FROM fleet_own_at o WHERE o.host=t.host AND o.ts_us=t.ts_us AND o.ip=t.peer)")
+cte("fleet_numbered", "SELECT host, ts_us, row_number() OVER (PARTITION BY host ORDER BY ts_us) AS n FROM fleet_ticks")
+
+
+def versions(rows: str) -> str:
+    """Intervals of the members (ip) in the snapshots (host, ts_us)."""
+    return f"""SELECT v.host, v.ip, v.valid_from, e.ts_us AS valid_to FROM (
+  SELECT host, ip, min(ts_us) AS valid_from, max(n) AS last_n FROM (
+    SELECT r.host, r.ip, r.ts_us, s.n, s.n - row_number() OVER (PARTITION BY r.host, r.ip ORDER BY s.n) AS run
+    FROM {rows} r JOIN fleet_numbered s ON s.host=r.host AND s.ts_us=r.ts_us WHERE r.ip IS NOT NULL) GROUP BY host, ip, run) v
+LEFT JOIN fleet_numbered e ON e.host=v.host AND e.n=v.last_n+1"""
+
+
+for _name in ("own", "gateway", "peer"):
+    cte(f"fleet_{_name}_versions", versions(f"fleet_{_name}_at"))
+cte("fleet_excluded", "SELECT * FROM fleet_own_versions UNION ALL SELECT * FROM fleet_gateway_versions UNION ALL SELECT * FROM fleet_peer_versions")
+
+
+def not_in_force(row: str, ip: str, at: str) -> str:
+    return (
+        f"NOT EXISTS (SELECT 1 FROM fleet_excluded x WHERE x.host={row}.host AND x.ip={row}.{ip} AND {row}.{at}>=x.valid_from "
+        f"AND {row}.{at}<coalesce(x.valid_to, 9000000000000000000))"
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harness.sql import CTES, build, cte, f, infra, num, public, rfc1918, v6
+from harness.sql import CTES, build, cte, f, infra, not_in_force, num, public, renamed, rfc1918, v6
 from tidewatch.operators import detectors as D
 
 
@@ -66,6 +66,19 @@ SELECT n.* EXCLUDE (pid, local_port), CASE WHEN live THEN local_port ELSE 0 END
   SELECT f.*, s.snap_pid, s.snap_pid IS NOT NULL AND (s.until_us IS NULL OR f.first_us < s.until_us) AS live
   FROM net_flows f ASOF LEFT JOIN pid_until s ON f.local_port=s.port AND f.protocol=s.protocol AND f.first_us>=s.snapshot_us) n
 """)
+cte("fleet_pid_flows", """
+SELECT n.* EXCLUDE (pid, local_port), CASE WHEN live THEN local_port ELSE 0 END AS local_port, CASE WHEN live THEN snap_pid END AS pid FROM (
+  SELECT f.*, s.snap_pid, s.snap_pid IS NOT NULL AND (s.until_us IS NULL OR f.first_us < s.until_us) AS live
+  FROM fleet_flows f ASOF LEFT JOIN (SELECT p.host, port, protocol, p.snapshot_us, max(pid) AS snap_pid, any_value(until_us) AS until_us FROM fleet_pids p
+    JOIN (SELECT host, snapshot_us, lead(snapshot_us) OVER (PARTITION BY host ORDER BY snapshot_us) AS until_us FROM (SELECT DISTINCT host, snapshot_us FROM fleet_pids)) u
+    ON u.host=p.host AND u.snapshot_us=p.snapshot_us GROUP BY ALL) s
+  ON f.host=s.host AND f.local_port=s.port AND f.protocol=s.protocol AND f.first_us>=s.snapshot_us) n
+""")
+cte("fleet_proc_flows", """
+SELECT f.*, CASE WHEN f.first_us < coalesce(p.end_us, 9e18) THEN p.path END AS process_path,
+  CASE WHEN f.first_us < coalesce(p.end_us, 9e18) THEN p.start_us END AS process_start_us
+FROM fleet_pid_flows f ASOF LEFT JOIN fleet_proc p ON f.host=p.host AND f.pid=p.pid AND f.first_us>=p.start_us
+""")
 cte("proc_flows", """
 SELECT f.*, CASE WHEN f.first_us < coalesce(p.end_us, 9e18) THEN p.path END AS process_path,
   CASE WHEN f.first_us < coalesce(p.end_us, 9e18) THEN p.start_us END AS process_start_us
@@ -95,6 +108,11 @@ SELECT f.*, g.country_code, g.asn, r.reputation_score FROM named_flows f
 LEFT JOIN pool_geo g ON g.ip=CASE WHEN {public("f.dst_ip")} THEN f.dst_ip ELSE f.src_ip END
 LEFT JOIN pool_rep r ON r.ip=CASE WHEN {public("f.dst_ip")} THEN f.dst_ip ELSE f.src_ip END
 """)
+cte("fleet_rich_flows", f"""
+SELECT f.*, n.name AS dns_name, g.country_code, g.asn, r.reputation_score FROM fleet_proc_flows f ASOF LEFT JOIN ptr n ON f.remote_ip=n.ip AND f.first_us>=n.ts_us
+LEFT JOIN pool_geo g ON g.ip=CASE WHEN {public("f.dst_ip")} THEN f.dst_ip ELSE f.src_ip END
+LEFT JOIN pool_rep r ON r.ip=CASE WHEN {public("f.dst_ip")} THEN f.dst_ip ELSE f.src_ip END
+""")
 
 # Cross-flow counters.
 cte("conn", f"SELECT flow_id, first_us AS ts_us, pid, coalesce(pid,0) AS pid0, remote_ip, remote_port, protocol FROM net_flows WHERE NOT {infra('remote_ip')}")
@@ -139,6 +157,23 @@ LEFT JOIN beacon_at ba ON ba.flow_id=f.flow_id AND ba.side='a' LEFT JOIN beacon_
 LEFT JOIN spread_at d ON d.flow_id=f.flow_id
 """)
 
+# The same for a fleet, each host by itself and without what it excluded at the
+# time: names of a host's own pids and remotes begin with the host.
+cte("fleet_net_flows", "SELECT * REPLACE (host || '/' || pid AS pid) FROM fleet_flows")
+cte("fleet_conn", f"""
+SELECT flow_id, first_us AS ts_us, host || '/' || pid AS pid, host || '/' || coalesce(pid,0) AS pid0, host || '/' || remote_ip AS remote_ip, remote_port, protocol
+FROM fleet_flows f WHERE NOT {infra('remote_ip')} AND {not_in_force("f", "remote_ip", "first_us")}
+""")
+cte("fleet_ends", f"""
+SELECT * REPLACE (host || '/' || ip AS ip) FROM (
+  SELECT host, flow_id, eval_us, host || '/' || pid AS pid, host || '/' || coalesce(pid,0) AS pid0, protocol, 'a' AS side, a_ip AS ip, a_port AS port FROM fleet_flows
+  UNION ALL SELECT host, flow_id, eval_us, host || '/' || pid, host || '/' || coalesce(pid,0), protocol, 'b', b_ip, b_port FROM fleet_flows) e
+WHERE NOT {infra("ip")} AND {not_in_force("e", "ip", "eval_us")}
+""")
+_chain = ("conn_marked", "conn_counts", "scan_at", "beacon_cum", "beacon_at", "spread_at", "cross_at")
+for _name in _chain:
+    cte(f"fleet_{_name}", renamed(CTES[_name], "net_flows", "conn", "ends", *_chain))
+
 
 def scan_part(side: str, which: str) -> str:
     high = {"score": (0.9, 0.7, 0.8, 0.5), "conf": (0.95, 0.8, 0.7, 0.5)}[which]

@@ -1,22 +1,27 @@
 """Cross-flow state as of a flow's evaluation, and the detector over it.
 
-All four measures are sweeps over time: an event adds to a counter when it
-arrives and takes it back when it leaves the window, and a flow's evaluation
-is a probe in the same order. Sweeps run in time slices (``plans.sliced``), so
-a busy process or remote address never sits in one task.
+All measures are sweeps over time: an event adds to a counter when it arrives
+and takes it back when it leaves the window, and a flow's evaluation is a
+probe in the same order. Sweeps run in time slices, so a busy process or remote
+address never sits in one task. Where a window bounds how far a probe looks
+back, a slice gets the events of the one before too and needs no other
+exchange; counts of sessions, which have no such bound, are carried from slice
+to slice (``plans.sliced``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidewatch.functions import ip as ips
 from tidewatch.functions.f32 import f32, ladder
 from tidewatch.functions.text import fixed
-from tidewatch.functions.times import SECOND_US
+from tidewatch.functions.times import SECOND_US, slot
 from tidewatch.operators.detectors import with_finding
-from tidewatch.plans.sliced import islands, running, session_running
+from tidewatch.operators.topology import exclude_ips
+from tidewatch.plans.sliced import session_running
+from tidewatch.plans.versions import shared_owner
 
 # Windows and thresholds.
 WINDOW_S = 60
@@ -32,22 +37,17 @@ MAX_PID_ENTRIES = 512
 _ARRIVE, _PROBE, _LEAVE = 0, 1, 2
 
 
-def connections(flows: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+def connections(flows: DataFrame, excluded: DataFrame | list[DataFrame] | None = None) -> DataFrame:
     """One row per new flow: what the cross-flow counters count.
 
-    ``excluded`` holds addresses in ``ip`` that are never counted.
+    ``excluded`` are addresses that are never counted, see
+    ``topology.exclude_ips``. Flows with a host keep it, and counters are then
+    those of the host.
     """
     rows = flows.filter(F.col("remote_ip").isNotNull()).select(
-        "flow_id", F.col("first_us").alias("ts_us"), "pid", "remote_ip", "protocol", "remote_port"
+        *shared_owner(flows), "flow_id", F.col("first_us").alias("ts_us"), "pid", "remote_ip", "protocol", "remote_port"
     )
-    return not_excluded(rows, "remote_ip", excluded)
-
-
-def not_excluded(df: DataFrame, ip: str, excluded: DataFrame | None) -> DataFrame:
-    kept = df.filter(~ips.is_infrastructure(ip))
-    if excluded is None:
-        return kept
-    return kept.join(excluded.select(F.col("ip").alias(ip)).distinct(), ip, "left_anti")
+    return exclude_ips(rows, excluded)
 
 
 def scan_counts(events: DataFrame, probes: DataFrame | None = None) -> DataFrame:
@@ -56,20 +56,24 @@ def scan_counts(events: DataFrame, probes: DataFrame | None = None) -> DataFrame
     Without ``probes`` every event is returned with the counts it produced;
     with ``probes`` (pid, ip, ts_us and any id columns) the probes are.
     """
+    host = shared_owner(events) if probes is None else shared_owner(events, probes)
+    keys = [*[f"_{h}" for h in host], "_pid", "_ip"]
     dns = (F.col("protocol") == 17) & (F.col("remote_port") == 53)
     facts = events.select(
+        *[F.col(h).alias(f"_{h}") for h in host],
         F.coalesce("pid", F.lit(0)).cast("bigint").alias("_pid"), F.col("remote_ip").alias("_ip"), "ts_us",
         F.lit(True).alias("_event"), F.when(dns, 1).otherwise(0).alias("_dns"),
         F.struct(*events.columns).alias("_row"),
     )
     if probes is not None:
         asked = probes.select(
+            *[F.col(h).alias(f"_{h}") for h in host],
             F.coalesce("pid", F.lit(0)).cast("bigint").alias("_pid"), F.col("ip").alias("_ip"), "ts_us",
             F.lit(False).alias("_event"), F.lit(0).alias("_dns"), F.struct(*probes.columns).alias("_row"),
         )
         facts = facts.drop("_row").withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked)
     counted = session_running(
-        facts, ["_pid", "_ip"], "ts_us", "_event", WINDOW_S * SECOND_US,
+        facts, keys, "ts_us", "_event", WINDOW_S * SECOND_US,
         {"scan_count": F.lit(1).cast("bigint"), "dns_count": F.col("_dns").cast("bigint")},
     )
     if probes is not None:
@@ -77,6 +81,26 @@ def scan_counts(events: DataFrame, probes: DataFrame | None = None) -> DataFrame
     return counted.select("_row.*", "scan_count", "dns_count")
 
 
+def _timeline(
+    events: DataFrame, probes: DataFrame, keys: dict[str, str], asked: dict[str, str], extra: list[str], window: int
+) -> tuple[DataFrame, list[str]]:
+    """Events and probes in slices as wide as the window, ready for one exchange.
+
+    An event goes to its own slice and to the next, so that whatever a probe
+    looks back upon is in the probe's slice, and slices need nothing of each
+    other. Returns the rows and the columns that partition them.
+    """
+    at = F.explode(F.array(slot("ts_us", window), slot("ts_us", window) + 1)).alias("_slice")
+    facts = events.select(*[F.col(theirs).alias(mine) for mine, theirs in keys.items()], "ts_us", F.lit(_ARRIVE).alias("_kind"), *extra, at)
+    row = F.struct(*probes.columns).alias("_row")
+    wanted = probes.select(
+        *[F.col(theirs).alias(mine) for mine, theirs in asked.items()], "ts_us", F.lit(_PROBE).alias("_kind"), row,
+        slot("ts_us", window).alias("_slice"),
+    )
+    part = [*keys, "_slice"]
+    return facts.unionByName(wanted, allowMissingColumns=True).repartition(*part), part
+
+
 def beacon_stats(events: DataFrame, probes: DataFrame) -> DataFrame:
     """Regularity of connections to (ip, port, protocol) in the last minute.
 
@@ -84,39 +108,30 @@ def beacon_stats(events: DataFrame, probes: DataFrame) -> DataFrame:
     and the coefficient of variation, from exact integer sums of intervals and
     their squares.
     """
-    key = ["_ip", "_port", "_protocol"]
     window = WINDOW_S * SECOND_US
-    facts = events.select(
-        F.col("remote_ip").alias("_ip"), F.col("remote_port").alias("_port"), F.col("protocol").alias("_protocol"),
-        "ts_us", "flow_id",
+    host = {f"_{h}": h for h in shared_owner(events, probes)}
+    rows, part = _timeline(
+        events, probes, {**host, "_ip": "remote_ip", "_port": "remote_port", "_protocol": "protocol"},
+        {**host, "_ip": "ip", "_port": "port", "_protocol": "protocol"}, ["flow_id"], window,
     )
-    paired = running(facts, key, "ts_us", ["flow_id"], lasts={"_prev": F.col("ts_us")}, inclusive=False)
+    before = Window.partitionBy(*part).orderBy("ts_us", "_kind", "flow_id").rowsBetween(Window.unboundedPreceding, -1)
+    paired = rows.withColumn("_prev", F.last(F.when(F.col("_kind") == _ARRIVE, F.col("ts_us")), ignorenulls=True).over(before))
     gap = F.when(F.col("ts_us") - F.col("_prev") <= window, F.col("ts_us") - F.col("_prev"))
+    zero = F.lit(0).cast("bigint")
 
     def move(at: Column, kind: int, n: int, interval: Column) -> Column:
         return F.struct(
-            at.alias("_at"), F.lit(kind).alias("_kind"), F.lit(n).cast("bigint").alias("_n"),
+            at.alias("_at"), F.lit(kind).alias("_move"), F.lit(n).cast("bigint").alias("_n"),
             interval.alias("_d"), (interval * F.abs(interval)).alias("_d2"),
         )
 
     # The interval to the previous event leaves together with that event.
-    moves = paired.select(*key, F.explode(F.array_compact(F.array(
-        move(F.col("ts_us"), _ARRIVE, 1, F.coalesce(gap, F.lit(0))),
-        move(F.col("ts_us") + window, _LEAVE, -1, F.lit(0).cast("bigint")),
+    arrivals = F.array_compact(F.array(
+        move(F.col("ts_us"), _ARRIVE, 1, F.coalesce(gap, zero)), move(F.col("ts_us") + window, _LEAVE, -1, zero),
         F.when(gap.isNotNull(), move(F.col("_prev") + window, _LEAVE, 0, -gap)),
-    ))).alias("m")).select(*key, "m.*")
-    asked = probes.select(
-        F.col("ip").alias("_ip"), F.col("port").alias("_port"), F.col("protocol").alias("_protocol"),
-        F.col("ts_us").alias("_at"), F.lit(_PROBE).alias("_kind"), F.struct(*probes.columns).alias("_row"),
-    )
-    zero = F.lit(0).cast("bigint")
-    timeline = moves.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(
-        asked.withColumns({"_n": zero, "_d": zero, "_d2": zero})
-    )
-    swept = running(
-        timeline, key, "_at", ["_kind"],
-        sums={"beacon_n": F.col("_n"), "_sum": F.col("_d"), "_squares": F.col("_d2")},
-    ).filter(F.col("_kind") == _PROBE)
+    ))
+    moves = F.when(F.col("_kind") == _ARRIVE, arrivals).otherwise(F.array(move(F.col("ts_us"), _PROBE, 0, zero)))
+    swept = _swept(paired.select(*part, "_row", F.explode(moves).alias("m")), part, {"beacon_n": "_n", "_sum": "_d", "_squares": "_d2"})
     intervals = (F.col("beacon_n") - 1).cast("double")
     total, squares = F.col("_sum").cast("double"), F.col("_squares").cast("double")
     enough = (F.col("beacon_n") > 1) & (F.col("_sum") > 0)
@@ -127,41 +142,43 @@ def beacon_stats(events: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
+def _swept(moves: DataFrame, part: list[str], sums: dict[str, str]) -> DataFrame:
+    """Probes with the running sums of the moves ``m`` before them."""
+    upto = Window.partitionBy(*part).orderBy("m._at", "m._move").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = moves.withColumns({name: F.sum(f"m.{column}").over(upto) for name, column in sums.items()})
+    return added.filter(F.col("m._move") == _PROBE)
+
+
 def pid_diversity(events: DataFrame, probes: DataFrame) -> DataFrame:
     """Distinct remotes of a process in the last seconds, and connections.
 
-    Per (pid, remote) overlapping presence is merged first, so a remote counts
+    A remote counts from a connection until the window has passed since, and
+    is taken over by the remote's next connection before that, so it counts
     once however often it is contacted.
     """
     window = DIVERSITY_S * SECOND_US
-    known = events.filter(F.col("pid").isNotNull()).select(F.col("pid").alias("_pid"), "remote_ip", "ts_us")
-    present = islands(known, ["_pid", "remote_ip"], "ts_us", window, {})
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-
-    def moves(df: DataFrame, start: str, end: str, ips_: Column, conns: Column) -> DataFrame:
-        def at(time: Column, kind: int, sign: int) -> Column:
-            return F.struct(time.alias("_at"), F.lit(kind).alias("_kind"),
-                            (ips_ * sign).alias("_ips"), (conns * sign).alias("_conns"))
-
-        return df.select("_pid", F.explode(F.array(
-            at(F.col(start), _ARRIVE, 1), at(F.col(end) + window, _LEAVE, -1)
-        )).alias("m")).select("_pid", "m.*")
-
-    timeline = moves(present, "first_us", "last_us", one, zero).unionByName(moves(known, "ts_us", "ts_us", zero, one))
-    asked = probes.filter(F.col("pid").isNotNull()).select(
-        F.col("pid").alias("_pid"), F.col("ts_us").alias("_at"), F.lit(_PROBE).alias("_kind"),
-        zero.alias("_ips"), zero.alias("_conns"), F.struct(*probes.columns).alias("_row"),
-    )
-    timeline = timeline.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked)
-    return (
-        running(timeline, ["_pid"], "_at", ["_kind"], slice_us=SECOND_US,
-                sums={"distinct_ips": F.col("_ips"), "pid_connections": F.col("_conns")})
-        .filter(F.col("_kind") == _PROBE)
-        .select("_row.*", "distinct_ips", "pid_connections", (F.col("pid_connections") >= MAX_PID_ENTRIES).alias("at_cap"))
-    )
-
-
-def crossflow_lookup(flows: DataFrame, events: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    host = {f"_{h}": h for h in shared_owner(events, probes)}
+    key = {**host, "_pid": "pid"}
+    rows, part = _timeline(
+        events.filter(F.col("pid").isNotNull()), probes.filter(F.col("pid").isNotNull()), key, key, ["remote_ip"], window)
+    remote = Window.partitionBy(*part, "remote_ip").orderBy("ts_us")
+    paired = rows.withColumns({"_prev": F.lag("ts_us").over(remote), "_next": F.lead("ts_us").over(remote)})
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def move(at: Column, kind: int, ips_: Column, conns: Column) -> Column:
+        return F.struct(at.alias("_at"), F.lit(kind).alias("_move"), ips_.alias("_ips"), conns.alias("_conns"))
+
+    # A connection within the window after another of its remote goes on with that one's presence.
+    begins = F.when(F.col("_prev").isNull() | (F.col("ts_us") - F.col("_prev") > window), one).otherwise(zero)
+    ends = F.when(F.col("_next").isNull() | (F.col("_next") - F.col("ts_us") > window), -one).otherwise(zero)
+    moves = F.when(F.col("_kind") == _ARRIVE, F.array(
+        move(F.col("ts_us"), _ARRIVE, begins, one), move(F.col("ts_us") + window, _LEAVE, ends, -one),
+    )).otherwise(F.array(move(F.col("ts_us"), _PROBE, zero, zero)))
+    swept = _swept(paired.select(*part, "_row", F.explode(moves).alias("m")), part, {"distinct_ips": "_ips", "pid_connections": "_conns"})
+    return swept.select("_row.*", "distinct_ips", "pid_connections", (F.col("pid_connections") >= MAX_PID_ENTRIES).alias("at_cap"))
+
+
+def crossflow_lookup(flows: DataFrame, events: DataFrame, excluded: DataFrame | list[DataFrame] | None = None) -> DataFrame:
     """Flows with every counter as of their ``eval_us``.
 
     Both canonical ends are looked up. Adds ``scan_a``, ``dns_a``, ``scan_b``,
@@ -179,19 +196,20 @@ def with_counters(flows: DataFrame, counters: DataFrame) -> DataFrame:
     }).drop("_sa", "_sb")
 
 
-def crossflow_counters(flows: DataFrame, events: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+def crossflow_counters(flows: DataFrame, events: DataFrame, excluded: DataFrame | list[DataFrame] | None = None) -> DataFrame:
     """One row of counters per flow id, from the flows' keys and times only."""
+    host = shared_owner(flows)
     ends = flows.select(
-        "flow_id", F.col("eval_us").alias("ts_us"), "pid", "protocol",
+        *host, "flow_id", F.col("eval_us").alias("ts_us"), "pid", "protocol",
         F.explode(F.array(
             F.struct(F.lit("a").alias("side"), F.col("a_ip").alias("ip"), F.col("a_port").alias("port")),
             F.struct(F.lit("b").alias("side"), F.col("b_ip").alias("ip"), F.col("b_port").alias("port")),
         )).alias("e"),
-    ).select("flow_id", "ts_us", "pid", "protocol", "e.*")
-    ends = not_excluded(ends, "ip", excluded)
-    scans = scan_counts(events, ends.select("flow_id", "side", "pid", "ip", "ts_us"))
-    beacons = beacon_stats(events, ends.select("flow_id", "side", "ip", "port", "protocol", "ts_us"))
-    spread = pid_diversity(events, flows.select("flow_id", "pid", F.col("eval_us").alias("ts_us")))
+    ).select(*host, "flow_id", "ts_us", "pid", "protocol", "e.*")
+    ends = exclude_ips(ends, excluded, "ip")
+    scans = scan_counts(events, ends.select(*host, "flow_id", "side", "pid", "ip", "ts_us"))
+    beacons = beacon_stats(events, ends.select(*host, "flow_id", "side", "ip", "port", "protocol", "ts_us"))
+    spread = pid_diversity(events, flows.select(*host, "flow_id", "pid", F.col("eval_us").alias("ts_us")))
 
     def pick(kind: str, side: str | None, *cols: str) -> Column:
         hit = F.col("kind") == kind

@@ -11,6 +11,7 @@ from tidewatch.functions import ip as ips
 from tidewatch.functions.f32 import add, f32
 from tidewatch.functions.text import fixed
 from tidewatch.operators.detectors import finding_struct
+from tidewatch.plans.versions import in_force, shared_owner
 from tidewatch.schema import DETECTORS, SEVERITIES, VERDICT_KEY
 
 
@@ -157,14 +158,27 @@ def verdict_id() -> Column:
 
 
 def block_guard(
-    verdicts: DataFrame, own_ips: DataFrame | None = None, gateways: DataFrame | None = None, remote: str = "remote_ip"
+    verdicts: DataFrame, own_ips: DataFrame | None = None, gateways: DataFrame | None = None, remote: str = "remote_ip",
+    ts: str = "eval_us",
 ) -> DataFrame:
-    """Add ``skip_reason``: why a remote is exempt from blocking, else null."""
+    """Add ``skip_reason``: why a remote is exempt from blocking, else null.
+
+    ``own_ips`` and ``gateways`` are sets of addresses (ip), or have versions
+    (ip, valid_from, valid_to), of which those at the verdict's time count.
+    With a host in both tables, only the verdict's host counts.
+    """
     d = verdicts
     for flag, exempt in (("_own", own_ips), ("_gw", gateways)):
         if exempt is None:
             d = d.withColumn(flag, F.lit(False))
             continue
-        listed = exempt.select(F.col("ip").alias(remote)).distinct().withColumn(flag, F.lit(True))
-        d = d.join(listed, remote, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+        on = {**{h: h for h in shared_owner(d, exempt)}, remote: "ip"}
+        if "valid_from" in exempt.columns:
+            if "host" in exempt.columns and "host" not in d.columns:
+                raise ValueError("versions of several hosts need verdicts with a host")
+            found = in_force(d, exempt, on, ts, {flag: "valid_from"})
+            d = found.withColumn(flag, F.col(flag).isNotNull())
+        else:
+            listed = exempt.select(*[F.col(theirs).alias(mine) for mine, theirs in on.items()]).distinct().withColumn(flag, F.lit(True))
+            d = d.join(listed, list(on), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return d.withColumn("skip_reason", ips.guard_reason(remote, F.col("_own"), F.col("_gw"))).drop("_own", "_gw")

@@ -10,37 +10,35 @@ from pyspark.sql import functions as F
 from tidewatch.functions import ip as ips
 from tidewatch.operators.flows import enrichable_ip
 from tidewatch.plans.lineage import stage
-from tidewatch.plans.sliced import asof_join, running
+from tidewatch.plans.sliced import asof_join
+from tidewatch.plans.versions import in_force, intervals, shared_owner
 
 
 def asof_pid(flows: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Flows with the pid that owned the local port when they started.
 
-    A snapshot replaces the one before it: a port that is missing from the
-    latest snapshot has no pid, and its flow gets local port 0.
+    A snapshot replaces the one before it (of the same host, if both tables
+    have hosts): a port that is missing from the latest snapshot has no pid,
+    and its flow gets local port 0. Of several pids of a port the largest
+    counts.
     """
-    # A row is valid until the next snapshot, which on the reversed clock is
-    # the last one before it.
-    times = snapshots.select("snapshot_us").distinct().select("*", F.lit(0).alias("_k"), (-F.col("snapshot_us")).alias("_at"))
-    until = running(
-        times, ["_k"], "_at", [], lasts={"until_us": F.col("snapshot_us")}, slice_us=3_600_000_000, inclusive=False
-    ).select("snapshot_us", "until_us")
-    owners = snapshots.join(until, "snapshot_us").select(
-        F.col("port").alias("local_port"), "protocol", "snapshot_us", F.col("pid").alias("_pid"), "until_us"
-    )
-    found = asof_join(flows, owners, ["local_port", "protocol"], "first_us", "snapshot_us", ["_pid", "until_us"])
-    live = F.col("_pid").isNotNull() & (F.col("until_us").isNull() | (F.col("first_us") < F.col("until_us")))
-    return found.withColumns({
-        "pid": F.when(live, F.col("_pid")), "local_port": F.when(live, F.col("local_port")).otherwise(0),
-    }).drop("_pid", "until_us")
+    host = shared_owner(flows, snapshots)
+    port = [*host, "port", "protocol"]
+    owners = snapshots.groupBy(*port, "snapshot_us").agg(F.max("pid").alias("pid"))
+    held = intervals(owners, host, ["port", "protocol", "pid"], "snapshot_us", times=snapshots)
+    on = {**{h: h for h in host}, "local_port": "port", "protocol": "protocol"}
+    found = in_force(flows.drop("pid"), held, on, "first_us", {"pid": "pid"})
+    return found.withColumn("local_port", F.when(F.col("pid").isNotNull(), F.col("local_port")).otherwise(0))
 
 
 def interval_process(flows: DataFrame, processes: DataFrame) -> DataFrame:
-    """Path and start of the process that held the pid when the flow started."""
-    rows = processes.select("pid", "start_us", F.col("path").alias("_path"), F.coalesce("end_us", F.lit(2**62)).alias("_end"))
+    """Path and start of the process that held the pid (on the flow's host, if
+    both tables have hosts) when the flow started."""
+    host = shared_owner(flows, processes)
+    rows = processes.select(*host, "pid", "start_us", F.col("path").alias("_path"), F.coalesce("end_us", F.lit(2**62)).alias("_end"))
     rows = rows.withColumn("process_start_us", F.col("start_us"))
     found = asof_join(
-        flows.drop("process_path", "process_start_us"), rows, ["pid"], "first_us", "start_us",
+        flows.drop("process_path", "process_start_us"), rows, [*host, "pid"], "first_us", "start_us",
         ["process_start_us", "_path", "_end"],
     )
     alive = F.col("first_us") < F.col("_end")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import ip as ips
+from tidewatch.plans.lineage import stage
 from tidewatch.plans.sliced import running
+from tidewatch.plans.versions import intervals, not_in_force, shared_owner
 
 # Tunnel interface name prefixes.
 TUNNELS = ["utun", "ppp", "tun"]
@@ -29,22 +31,31 @@ def broadcast_address(ip: Column, mask: Column) -> Column:
     return F.when(same_family, F.when(ips.is_v4(ip), v4).otherwise(ips.ip_text(F.unhex(digits))))
 
 
-def own_addresses(interfaces: DataFrame) -> DataFrame:
-    """(host, ip): interface addresses and their subnet broadcasts."""
+def own_addresses_at(interfaces: DataFrame) -> DataFrame:
+    """(host, ts_us, ip): interface addresses and their subnet broadcasts of every snapshot."""
     used = interfaces.filter(~F.col("is_loopback") & ~ips.is_unspecified("ip"))
     both = F.array(F.col("ip"), broadcast_address(F.col("ip"), F.col("mask")))
-    return used.select("host", F.explode(F.array_compact(both)).alias("ip")).distinct()
+    return used.select("host", "ts_us", F.explode(F.array_compact(both)).alias("ip")).distinct()
+
+
+def own_addresses(interfaces: DataFrame) -> DataFrame:
+    """(host, ip): all addresses a host has ever had."""
+    return own_addresses_at(interfaces).select("host", "ip").distinct()
 
 
 def usable_gateway(gateway: Column) -> Column:
     return gateway.isNotNull() & ~ips.is_loopback(gateway) & ~ips.is_unspecified(gateway)
 
 
-def vpn_peers(routes: DataFrame, own: DataFrame) -> DataFrame:
-    """(host, ip): gateways of live tunnel routes that are not own addresses."""
+def _tunnel_gateways(routes: DataFrame) -> DataFrame:
     tunnel = reduce(lambda a, b: a | b, [F.col("iface").startswith(p) for p in TUNNELS])
     peers = routes.filter(F.col("is_up") & tunnel & usable_gateway(F.col("gateway")))
-    return peers.select("host", F.col("gateway").alias("ip")).distinct().join(own, ["host", "ip"], "left_anti")
+    return peers.select("host", "ts_us", F.col("gateway").alias("ip")).distinct()
+
+
+def vpn_peers(routes: DataFrame, own: DataFrame) -> DataFrame:
+    """(host, ip): gateways of live tunnel routes that are not own addresses."""
+    return _tunnel_gateways(routes).select("host", "ip").distinct().join(own, ["host", "ip"], "left_anti")
 
 
 def default_gateway(routes: DataFrame) -> DataFrame:
@@ -83,6 +94,51 @@ def exclusion_set(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [s.select("ip").filter(F.col("ip").isNotNull()) for s in sources]).distinct()
 
 
-def exclude_ips(df: DataFrame, excluded: DataFrame, ip: str = "remote_ip") -> DataFrame:
-    """Rows whose address is neither excluded nor broadcast/multicast."""
-    return df.filter(~ips.is_infrastructure(ip)).join(excluded.select(F.col("ip").alias(ip)).distinct(), ip, "left_anti")
+def own_versions(interfaces: DataFrame) -> DataFrame:
+    """(host, ip, valid_from, valid_to): when each address was a host's own."""
+    return intervals(own_addresses_at(interfaces), ["host"], ["ip"], times=interfaces)
+
+
+def gateway_versions(routes: DataFrame) -> DataFrame:
+    """(host, ip, valid_from, valid_to) of the default gateway.
+
+    A snapshot without a usable gateway keeps the last known one.
+    """
+    # So only snapshots that have one end a gateway's time.
+    return intervals(default_gateway(routes).select("host", "ts_us", F.col("gateway").alias("ip")), ["host"], ["ip"])
+
+
+def peer_versions(routes: DataFrame, own: DataFrame) -> DataFrame:
+    """(host, ip, valid_from, valid_to) of tunnel peers that were not an own
+    address (from ``own_versions``) at the time of the snapshot."""
+    peers = not_in_force(_tunnel_gateways(routes), own, {"host": "host", "ip": "ip"}, "ts_us")
+    return intervals(peers, ["host"], ["ip"], times=routes)
+
+
+def exclusion_versions(interfaces: DataFrame, routes: DataFrame) -> DataFrame:
+    """What each host excluded from cross-flow counting, and when.
+
+    Own addresses, gateway and tunnel peers count from the snapshot that shows
+    them up to the first that doesn't.
+    """
+    own = stage(own_versions(interfaces))
+    return own.unionByName(gateway_versions(routes)).unionByName(peer_versions(routes, own))
+
+
+def exclude_ips(df: DataFrame, excluded: DataFrame | list[DataFrame] | None, ip: str = "remote_ip", ts: str = "ts_us") -> DataFrame:
+    """Rows whose address is neither excluded nor broadcast/multicast.
+
+    ``excluded`` is one or more tables. A table is a set of addresses (ip), or
+    has versions (ip, valid_from, valid_to), of which those at the row's time
+    ``ts`` count; with a host in it and in the rows, only those of the row's
+    host.
+    """
+    kept = df.filter(~ips.is_infrastructure(ip))
+    for table in [excluded] if isinstance(excluded, DataFrame) else excluded or []:
+        on = {**{h: h for h in shared_owner(df, table)}, ip: "ip"}
+        if "valid_from" in table.columns:
+            kept = not_in_force(kept, table, on, ts)
+        else:
+            listed = table.select(*[F.col(theirs).alias(mine) for mine, theirs in on.items()]).distinct()
+            kept = kept.join(listed, list(on), "left_anti")
+    return kept

@@ -9,6 +9,11 @@ def _schema(*cols: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in cols])
 
 
+def with_host(fields: T.StructType) -> T.StructType:
+    """The schema for tables of several hosts: ports, pids and processes are then those of one host."""
+    return T.StructType([T.StructField("host", T.StringType(), True), *fields.fields])
+
+
 _S, _I, _L, _F, _D = T.StringType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()
 
 EVIDENCE = T.ArrayType(_schema(("description", _S), ("detail", _S)))

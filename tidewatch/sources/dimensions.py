@@ -15,8 +15,8 @@ def _read(spark: SparkSession, path: str, fields: T.StructType, fmt: str, stream
     return reader.load(path)
 
 
-def read_port_pid(spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False) -> DataFrame:
-    return _read(spark, path, schema.PORT_PID, fmt, streaming)
+def read_port_pid(spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False, hosts: bool = False) -> DataFrame:
+    return _read(spark, path, schema.with_host(schema.PORT_PID) if hosts else schema.PORT_PID, fmt, streaming)
 
 
 def read_geo_networks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -27,8 +27,8 @@ def read_ptr_records(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     return _read(spark, path, schema.PTR_RECORD, fmt, False)
 
 
-def read_process_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _read(spark, path, schema.PROCESS, fmt, False)
+def read_process_inventory(spark: SparkSession, path: str, fmt: str = "parquet", hosts: bool = False) -> DataFrame:
+    return _read(spark, path, schema.with_host(schema.PROCESS) if hosts else schema.PROCESS, fmt, False)
 
 
 def read_interface_snapshots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

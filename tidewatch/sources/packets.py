@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ip import ip_text, v4_text
-from tidewatch.schema import FRAME, PACKET
+from tidewatch.schema import FRAME, PACKET, with_host
 
 
-def read_packets(spark: SparkSession, path: str, streaming: bool = False, **options: str) -> DataFrame:
-    """Packet table with the fixed schema, as a batch or a stream."""
+def read_packets(spark: SparkSession, path: str, streaming: bool = False, hosts: bool = False, **options: str) -> DataFrame:
+    """Packet table with the fixed schema (and a host), as a batch or a stream."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(PACKET).options(**options).parquet(path)
+    return reader.schema(with_host(PACKET) if hosts else PACKET).options(**options).parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str, streaming: bool = False, **options: str) -> DataFrame:
