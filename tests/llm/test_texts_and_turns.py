@@ -80,7 +80,7 @@ def test_joins_are_repaired_wherever_a_text_is_cut(text, at):
     words, raw = bytepairs.vocabulary(path), text.encode()
     bounds = sorted({0, len(raw), *(bytepairs._whole(np.frombuffer(raw, np.uint8), min(a, len(raw))) for a in at)})
     chunks = {k: words.ids(raw[a:b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))}
-    made = np.frombuffer(bytepairs.joined(raw, np.array(bounds), chunks, words), "<u4").tolist()
+    made = np.frombuffer(bytepairs.joined(raw, np.array(bounds), chunks, words), words.kind).tolist()
     assert made == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 

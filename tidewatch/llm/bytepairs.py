@@ -27,6 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import kernels as K
@@ -106,10 +107,12 @@ class Vocabulary:
             self.bytes_of[a["id"]] = a["content"].encode()
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.written = [b"%d" % k for k in range(size)]
+        #: Bytes of an id.
+        self.kind = "H" if size <= 1 << 16 else "I"
         self.memory: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a text that is whole, or begins and ends at certain boundaries."""
+        """Ids (an array of ``kind``) of a text that is whole, or begins and ends at certain boundaries."""
         if not text:
             return b""
         memory = self.memory
@@ -119,7 +122,7 @@ class Vocabulary:
         stretches = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
         new = list({s for s in stretches if s not in memory})
         for s, x in zip(new, self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)):
-            memory[s] = array("I", x.ids).tobytes()
+            memory[s] = array(self.kind, x.ids).tobytes()
         found = b"".join([memory[s] for s in stretches])
         for s in new:
             if len(s) > LONGEST:
@@ -142,7 +145,7 @@ def joined(text: bytes, bounds: np.ndarray, given: dict[int, bytes], words: Voca
     found, done = [], 0
     for k in sorted(given):
         low, high = int(bounds[k]), int(bounds[k + 1])
-        ids = np.frombuffer(given[k], "<u4")
+        ids = np.frombuffer(given[k], words.kind)
         ends = np.concatenate([[low], low + np.cumsum(words.lengths[ids])])
         # Boundaries of the text in the chunk, at which a token of the chunk's own encoding ends too.
         agreed = sure[np.searchsorted(sure, low) : np.searchsorted(sure, high, "right")]
@@ -215,30 +218,44 @@ def places(texts: DataFrame) -> DataFrame:
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, int, bytes, list[int], bytes]]:
     """doc_id, copies, text, ids and decoded text of each document, from its rows in order: copies of the text, then places with ids."""
-    words = vocabulary(path)
+    words, unpress = vocabulary(path), zstandard.ZstdDecompressor().decompress
     rows = (r for b in batches for low in range(0, b.num_rows, 256) for r in zip(*(c.to_pylist() for c in b.slice(low, 256).columns)))
     for (doc_id, _), own in groupby(rows, key=lambda r: r[:2]):
         copies, given, text = 0, {}, b""
-        for _, _, place, found, ids in own:
+        for _, _, place, found in own:
             if place < 0:
-                copies, text = copies + 1, found.encode() if not copies else text
+                copies, text = copies + 1, text if copies else unpress(found)
             else:
-                given[place] = ids
+                given[place] = found
         made = joined(text, cuts(np.frombuffer(text, np.uint8)), given, words) if given else words.ids(text)
-        ids = np.frombuffer(made, "<u4").tolist()
+        ids = np.frombuffer(made, words.kind).tolist()
         back = words.text(ids)
         if back != text and given:
-            ids = np.frombuffer(words.ids(text), "<u4").tolist()
+            ids = np.frombuffer(words.ids(text), words.kind).tolist()
             back = words.text(ids)
         yield doc_id, copies, text, ids, back
 
 
+def pressed(texts: DataFrame) -> DataFrame:
+    """The texts at place -1, compressed, as they are the larger part of what is moved."""
+    names = ["doc_id", "_row", "place", "body"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for part in K.pieces(batches):
+            data, offsets = K.flat(part.column("text"))
+            data, offsets = data.tobytes(), offsets.tolist()
+            bodies = pa.array([press(data[a:b]) for a, b in zip(offsets, offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_row"), pa.array([-1] * len(bodies), pa.int32()), bodies], names)
+
+    return texts.mapInArrow(run, "doc_id long, _row long, place int, body binary")
+
+
 def gathered(docs: DataFrame, path: str) -> DataFrame:
     """The texts, each followed by the ids of its shared chunks, in the partition of the document."""
     texts = texts_of(docs)
     given = places(texts).join(stage(shared(texts, path)), "chunk")
-    whole = texts.select("doc_id", "_row", F.lit(-1).alias("place"), "text", F.lit(None).cast("binary").alias("ids"))
-    rows = whole.unionByName(given.select("doc_id", "_row", "place", F.lit(None).cast("string").alias("text"), "ids"))
+    rows = pressed(texts).unionByName(given.select("doc_id", "_row", "place", F.col("ids").alias("body")))
     return rows.repartition("doc_id", "_row").sortWithinPartitions("doc_id", "_row", "place")
 
 
