@@ -646,10 +646,13 @@ def _(spark, sf):
     return audit.cooldown(blocks, "remote").select("remote", "ts_ms", "until")
 
 
-@query("cooldown_hot_keys", ORACLES["cooldown"])
+@query("cooldown_hot_keys", _chain_sql(
+    "SELECT CASE WHEN verdict_id%3=0 THEN '198.51.100.1' ELSE a_ip END AS remote, verdict_id AS id, ts_ms, ttl_ms AS ttl FROM verd WHERE verdict='Block'",
+    "remote", "SELECT remote, ts_ms, until FROM chain"))
 def _(spark, sf):
-    """The same chains; a key of any size takes the same path."""
-    blocks = A.verdicts(spark, sf).filter("verdict = 'Block'").select(F.col("b_ip").alias("remote"), "ts_ms", "ttl_ms", "verdict_id")
+    """One remote has a third of all Blocks, the others few each."""
+    remote = F.when(F.col("verdict_id") % 3 == 0, "198.51.100.1").otherwise(F.col("a_ip"))
+    blocks = A.verdicts(spark, sf).filter("verdict = 'Block'").select(remote.alias("remote"), "ts_ms", "ttl_ms", "verdict_id")
     return audit.cooldown(blocks, "remote").select("remote", "ts_ms", "until")
 
 

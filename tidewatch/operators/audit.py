@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ip as ips
-from tidewatch.functions.times import DAY_MS
+from tidewatch.functions.times import DAY_MS, HOUR_MS
 from tidewatch.plans.chains import accepted_rows
 from tidewatch.plans.sliced import running
 from tidewatch.schema import SEVERITIES, VERDICT_KEY
@@ -150,10 +150,12 @@ def split_valid(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
 
 def cooldown(
     blocks: DataFrame, remote: str = "remote_ip", ts: str = "ts_ms", ttl: str = "ttl_ms", row_id: str = "verdict_id",
+    width: int = HOUR_MS,
 ) -> DataFrame:
     """Block decisions that are carried out: none for a remote while its last
-    one is in force. Adds ``until``."""
-    return accepted_rows(blocks, [remote], ts, ttl, row_id)
+    one is in force. Adds ``until``. ``width`` is a slice of a remote's time in
+    the unit of ``ts``; slices are worked on in parallel."""
+    return accepted_rows(blocks, [remote], ts, ttl, row_id, width)
 
 
 def block_intervals(log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.times import SECOND_US
 from tidewatch.operators import crossflow, detectors
 from tidewatch.operators.audit import cooldown
 from tidewatch.operators.decide import Policy, block_guard, decide
@@ -63,5 +64,5 @@ def actionable(
     alerts = decided.filter("verdict = 'Alert'")
     guarded = block_guard(decided.filter("verdict = 'Block'"), own_ips, gateways)
     allowed = guarded.filter(F.col("skip_reason").isNull()).drop("skip_reason").withColumn("_ttl_us", F.col("ttl_ms") * 1000)
-    done = cooldown(allowed, "remote_ip", "eval_us", "_ttl_us", "flow_id")
+    done = cooldown(allowed, "remote_ip", "eval_us", "_ttl_us", "flow_id", 600 * SECOND_US)
     return alerts.unionByName(done.select(*alerts.columns))
