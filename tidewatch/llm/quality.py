@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules and a logistic regression over hashed word and character n-grams.
 
 The regression is fitted on at most ``sample`` labelled documents of each class (chosen by hash, none longer than
-``LONGEST`` characters; a bound on the sample only), its probabilities are calibrated on a held-out third, and every
+``LONGEST`` characters unless the class has only such; a bound on the sample only), its probabilities are calibrated on a held-out third, and every
 document is scored in Arrow batches against a fixed threshold.
 
 A null or empty text has no words and so fails the base rules; a document without label is scored like any other; without
@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from tidewatch.llm import kernels as K
 
@@ -112,19 +112,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 800) -> Model | None:
     """Model from at most ``sample`` labelled documents a class; a document labelled both ways counts as bad."""
     one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     one = one.agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    # Twice the sample, as some may have no document or too long a one; at most 4 x sample ids are broadcast.
-    picked = [one.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample) for k in (0, 1)]
-    found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where(F.length("text").between(1, LONGEST))
-        .join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    )
-    ranked = found.groupBy("quality", "doc_id").agg(F.min("text").alias("text"))
-    rows = [r for k in (0, 1) for r in ranked.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    rows = _picked(texts.where(F.length("text") <= LONGEST), one, sample)
+    if len({r["quality"] for r in rows}) < 2:
+        # A class has longer texts only (or none): any length will do for it.
+        missing = one.where(~F.col("quality").isin([r["quality"] for r in rows])) if rows else one
+        rows += _picked(texts, missing, sample)
     rows.sort(key=lambda r: (r["quality"], r["doc_id"] * 0x9E3779B97F4A7C15 % 2**64))
     return train([r["text"] for r in rows], np.array([r["quality"] for r in rows], int))
 
 
+def _picked(texts: DataFrame, labels: DataFrame, sample: int) -> list[Row]:
+    """At most ``sample`` labelled texts of each class."""
+    # Twice the sample, as some may have no document or too long a one; at most 4 x sample ids are broadcast.
+    picked = [labels.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample) for k in (0, 1)]
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    ranked = found.groupBy("quality", "doc_id").agg(F.min("text").alias("text"))
+    return [r for k in (0, 1) for r in ranked.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base measures of each row."""
     starts, ends, first = K.words(data, offsets)

@@ -103,10 +103,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op4_warc_revisits",
     r"""
-    with named as (
-        select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from pages
+    with folded as (
+        select page_id, html, case when page_id % 3 = 0 then regexp_replace(url, '^([A-Za-z]+://[^/?#]*).*$', '\1/') else url end as url from pages
+    ), named as (
+        select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u,
+            case when lower(trim(url)) like 'https://%' then ':443$' else ':80$' end as port from folded
     ), split as (
-        select *, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') as host,
+        select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', ''), port, '') as host,
             regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
             list_filter(list_sort(string_split(regexp_extract(u, '\?(.*)$', 1), '&')),
                 lambda x: x <> '' and not regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)')) as query
@@ -114,17 +117,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), keyed as (
         select page_id, html, host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end as key from split
     ), tagged as (
-        select page_id, html, key, 'day ' || cast(page_id // 100 as varchar) as day,
+        select page_id, html, key, case when page_id % 17 <> 0 then 'day ' || cast(page_id // 100 as varchar) end as day,
             case when page_id % 7 <> 0 then '"' || substr(md5(html), 1, 12) || '"' end as tag
         from keyed
     ), revisits as (
-        select *, 8 * page_id + 8001 as ts, case when page_id % 11 = 0 then '"other"' else tag end as seen from tagged
+        select *, case when page_id % 13 = 0 then 8 * page_id - 5 else 8 * page_id + 8001 end as ts,
+            case when page_id % 17 = 0 then null when page_id % 11 = 0 then '"other"' else tag end as seen from tagged
     ), found as (
         select r.page_id, r.ts, r.seen, r.day, p.page_id as base, p.tag as base_tag, p.day as base_day, p.html
         from revisits r asof left join (select *, 8 * page_id as at from tagged) p on r.key = p.key and r.ts > p.at
     ), judged as (
         select *, case when base is null then 'no_response' when seen is not null and base_tag is not null then if(seen = base_tag, 'resolved', 'changed')
-            when day = base_day then 'resolved' else 'changed' end as status from found
+            when day is null or base_day is null then 'no_validator' when day = base_day then 'resolved' else 'changed' end as status from found
     )
     select cast(2 * page_id + 1 as bigint) as record_id, cast(ts as bigint) as ts, cast(2 * base as bigint) as refers_to, status,
         case when status = 'resolved' then cast(length(html) as varchar) else '0' end as content_length, cast(ts as varchar) as date,
