@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+from array import array
 from collections import Counter
 
 import brute
@@ -79,11 +80,18 @@ def test_joins_are_repaired_wherever_a_text_is_cut(text, at):
     path = queries.tokenizer("byte_bpe_50k.json")
     words, raw = bytepairs.vocabulary(path), text.encode()
     bounds = sorted({0, len(raw), *(bytepairs._whole(np.frombuffer(raw, np.uint8), min(a, len(raw))) for a in at)})
-    chunks = {k: words.ids(raw[a:b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))}
-    made = np.frombuffer(bytepairs.joined(raw, np.array(bounds), chunks, words), words.kind).tolist()
+    chunks = {k: array(words.kind, words.ids(raw[a:b])).tobytes() for k, (a, b) in enumerate(zip(bounds, bounds[1:]))}
+    made = bytepairs.joined(raw, np.array(bounds), chunks, words)
     assert made == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x260), max_size=200))
+def test_quick_encoder_agrees(text):
+    words, raw = bytepairs.vocabulary(queries.tokenizer("byte_bpe_50k.json")), text.encode()
+    assert words.quick and words.ids(raw) == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_follow_the_content():
     rng = random.Random(1)
     body = bytes(rng.randrange(97, 123) for _ in range(50_000))

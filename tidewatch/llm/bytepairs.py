@@ -20,13 +20,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,8 +40,12 @@ from tidewatch.plans.lineage import stage
 SEEN, BITS = 32, 10
 #: Bytes of a chunk: at least (but at a text's end), at most.
 LEAST, MOST = 128, 1 << 16
-#: Stretches between boundaries whose ids a worker remembers at most, and their longest.
-REMEMBERED, LONGEST = 400_000, 48
+#: Runs of white space, and of anything else, that the quick encoder is not given.
+WHITE_RUN, DARK_RUN = 200, 2000
+#: Bytes of ASCII and of Latin letters, on whose classes all versions of Unicode agree.
+LATIN = bytes(range(0xCA))
+
+LONG_WHITE = re.compile(rb"\s{%d}" % WHITE_RUN)
 
 VISIBLE = np.zeros(256, bool)
 VISIBLE[0x21:0x7F] = True
@@ -79,7 +86,11 @@ def _whole(data: np.ndarray, at: int) -> int:
 
 
 class Vocabulary:
-    """A byte-level tokenizer: ids of texts, with a memory of short stretches, and bytes of ids."""
+    """A byte-level tokenizer: ids of texts, and bytes of ids.
+
+    The same vocabulary serves a quicker encoder of the same algorithm, if its merges are numbered in their order. It is given texts in
+    Latin letters without added tokens; the library's own takes all others.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,25 +120,24 @@ class Vocabulary:
         self.written = [b"%d" % k for k in range(size)]
         #: Bytes of an id.
         self.kind = "H" if size <= 1 << 16 else "I"
-        self.memory: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        """Ids (an array of ``kind``) of a text that is whole, or begins and ends at certain boundaries."""
-        if not text:
-            return b""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        ends = boundaries(np.frombuffer(text, np.uint8)).tolist()
-        stretches = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
-        new = list({s for s in stretches if s not in memory})
-        for s, x in zip(new, self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)):
-            memory[s] = array(self.kind, x.ids).tobytes()
-        found = b"".join([memory[s] for s in stretches])
-        for s in new:
-            if len(s) > LONGEST:
-                del memory[s]
-        return found
+        self.added = [a["content"].encode() for a in told["added_tokens"]]
+        vocab, merges = told["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
+        numbers = [vocab[a + b] for a, b in merges]
+        self.quick = None
+        if numbers == sorted(set(numbers)) and not set(numbers) & {vocab[c] for c in shown if c in vocab}:
+            ranks = {self.bytes_of[k]: k for k in vocab.values()}
+            self.quick = tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: bytes) -> list[int]:
+        """Ids of a text that is whole, or begins and ends at certain boundaries."""
+        if self.quick and self.plain(text):
+            return self.quick(text.decode())
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+    def plain(self, text: bytes) -> bool:
+        if text.translate(None, LATIN) or any(a in text for a in self.added):
+            return False
+        return max(map(len, text.split()), default=0) < DARK_RUN and not LONG_WHITE.search(text)
 
     def text(self, ids: list[int]) -> bytes:
         """The decoded text in UTF-8; bytes that aren't UTF-8 become the replacement character."""
@@ -139,10 +149,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def joined(text: bytes, bounds: np.ndarray, given: dict[int, bytes], words: Vocabulary) -> bytes:
+def joined(text: bytes, bounds: np.ndarray, given: dict[int, bytes], words: Vocabulary) -> list[int]:
     """The ids of a whole text, from those of some of its chunks, with the joins repaired."""
     sure = boundaries(np.frombuffer(text, np.uint8))
-    found, done = [], 0
+    found: list[int] = []
+    done = 0
     for k in sorted(given):
         low, high = int(bounds[k]), int(bounds[k + 1])
         ids = np.frombuffer(given[k], words.kind)
@@ -153,11 +164,10 @@ def joined(text: bytes, bounds: np.ndarray, given: dict[int, bytes], words: Voca
         if ends[-1] != high or len(agreed) < 2:
             continue
         first, last = int(agreed[0]), int(agreed[-1])
-        found.append(words.ids(text[done:first]))
-        found.append(ids[np.searchsorted(ends, first) : np.searchsorted(ends, last)].tobytes())
+        found += words.ids(text[done:first])
+        found += ids[np.searchsorted(ends, first) : np.searchsorted(ends, last)].tolist()
         done = last
-    found.append(words.ids(text[done:]))
-    return b"".join(found)
+    return found + words.ids(text[done:])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -193,7 +203,7 @@ def shared(texts: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            ids = [words.ids(t) for t in batch.column("text").to_pylist()]
+            ids = [array(words.kind, words.ids(t)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
     found = texts.select("text").mapInArrow(cut, "chunk binary, n long, text binary")
@@ -227,11 +237,10 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple[int
                 copies, text = copies + 1, text if copies else unpress(found)
             else:
                 given[place] = found
-        made = joined(text, cuts(np.frombuffer(text, np.uint8)), given, words) if given else words.ids(text)
-        ids = np.frombuffer(made, words.kind).tolist()
+        ids = joined(text, cuts(np.frombuffer(text, np.uint8)), given, words) if given else words.ids(text)
         back = words.text(ids)
         if back != text and given:
-            ids = np.frombuffer(words.ids(text), words.kind).tolist()
+            ids = words.ids(text)
             back = words.text(ids)
         yield doc_id, copies, text, ids, back
 
