@@ -22,7 +22,7 @@ from tidewatch.plans.pipeline import actionable, packet_verdicts, score_flows
 from tidewatch.schema import DETECTORS, FINDING, FLOW_KEY, VERDICT_KEY
 from tidewatch.session import STATE_STORE
 from tidewatch.sources import feeds, packets as packet_sources, sinks
-from tidewatch.streaming import stateful, windows
+from tidewatch.streaming import counters, stateful, windows
 from tidewatch.streaming.sink import stream_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,8 +479,8 @@ def verdicts_by_country(spark, sf):
     return reports.threat_countries(decided(spark, sf))
 
 
-@query("verdict_rows", f"""SELECT md5(a_ip || '|' || a_port || '|' || b_ip || '|' || b_port || '|' || protocol || '|' || verdict) AS verdict_id, eval_us//1000 AS ts_ms, d.flow_id, verdict, composite_e6, ttl_ms,
-  flow_age_us//1000 AS flow_age_ms, packet_count AS pkt_count FROM ({S.DECIDED}) d JOIN ({build('SELECT * EXCLUDE (remote_ip) FROM rich_flows')}) r USING (flow_id) WHERE verdict<>'Allow'""")
+@query("verdict_rows", f"""SELECT md5(a_ip || '|' || a_port || '|' || b_ip || '|' || b_port || '|' || protocol || '|' || verdict) AS verdict_id, eval_us//1000 AS ts_ms, flow_id, verdict,
+  {S.e6("total")} AS composite_e6, {S.TTL} AS ttl_ms, flow_age_us//1000 AS flow_age_ms, packet_count AS pkt_count FROM decided JOIN rich_flows USING (flow_id) WHERE verdict<>'Allow'""")
 def _(spark, sf):
     return sinks.verdict_rows(stage(decided(spark, sf))).select(
         "verdict_id", "ts_ms", "flow_id", "verdict", e6("composite_score").alias("composite_e6"), "ttl_ms", "flow_age_ms", "pkt_count")
@@ -983,3 +983,12 @@ GROUP BY ALL""")
 def _(spark, sf):
     known = crossflow.connections(net_flows(spark, sf)).filter("pid IS NOT NULL")
     return before(drained(spark, windows.stream_diversity(replayed(spark, known))), "window_end_us")
+
+
+@query("stream_cross_flow", ORACLES["score_cross_flow"])
+def _(spark, sf):
+    f_ = staged_flows(spark, sf)
+    evaluated = replayed(spark, f_.withColumn("ts_us", F.col("eval_us")))
+    rows = counters.stream_cross_flow(evaluated, replayed(spark, crossflow.connections(f_)))
+    kept = rows.select("flow_id", "eval_us", "ts_us", "cross_score", "cross_confidence", "cross_severity", "cross_hits")
+    return finding_view(before(drained(spark, kept), "ts_us"), "CrossFlow")

@@ -7,6 +7,7 @@ expressions and everything they need.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from harness.adapters import BURST_VALUE, DETECTOR_NAMES, EPOCH_US, PATHS, POOL, SQUEEZE, TICK_US, TICKS, USERS_PER_HOST
 
@@ -35,7 +36,9 @@ def build(body: str, *extra: str) -> str:
 
     for name in [*needed(body), *extra]:
         visit(name)
-    heads = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    # What several parts read is computed once, whatever the engine would choose.
+    used = Counter(n for text in [body, *(CTES[n] for n in order)] for n in re.findall(r"[a-z_0-9]+", text))
+    heads = ",\n".join(f"{n} AS {'MATERIALIZED ' if used[n] > 1 else ''}({CTES[n]})" for n in order)
     return f"WITH {heads}\n{body.strip()}" if heads else body.strip()
 
 

@@ -141,13 +141,17 @@ FROM (SELECT *, ts_us-lag(ts_us) OVER (PARTITION BY remote_ip, remote_port, prot
 cte("beacon_at", """
 SELECT flow_id, side, n AS beacon_n, CASE WHEN n>1 AND tot>0 THEN tot/(n-1)/1e6 END AS mean_s,
   CASE WHEN n>1 AND tot>0 THEN sqrt(greatest((n-1)*sq/(tot*tot)-1e0, 0e0)) END AS cv FROM (
-SELECT e.flow_id, e.side, CAST(count(*) AS DOUBLE) AS n, CAST(max(b.ts_us)-min(b.ts_us) AS DOUBLE) AS tot, CAST(max(b.cum)-min(b.cum) AS DOUBLE) AS sq
-FROM ends e JOIN beacon_cum b ON e.ip=b.remote_ip AND e.port=b.remote_port AND e.protocol=b.protocol AND b.ts_us BETWEEN e.eval_us-60000000 AND e.eval_us
-GROUP BY ALL)
+SELECT flow_id, side, probe, CAST(count(ev) OVER w AS DOUBLE) AS n, CAST(max(ev) OVER w - min(ev) OVER w AS DOUBLE) AS tot, CAST(max(cum) OVER w - min(cum) OVER w AS DOUBLE) AS sq
+FROM (SELECT remote_ip AS ip, remote_port AS port, protocol, ts_us AS at_us, ts_us AS ev, cum, NULL AS flow_id, NULL AS side, false AS probe FROM beacon_cum
+  UNION ALL SELECT ip, port, protocol, eval_us, NULL, NULL, flow_id, side, true FROM ends)
+WINDOW w AS (PARTITION BY ip, port, protocol ORDER BY at_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)) WHERE probe AND n>0
 """)
 cte("spread_at", """
-SELECT f.flow_id, count(DISTINCT c.remote_ip) AS distinct_ips, count(*) AS conns FROM net_flows f
-JOIN conn c ON f.pid=c.pid AND c.ts_us BETWEEN f.eval_us-10000000 AND f.eval_us GROUP BY f.flow_id
+SELECT flow_id, distinct_ips, conns FROM (
+SELECT flow_id, probe, count(DISTINCT remote_ip) OVER w AS distinct_ips, count(remote_ip) OVER w AS conns
+FROM (SELECT pid, ts_us AS at_us, remote_ip, NULL AS flow_id, false AS probe FROM conn WHERE pid IS NOT NULL
+  UNION ALL SELECT pid, eval_us, NULL, flow_id, true FROM net_flows WHERE pid IS NOT NULL)
+WINDOW w AS (PARTITION BY pid ORDER BY at_us RANGE BETWEEN 10000000 PRECEDING AND CURRENT ROW)) WHERE probe AND conns>0
 """)
 cte("cross_at", """
 SELECT f.flow_id, coalesce(sa.scan_count,0) AS scan_a, coalesce(sa.dns_count,0) AS dns_a, coalesce(sb.scan_count,0) AS scan_b, coalesce(sb.dns_count,0) AS dns_b,
@@ -271,9 +275,9 @@ SELECT *, least({"+".join(_adj)}, {f(1.0)}) AS total, {"+".join(f"CASE WHEN {a}>
   {" OR ".join(f"{a}>={f(.85)}" for a in _adj)} AS override, greatest({",".join(f"CASE WHEN {d}s>0 THEN {d}v END" for d in _d)}) AS worst,
   CASE {" ".join(f"WHEN {d}s*{d}c=greatest({','.join(_adj)}) THEN '{name}'" for d, name in _rev)} END AS top_detector FROM scored)
 """)
+TTL = "CASE WHEN verdict='Block' THEN CAST(CASE coalesce(worst,1) WHEN 3 THEN 3600000 WHEN 2 THEN 900000 WHEN 1 THEN 300000 ELSE 60000 END AS BIGINT) END"
 DECIDED = build("""
-SELECT r.flow_id, r.remote_ip, d.verdict, """ + e6("total") + """ AS composite_e6, n AS detectors_scoring, override, top_detector,
- CASE WHEN d.verdict='Block' THEN CAST(CASE coalesce(worst,1) WHEN 3 THEN 3600000 WHEN 2 THEN 900000 WHEN 1 THEN 300000 ELSE 60000 END AS BIGINT) END AS ttl_ms
+SELECT r.flow_id, r.remote_ip, d.verdict, """ + e6("total") + """ AS composite_e6, n AS detectors_scoring, override, top_detector, """ + TTL + """ AS ttl_ms
 FROM decided d JOIN rich_flows r USING (flow_id)""")
 
 

@@ -189,7 +189,10 @@ def crossflow_lookup(flows: DataFrame, events: DataFrame, excluded: DataFrame |
 
 
 def with_counters(flows: DataFrame, counters: DataFrame) -> DataFrame:
-    joined = flows.join(counters, "flow_id", "left")
+    return counted(flows.join(counters, "flow_id", "left"))
+
+
+def counted(joined: DataFrame) -> DataFrame:
     return joined.withColumns({
         "scan_a": F.coalesce("_sa.scan_count", F.lit(0)), "dns_a": F.coalesce("_sa.dns_count", F.lit(0)),
         "scan_b": F.coalesce("_sb.scan_count", F.lit(0)), "dns_b": F.coalesce("_sb.dns_count", F.lit(0)),
