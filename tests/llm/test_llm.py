@@ -440,3 +440,55 @@ def test_languages_of_long_texts_only_are_learned(spark):
 def test_blobs():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.int32), np.array([-1, 2], np.int64)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, R.unpack(R.pack(*arrays))))
+
+
+def test_shards_of_sorted_keys():
+    rng = np.random.default_rng(3)
+    for bits, shards in ((48, 1), (48, 7), (32, 1000), (48, 50_000_000)):
+        keys = np.unique(rng.integers(0, 1 << bits, 5000, np.uint64))
+        dealt = R.Shards(keys, bits, shards)
+        assert len(dealt.ids) <= len(keys) and [x for _, own in dealt for x in keys[own].tolist()] == keys.tolist()
+        for shard, own in dealt:
+            assert dealt.of(shard) == own and 0 <= shard < shards
+            exact = {int(k) * shards >> bits for k in (int(keys[own.start]) >> (bits - 32) << (bits - 32),)}
+            assert exact == {shard}
+    assert not list(R.Shards(np.zeros(0, np.uint64), 48, 5))
+
+
+def test_documents_without_id_are_spread(spark):
+    rows = [(None, f"text {k} " * 2000) for k in range(1500)]
+    chunks, _ = R.chunked(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in chunks.groupBy("chunk").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 0.8 * len(rows)
+
+
+def test_classifier_learns_a_class_of_long_texts(spark):
+    rng = random.Random(2)
+    make = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, make(["fine", "prose", "reads", "well"], 200)) for k in range(40)] + [(100 + k, make(["junk", "spam", "click", "here"], 5000)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, _ in rows], "doc_id long, quality int")
+    assert all(len(t) > quality.LONGEST for d, t in rows if d >= 100)
+    model = quality.fit(docs, labels)
+    assert model is not None
+    p = {r["doc_id"]: r["p_quality"] for r in quality.judge(docs, model).collect()}
+    assert min(p[k] for k in range(40)) > 0.5 > max(p[100 + k] for k in range(40))
+
+
+def test_revisits_of_one_id_and_long_bodies(spark):
+    head = lambda tag: {"ETag": tag}
+    body = "b" * 3_000_000
+    rows = [
+        (1, "http://a.com/x", 10, "response", head("1"), body), (1, "http://b.com/y", 20, "response", head("2"), "b"),
+        (9, "http://a.com/x", 30, "revisit", head("1"), None), (9, "https://b.com:443/y", 40, "revisit", head("2"), None),
+        (9, "http://a.com/x", 5, "revisit", head("1"), None), (9, "http://a.com/x", 30, "revisit", head("1"), None),
+        (9, "http://b.com:443/y", 50, "revisit", head("2"), None), (1, "http://a.com/x", 10, "response", head("0"), "other"),
+    ]
+    records = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>, body string").repartition(4)
+    got = [sorted((r["url"], r["ts"], r["refers_to"], r["status"], len(r["body"] or "")) for r in warc.resolve(records).collect()) for _ in range(2)]
+    assert got[0] == got[1] and len(got[0]) == 5
+    by = {x[:2]: x[2:] for x in got[0]}
+    assert by["http://a.com/x", 5] == (None, "no_response", 0) and by["https://b.com:443/y", 40] == (1, "resolved", 1)
+    # Not the default port of its scheme, so another resource.
+    assert by["http://b.com:443/y", 50] == (None, "no_response", 0)
+    assert by["http://a.com/x", 30] in {(1, "resolved", 3_000_000), (1, "changed", 0)}

@@ -1,6 +1,6 @@
 """Finding which windows of a corpus can repeat, without moving the windows.
 
-Documents are dealt into chunks of a few megabytes by a hash of their id. Every window (of bytes or words) has an anchor: its
+Documents are dealt into chunks of a few megabytes by a hash of their id and text (many may have one id, or none). Every window (of bytes or words) has an anchor: its
 leftmost least short gram. Equal windows have equal anchors, and neighbouring windows mostly share theirs, so that a run of windows
 with one anchor is one fragment. Chunks ask about sorted keys; a shard, which holds a range of keys of all chunks, answers
 each asker in the order of its keys. A chunk asks once about each key, however often it has it, so that the most
@@ -53,7 +53,7 @@ def chunked(docs: DataFrame, carry: tuple[str, ...] = (), share: int = SHARE) ->
     chunks = max(1, -(-size // CHUNK))
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))), max(1, -(-size // share))
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(chunks)).alias("chunk"), doc_id.alias("doc_id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))), max(1, -(-size // share))
 
 
 def slide(values: np.ndarray, width: int) -> np.ndarray:
@@ -102,16 +102,29 @@ def parts(batches: Iterable[pa.RecordBatch], width: int, gram: int, elements: Ca
         yield Part(piece, width, gram, elements)
 
 
-def shards_of(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Bounds of each shard's range in sorted keys of so many bits."""
-    edges = [-(-(k << bits) // shards) for k in range(1, shards)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, keys.dtype)), [len(keys)]]).astype(np.int64)
+class Shards:
+    """The shards that sorted keys of so many bits (32 at least) belong to, and where each one's keys lie.
 
+    Only the shards that are met are held, of which a chunk has no more than keys, however many there are.
+    """
 
-def spread(bounds: np.ndarray, *arrays: np.ndarray) -> pa.Table | None:
+    def __init__(self, keys: np.ndarray, bits: int, shards: int):
+        number = ((keys.astype(np.uint64) >> np.uint64(bits - 32)) * np.uint64(shards)) >> np.uint64(32)
+        self.low = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.high = np.append(self.low[1:], len(keys))[: len(self.low)]
+        self.ids = number[self.low].astype(np.int64)
+
+    def __iter__(self) -> Iterator[tuple[int, slice]]:
+        return zip(self.ids.tolist(), map(slice, self.low.tolist(), self.high.tolist()))
+
+    def of(self, shard: int) -> slice:
+        k = int(np.searchsorted(self.ids, shard))
+        return slice(int(self.low[k]), int(self.high[k]))
+
+
+def spread(shards: Shards, *arrays: np.ndarray) -> list[tuple[int, bytes]]:
     """A row (shard, blob) for each shard that is asked something."""
-    shards = np.flatnonzero(np.diff(bounds))
-    return [(int(s), pack(*(a[bounds[s] : bounds[s + 1]] for a in arrays))) for s in shards]
+    return [(s, pack(*(a[own] for a in arrays))) for s, own in shards]
 
 
 def asked(keys_docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,10 +164,10 @@ def shared_anchors(docs: DataFrame, shards: int, width: int, gram: int, elements
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         keys, twice = _light(table, width, gram, elements)
-        bounds = shards_of(keys, 48, shards)
+        dealt = Shards(keys, 48, shards)
         first = np.diff(keys, prepend=np.uint64(0))
-        first[bounds[:-1][np.diff(bounds) > 0]] = keys[bounds[:-1][np.diff(bounds) > 0]]
-        return questions(spread(bounds, first, twice.view(np.uint8)), key[0].as_py())
+        first[dealt.low] = keys[dealt.low]
+        return questions(spread(dealt, first, twice.view(np.uint8)), key[0].as_py())
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         rows = [(c, *unpack(b)) for c, b in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist())]
@@ -189,11 +202,11 @@ def told(replied: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
 
 def shared_keys(keys: np.ndarray, shards: int, replied: pa.Table) -> np.ndarray:
     """Those of a chunk's keys that the shards found shared."""
-    bounds = shards_of(keys, 48, shards)
+    dealt = Shards(keys, 48, shards)
     marked = np.zeros(len(keys), bool)
     for shard, (bits,) in told(replied, 0):
-        low, high = bounds[shard : shard + 2]
-        marked[low:high] = np.unpackbits(bits, count=high - low)
+        own = dealt.of(shard)
+        marked[own] = np.unpackbits(bits, count=own.stop - own.start)
     return keys[marked]
 
 

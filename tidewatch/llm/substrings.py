@@ -55,7 +55,7 @@ def _graph(docs: DataFrame, shards: int, width: int, gram: int):
     def ask(chunk: int, table: pa.Table, replied: pa.Table) -> pa.Table:
         _, node, edge, doc, place, _, _, order, head = known(table, replied)
         own = order[head]
-        return R.questions(R.spread(R.shards_of(node[own], 32, shards), node[own], edge[own], doc[own], place[own]), chunk)
+        return R.questions(R.spread(R.Shards(node[own], 32, shards), node[own], edge[own], doc[own], place[own]), chunk)
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
@@ -82,11 +82,11 @@ def _graph(docs: DataFrame, shards: int, width: int, gram: int):
 def _resolved(replied: pa.Table, node: np.ndarray, doc: np.ndarray, order: np.ndarray, head: np.ndarray, shards: int):
     """First document, first place and branching of every edge of the chunk."""
     own = order[head]
-    bounds = R.shards_of(node[own], 32, shards)
+    dealt = R.Shards(node[own], 32, shards)
     source, place, branch = np.zeros(len(own), np.int64), np.zeros(len(own), np.int32), np.zeros(len(own), bool)
     for shard, (d, p, b) in R.told(replied, 1):
-        low, high = bounds[shard : shard + 2]
-        source[low:high], place[low:high], branch[low:high] = d, p, b > 0
+        mine = dealt.of(shard)
+        source[mine], place[mine], branch[mine] = d, p, b > 0
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(np.bincount(head, minlength=len(order))) - 1
     return source[group], place[group], branch[group]

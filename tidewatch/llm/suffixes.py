@@ -204,9 +204,9 @@ class Fragments:
 
     def ask(self, shards: int, width: int) -> list[tuple[int, bytes]]:
         own = self.own
-        bounds, out = R.shards_of(self.key[own], 48, shards), []
-        for s in np.flatnonzero(np.diff(bounds)):
-            mine = own[bounds[s] : bounds[s + 1]]
+        out = []
+        for s, of in R.Shards(self.key[own], 48, shards):
+            mine = own[of]
             size = self.count[mine] + width - 1
             place = np.concatenate([[0], np.cumsum(size)])
             content = np.empty(place[-1], np.uint8)
@@ -214,7 +214,7 @@ class Fragments:
                 at = np.flatnonzero(self.part[mine] == k)
                 content[_spans_of(place[at], size[at])] = self.found[k].data[_spans_of(self.start[mine[at]], size[at])]
             key = self.key[mine]
-            out.append((int(s), R.pack(np.diff(key, prepend=np.uint64(0)), self.doc[mine], self.count[mine].astype(np.uint8), content)))
+            out.append((s, R.pack(np.diff(key, prepend=np.uint64(0)), self.doc[mine], self.count[mine].astype(np.uint8), content)))
         return out
 
 
@@ -278,10 +278,10 @@ def _walk(docs: DataFrame, emit, schema: str, width: int, gram: int, carry: tupl
         own = known(table, replied)
         if not own:
             return emit([], [], [])
-        bounds = R.shards_of(own.key[own.own], 48, shards)
+        dealt = R.Shards(own.key[own.own], 48, shards)
         masks = np.zeros(len(own.own), np.uint32)
         for shard, (m,) in R.told(replied, 1):
-            masks[bounds[shard] : bounds[shard + 1]] = m
+            masks[dealt.of(shard)] = m
         every = own.doc > own.doc[own.own][own.group]
         mask = np.where(every, np.uint32(0xFFFFFFFF), masks[own.group])
         hit = (np.repeat(mask, own.count) >> (np.arange(own.count.sum()) - np.repeat(np.cumsum(own.count) - own.count, own.count)).astype(np.uint32)) & 1
