@@ -22,11 +22,8 @@ from tidewatch.functions import ip as ips
 from tidewatch.functions.times import SECOND_US
 from tidewatch.operators import crossflow as cf
 from tidewatch.plans.versions import shared_owner
-from tidewatch.streaming.stateful import NEVER
 
 SCAN, BEACON, SPREAD = "scan", "beacon", "spread"
-#: Text only: numbers that may be null don't reach a processor as they are.
-_KEY = ["family", "key"]
 _ANSWER = (
     "flow_id string, ts timestamp, family string, side string, scan_count long, dns_count long, beacon_n long, "
     "beacon_mean_s double, beacon_cv double, distinct_ips long, at_cap boolean"
@@ -34,22 +31,22 @@ _ANSWER = (
 
 
 class Counters(StatefulProcessor):
-    """State of a key: rows that wait or are still in the window, and for scans the session's counts.
+    """State of a bucket of keys: rows that wait, and events whose window hasn't passed.
 
     New rows are appended unread. When the watermark moves past the first that
-    waits, all that are due are taken at once, and what has left the window is
-    dropped; a silent key is forgotten by its last timer.
+    waits, all that are due are taken at once, in arrays over all keys, and
+    what has left the window is dropped; a silent bucket is forgotten by its
+    last timer. Of a scan's session the last event stays, with the session's
+    counts as its weights.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "ts_us long, event boolean, dns boolean, remote string, flow_id string, side string")
-        self.session = handle.getValueState("session", "last_us long, scans long, dns long")
+        self.rows = handle.getListState("rows", _ROWS)
 
     def handleInputRows(self, key, rows, timerValues):
-        names = ["ts_us", "event", "dns", "remote", "flow_id", "side"]
-        new = pd.concat([r[names] for r in rows])
-        self.rows.appendList([tuple(r) for r in new.astype(object).where(new.notna(), None).itertuples(index=False)])
+        new = pd.concat([r[_NAMES] for r in rows])
+        self.rows.appendList(_tuples(new))
         at, timers = int(new["ts_us"].min()) // 1000 + 1, list(self.handle.listTimers())
         if not timers or at < min(timers):
             for timer in timers:
@@ -58,17 +55,21 @@ class Counters(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.rows.get()), columns=["ts_us", "event", "dns", "remote", "flow_id", "side"])
-        held = held.sort_values("ts_us", kind="stable")
-        due = held["ts_us"] <= now
-        events, asked = held[due & held["event"]], held[due & ~held["event"]]
-        family = key[0]
+        now, family = timerValues.getCurrentWatermarkInMs() * 1000, key[0]
         width = (cf.DIVERSITY_S if family == SPREAD else cf.WINDOW_S) * SECOND_US
-        # A scan's session goes on in its counts, the others' events stay while they are in the window.
-        past = held.iloc[:0] if family == SCAN else events[events["ts_us"] >= now - width]
-        answers = getattr(self, family)(events, asked["ts_us"].to_numpy().astype("int64"))
-        self._keep(pd.concat([past, held[~due]]), now, width)
+        held = pd.DataFrame(list(self.rows.get()), columns=_NAMES)
+        # One number orders all keys' rows: no window reaches from one key to another.
+        base, span = int(held["ts_us"].min()), int(held["ts_us"].max() - held["ts_us"].min()) + 2 * width + 1
+        held["code"] = pd.factorize(held["key"])[0]
+        held["at"] = held["code"] * span + (held["ts_us"] - base)
+        held = held.sort_values("at", kind="stable")
+        due = held["ts_us"] <= now
+        events, asked = held[due & held["event"]].copy(), held[due & ~held["event"]]
+        at, low = asked["at"].to_numpy(), np.maximum(asked["at"].to_numpy() - width, asked["code"].to_numpy() * span)
+        answers = getattr(self, family)(events, low, at, width)
+        if family == SCAN:
+            events = events.drop_duplicates("key", keep="last")
+        self._keep(pd.concat([events[events["ts_us"] >= now - width], held[~due]])[_NAMES], now, width)
         if len(asked):
             yield pd.DataFrame({
                 "flow_id": asked["flow_id"].to_numpy(), "ts": pd.to_datetime(asked["ts_us"].to_numpy(), unit="us"), "family": family,
@@ -76,73 +77,60 @@ class Counters(StatefulProcessor):
             } | {c: answers.get(c, pd.array([None] * len(asked), t)) for c, t in _EMPTY.items()})
 
     def _keep(self, rows: pd.DataFrame, now: int, width: int) -> None:
-        session = self.session.get() if self.session.exists() else None
-        if session and session[0] + width < now:
-            self.session.clear()
-            session = None
-        if len(rows):
-            self.rows.put([tuple(r) for r in rows.astype(object).where(rows.notna(), None).itertuples(index=False)])
-        else:
+        if not len(rows):
             self.rows.clear()
+            return
+        self.rows.put(_tuples(rows))
         waiting = rows.loc[rows["ts_us"] > now, "ts_us"]
         # The timer that has just expired is the only one.
-        if len(waiting):
-            self.handle.registerTimer(int(waiting.min()) // 1000 + 1)
-        elif len(rows) or session:
-            self.handle.registerTimer(((session[0] if session else int(rows["ts_us"].max())) + width) // 1000 + 1)
-
-    def scan(self, events: pd.DataFrame, at: np.ndarray) -> dict:
-        last, scans, dns = self.session.get() if self.session.exists() else (NEVER, 0, 0)
-        width = cf.WINDOW_S * SECOND_US
-        ts, is_dns = events["ts_us"].to_numpy().astype("int64"), events["dns"].to_numpy().astype("int64")
-        latest = np.concatenate([[last], ts])
-        fresh = (latest[:-1] == NEVER) | (ts - latest[:-1] > width)
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(ts)), -1)) if len(ts) else np.zeros(0, int)
-        sums = np.concatenate([[0], np.cumsum(is_dns)])
-        n = np.arange(1, len(ts) + 1) - np.maximum(begin, 0) + np.where(begin < 0, scans, 0)
-        d = sums[1:] - sums[np.maximum(begin, 0)] + np.where(begin < 0, dns, 0)
-        n, d = np.concatenate([[scans], n]), np.concatenate([[dns], d])
-        if len(ts):
-            self.session.update((int(ts[-1]), int(n[-1]), int(d[-1])))
-        seen = np.searchsorted(ts, at, "right")
-        live = (latest[seen] != NEVER) & (at - latest[seen] <= width)
-        return {"scan_count": np.where(live, n[seen], 0), "dns_count": np.where(live, d[seen], 0)}
-
-    def beacon(self, events: pd.DataFrame, at: np.ndarray) -> dict:
-        width = cf.WINDOW_S * SECOND_US
-        ts = events["ts_us"].to_numpy().astype("int64")
-        low, high = np.searchsorted(ts, at - width), np.searchsorted(ts, at, "right")
+        self.handle.registerTimer((int(waiting.min()) if len(waiting) else int(rows["ts_us"].max()) + width) // 1000 + 1)
+
+    def scan(self, events: pd.DataFrame, low: np.ndarray, at: np.ndarray, width: int) -> dict:
+        ts = events["at"].to_numpy()
+        fresh = np.diff(ts, prepend=ts[:1] - width - 1) > width
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(ts)), 0))
+        for name in ("scans", "dns"):
+            sums = np.concatenate([[0], np.cumsum(events[name].to_numpy().astype("int64"))])
+            events[name] = sums[1:] - sums[begin]
+        last = np.searchsorted(ts, at, "right") - 1
+        live = (last >= 0) & (np.append(ts, 0)[last] >= low)
+        return {f"{c}_count": np.where(live, np.append(events[n].to_numpy(), 0)[last], 0) for c, n in (("scan", "scans"), ("dns", "dns"))}
+
+    def beacon(self, events: pd.DataFrame, low: np.ndarray, at: np.ndarray, width: int) -> dict:
+        ts = events["at"].to_numpy()
+        first, end = np.searchsorted(ts, low), np.searchsorted(ts, at, "right")
         gaps = np.diff(ts, prepend=ts[:1])
-        squares = np.concatenate([[0], np.cumsum(np.where(gaps <= width, gaps, 0) ** 2)])
-        some = high > low
-        first, last = np.where(some, low, 0), np.where(some, high - 1, 0)
-        ends = ts if len(ts) else np.zeros(1, "int64")
-        n, total = high - low, np.where(some, ends[last] - ends[first], 0)
-        spread = np.where(some, squares[last + 1 if len(ts) else last] - squares[first + 1 if len(ts) else first], 0).astype(float)
-        known = (n > 1) & (total > 0)
-        whole = np.where(known, total, 1).astype(float)
-        cv = np.sqrt(np.maximum((n - 1) * spread / (whole * whole) - 1.0, 0.0))
-        nothing = lambda x: pd.array(np.where(known, x, 0.0), "Float64").copy()
-        mean, cv = nothing(whole / np.maximum(n - 1, 1) / 1e6), nothing(cv)
-        mean[~known], cv[~known] = pd.NA, pd.NA
-        return {"beacon_n": n, "beacon_mean_s": mean, "beacon_cv": cv}
-
-    def spread(self, events: pd.DataFrame, at: np.ndarray) -> dict:
-        ts = events["ts_us"].to_numpy().astype("int64")
-        low, high = np.searchsorted(ts, at - cf.DIVERSITY_S * SECOND_US), np.searchsorted(ts, at, "right")
+        squares = np.append(np.cumsum(np.where(gaps <= width, gaps, 0) ** 2), 0)
+        n, padded = end - first, np.append(ts, 0)
+        known = (n > 1) & (padded[end - 1] > padded[first])
+        total = np.where(known, padded[end - 1] - padded[first], 1).astype(float)
+        spread = np.where(known, squares[end - 1] - squares[first], 0).astype(float)
+        cv = np.sqrt(np.maximum((n - 1) * spread / (total * total) - 1.0, 0.0))
+        told = {"beacon_mean_s": total / np.maximum(n - 1, 1) / 1e6, "beacon_cv": cv}
+        return {"beacon_n": n} | {c: pd.arrays.FloatingArray(x, ~known) for c, x in told.items()}
+
+    def spread(self, events: pd.DataFrame, low: np.ndarray, at: np.ndarray, width: int) -> dict:
+        ts = events["at"].to_numpy()
+        first, end = np.searchsorted(ts, low), np.searchsorted(ts, at, "right")
         # A remote counts in a window at its first connection there: the one whose predecessor is before the window.
-        code = pd.factorize(events["remote"])[0]
+        code = events.groupby(["code", "remote"], sort=False).ngroup().to_numpy()
         order = np.argsort(code, kind="stable")
         before = np.full(len(ts), -1)
         alike = code[order][1:] == code[order][:-1]
         before[order[1:][alike]] = order[:-1][alike]
-        distinct = np.array([np.count_nonzero(before[a:b] < a) for a, b in zip(low, high)], "int64")
-        return {"distinct_ips": distinct, "at_cap": high - low >= cf.MAX_PID_ENTRIES}
+        distinct = np.array([np.count_nonzero(before[a:b] < a) for a, b in zip(first, end)], "int64")
+        return {"distinct_ips": distinct, "at_cap": end - first >= cf.MAX_PID_ENTRIES}
 
     def close(self) -> None:
         pass
 
 
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    return list(rows.astype(object).where(rows.notna(), None).itertuples(index=False, name=None))
+
+
+_NAMES = ["key", "ts_us", "event", "scans", "dns", "remote", "flow_id", "side"]
+_ROWS = "key string, ts_us long, event boolean, scans long, dns long, remote string, flow_id string, side string"
 _EMPTY = {"scan_count": "Int64", "dns_count": "Int64", "beacon_n": "Int64", "beacon_mean_s": "Float64", "beacon_cv": "Float64", "distinct_ips": "Int64", "at_cap": "boolean"}
 
 
@@ -153,9 +141,12 @@ def _asked(family: str, host: list[str], parts: list[str], side: str | None = No
         F.lit(family).alias("family"), key.alias("key"), F.lit(side).cast("string").alias("side"), (nothing if remote is None else remote).alias("remote"))
 
 
-def stream_crossflow_lookup(flows: DataFrame, connections: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def stream_crossflow_lookup(flows: DataFrame, connections: DataFrame, delay: str = "10 seconds", buckets: int = 64) -> DataFrame:
     """``crossflow.crossflow_lookup`` of a stream of finished flows.
 
+    Keys are dealt into ``buckets``, as a call for each key costs far more than
+    its work; a bucket's last minute must fit a task.
+
     ``flows`` has ``ts`` at the evaluation (``eval_us``), ``connections`` (see
     ``crossflow.connections``) at the start of a flow; both streams have a
     watermark of ``delay`` behind them, and the slower one sets the pace.
@@ -168,7 +159,7 @@ def stream_crossflow_lookup(flows: DataFrame, connections: DataFrame, delay: str
     )
     dns = (F.col("protocol") == 17) & (F.col("remote_port") == 53)
     events = connections.withWatermark("ts", delay).select(
-        "ts", F.lit(True).alias("event"), F.coalesce(dns, F.lit(False)).alias("dns"), F.lit(None).cast("string").alias("flow_id"),
+        "ts", F.lit(True).alias("event"), F.when(dns, 1).otherwise(0).cast("bigint").alias("dns"), F.lit(None).cast("string").alias("flow_id"),
         F.explode(F.array_compact(keys)).alias("k"))
 
     timed = flows.withWatermark("ts", delay)
@@ -177,9 +168,11 @@ def stream_crossflow_lookup(flows: DataFrame, connections: DataFrame, delay: str
         for s in "ab" for kind, parts in ((SCAN, ["pid", f"{s}_ip"]), (BEACON, [f"{s}_ip", f"{s}_port", "protocol"]))
     ]
     asked = F.array(*ends, F.when(known, _asked(SPREAD, host, ["pid"])))
-    probes = timed.select("ts", F.lit(False).alias("event"), F.lit(False).alias("dns"), "flow_id", F.explode(F.array_compact(asked)).alias("k"))
-    line = events.unionByName(probes).select("ts", F.unix_micros("ts").alias("ts_us"), "event", "dns", "flow_id", "k.*")
-    answers = line.groupBy(*_KEY).transformWithStateInPandas(
+    probes = timed.select("ts", F.lit(False).alias("event"), F.lit(0).cast("bigint").alias("dns"), "flow_id", F.explode(F.array_compact(asked)).alias("k"))
+    line = events.unionByName(probes).select(
+        "ts", F.unix_micros("ts").alias("ts_us"), "event", F.lit(1).cast("bigint").alias("scans"), "dns", "flow_id", "k.*",
+        F.pmod(F.xxhash64("k.key"), F.lit(buckets)).alias("bucket"))
+    answers = line.groupBy("family", "bucket").transformWithStateInPandas(
         statefulProcessor=Counters(), outputStructType=_ANSWER, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
 
     names = [c for c in flows.columns if c not in ("flow_id", "ts")]
@@ -198,6 +191,6 @@ def stream_crossflow_lookup(flows: DataFrame, connections: DataFrame, delay: str
     return cf.counted(found.select("flow_id", "ts", "_flow.*", "_sa", "_sb", "beacon_a", "beacon_b", "diversity"))
 
 
-def stream_cross_flow(flows: DataFrame, connections: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def stream_cross_flow(flows: DataFrame, connections: DataFrame, delay: str = "10 seconds", buckets: int = 64) -> DataFrame:
     """Flows with the cross-flow finding, once the watermark has passed their evaluation."""
-    return cf.score_cross_flow(stream_crossflow_lookup(flows, connections, delay))
+    return cf.score_cross_flow(stream_crossflow_lookup(flows, connections, delay, buckets))
