@@ -22,7 +22,7 @@ from tidewatch.plans.pipeline import actionable, packet_verdicts, score_flows
 from tidewatch.schema import DETECTORS, FINDING, FLOW_KEY, VERDICT_KEY
 from tidewatch.session import STATE_STORE
 from tidewatch.sources import feeds, packets as packet_sources, sinks
-from tidewatch.streaming import counters, stateful, windows
+from tidewatch.streaming import counters, late, stateful, windows
 from tidewatch.streaming.sink import stream_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -992,3 +992,48 @@ def _(spark, sf):
     rows = counters.stream_cross_flow(evaluated, replayed(spark, crossflow.connections(f_)))
     kept = rows.select("flow_id", "eval_us", "ts_us", "cross_score", "cross_confidence", "cross_severity", "cross_hits")
     return finding_view(before(drained(spark, kept), "ts_us"), "CrossFlow")
+
+
+@query("stream_pid_diversity", ORACLES["pid_diversity"])
+def _(spark, sf):
+    f_ = staged_flows(spark, sf)
+    evaluated = replayed(spark, f_.withColumn("ts_us", F.col("eval_us")))
+    rows = drained(spark, counters.stream_diversity_at(evaluated, replayed(spark, crossflow.connections(f_))))
+    return before(rows, "ts_us").drop("ts_us")
+
+
+@query("stream_enrich", ORACLES["attach_enrichment"])
+def _(spark, sf):
+    # Attributes come five seconds after their verdict, and some wait in another micro-batch.
+    vid = F.col("verdict_id")
+    v = A.verdicts(spark, sf).select("verdict_id", (F.col("ts_ms") * 1000).alias("ts_us"), "dns_name", "country_code")
+    updates = v.select(
+        "verdict_id", (F.col("ts_us") + 5_000_000).alias("ts_us"), F.when(vid % 3 == 0, F.concat(F.lit("new"), vid.cast("string"))).alias("dns_name"),
+        F.lit(None).cast("string").alias("country_code"))
+    last = v.agg(F.max("ts_us")).first()[0]
+    rows = drained(spark, late.stream_enrich(replayed(spark, v), replayed(spark, updates), "verdict_id")).filter(F.col("ts_us") <= F.lit(last))
+    newest = F.max_by(F.struct("dns_name", "country_code"), "version")
+    return rows.groupBy("verdict_id").agg(newest.alias("r")).select("verdict_id", "r.*")
+
+
+_MIDDLE = "(SELECT (min(us)+max(us))//2 FROM ev)"
+
+
+@query("stream_late_rows", f"""SELECT event_id, us AS ts_us, event_id%50=0 AND us<{_MIDDLE} AND us<=(SELECT max(us) FROM ev)-10000000 AS late FROM ev""")
+def _(spark, sf):
+    """Every fiftieth event of the first half arrives after all others."""
+    ev = stage(A.squeezed(spark, sf).select("event_id", F.col("us").alias("ts_us"), F.timestamp_micros("us").alias("ts")))
+    low, high = ev.agg(F.min("ts_us"), F.max("ts_us")).first()
+    held = (F.col("event_id") % 50 == 0) & (F.col("ts_us") < (low + high) // 2)
+    folder = work_folder(spark)
+    for part in (~held & (F.col("ts_us") < (low + high) // 2), ~held & (F.col("ts_us") >= (low + high) // 2), held):
+        ev.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    late.split_late(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    read = lambda kind: spark.read.schema(ev.schema).parquet(f"{folder}/out/{kind}")
+    return read("accepted").withColumn("late", F.lit(False)).unionByName(read("late").withColumn("late", F.lit(True))).select("event_id", "ts_us", "late")
+
+
+@query("desired_blocks_bounded", f"SELECT * FROM ({build(_DESIRED)}) ORDER BY ttl_s DESC, ip LIMIT 5")
+def _(spark, sf):
+    return audit.desired_blocks(A.enforcement_log(spark, sf), A.NOW_MS, limit=5)

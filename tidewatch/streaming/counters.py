@@ -26,7 +26,7 @@ from tidewatch.plans.versions import shared_owner
 SCAN, BEACON, SPREAD = "scan", "beacon", "spread"
 _ANSWER = (
     "flow_id string, ts timestamp, family string, side string, scan_count long, dns_count long, beacon_n long, "
-    "beacon_mean_s double, beacon_cv double, distinct_ips long, at_cap boolean"
+    "beacon_mean_s double, beacon_cv double, distinct_ips long, pid_connections long, at_cap boolean"
 )
 
 
@@ -119,7 +119,7 @@ class Counters(StatefulProcessor):
         alike = code[order][1:] == code[order][:-1]
         before[order[1:][alike]] = order[:-1][alike]
         distinct = np.array([np.count_nonzero(before[a:b] < a) for a, b in zip(first, end)], "int64")
-        return {"distinct_ips": distinct, "at_cap": end - first >= cf.MAX_PID_ENTRIES}
+        return {"distinct_ips": distinct, "pid_connections": end - first, "at_cap": end - first >= cf.MAX_PID_ENTRIES}
 
     def close(self) -> None:
         pass
@@ -131,7 +131,7 @@ def _tuples(rows: pd.DataFrame) -> list[tuple]:
 
 _NAMES = ["key", "ts_us", "event", "scans", "dns", "remote", "flow_id", "side"]
 _ROWS = "key string, ts_us long, event boolean, scans long, dns long, remote string, flow_id string, side string"
-_EMPTY = {"scan_count": "Int64", "dns_count": "Int64", "beacon_n": "Int64", "beacon_mean_s": "Float64", "beacon_cv": "Float64", "distinct_ips": "Int64", "at_cap": "boolean"}
+_EMPTY = {"scan_count": "Int64", "dns_count": "Int64", "beacon_n": "Int64", "beacon_mean_s": "Float64", "beacon_cv": "Float64", "distinct_ips": "Int64", "pid_connections": "Int64", "at_cap": "boolean"}
 
 
 def _asked(family: str, host: list[str], parts: list[str], side: str | None = None, remote: Column | None = None) -> Column:
@@ -141,40 +141,57 @@ def _asked(family: str, host: list[str], parts: list[str], side: str | None = No
         F.lit(family).alias("family"), key.alias("key"), F.lit(side).cast("string").alias("side"), (nothing if remote is None else remote).alias("remote"))
 
 
-def stream_crossflow_lookup(flows: DataFrame, connections: DataFrame, delay: str = "10 seconds", buckets: int = 64) -> DataFrame:
-    """``crossflow.crossflow_lookup`` of a stream of finished flows.
-
-    Keys are dealt into ``buckets``, as a call for each key costs far more than
-    its work; a bucket's last minute must fit a task.
+def stream_answers(
+    flows: DataFrame, connections: DataFrame, buckets: int = 64, families: tuple[str, ...] = (SCAN, BEACON, SPREAD)
+) -> DataFrame:
+    """The answers to each flow: (flow_id, ts, family, side) and the family's counters.
 
-    ``flows`` has ``ts`` at the evaluation (``eval_us``), ``connections`` (see
-    ``crossflow.connections``) at the start of a flow; both streams have a
-    watermark of ``delay`` behind them, and the slower one sets the pace.
+    Both streams have watermarks on ``ts``. Keys are dealt into ``buckets``, as
+    a call for each key costs far more than its work; a bucket's last minute
+    must fit a task.
     """
     host = shared_owner(flows, connections)
     known = F.col("pid").isNotNull()
-    keys = F.array(
-        _asked(SCAN, host, ["pid", "remote_ip"]), _asked(BEACON, host, ["remote_ip", "remote_port", "protocol"]),
-        F.when(known, _asked(SPREAD, host, ["pid"], None, F.col("remote_ip"))),
-    )
+    made = {
+        SCAN: _asked(SCAN, host, ["pid", "remote_ip"]), BEACON: _asked(BEACON, host, ["remote_ip", "remote_port", "protocol"]),
+        SPREAD: F.when(known, _asked(SPREAD, host, ["pid"], None, F.col("remote_ip"))),
+    }
+    keys = F.array(*[made[f] for f in families])
     dns = (F.col("protocol") == 17) & (F.col("remote_port") == 53)
-    events = connections.withWatermark("ts", delay).select(
+    events = connections.select(
         "ts", F.lit(True).alias("event"), F.when(dns, 1).otherwise(0).cast("bigint").alias("dns"), F.lit(None).cast("string").alias("flow_id"),
         F.explode(F.array_compact(keys)).alias("k"))
 
-    timed = flows.withWatermark("ts", delay)
     ends = [
         F.when(~ips.is_infrastructure(f"{s}_ip"), _asked(kind, host, parts, s))
         for s in "ab" for kind, parts in ((SCAN, ["pid", f"{s}_ip"]), (BEACON, [f"{s}_ip", f"{s}_port", "protocol"]))
+        if kind in families
     ]
-    asked = F.array(*ends, F.when(known, _asked(SPREAD, host, ["pid"])))
-    probes = timed.select("ts", F.lit(False).alias("event"), F.lit(0).cast("bigint").alias("dns"), "flow_id", F.explode(F.array_compact(asked)).alias("k"))
+    asked = F.array(*ends, *[F.when(known, _asked(SPREAD, host, ["pid"]))] * (SPREAD in families))
+    probes = flows.select("ts", F.lit(False).alias("event"), F.lit(0).cast("bigint").alias("dns"), "flow_id", F.explode(F.array_compact(asked)).alias("k"))
     line = events.unionByName(probes).select(
         "ts", F.unix_micros("ts").alias("ts_us"), "event", F.lit(1).cast("bigint").alias("scans"), "dns", "flow_id", "k.*",
         F.pmod(F.xxhash64("k.key"), F.lit(buckets)).alias("bucket"))
-    answers = line.groupBy("family", "bucket").transformWithStateInPandas(
+    return line.groupBy("family", "bucket").transformWithStateInPandas(
         statefulProcessor=Counters(), outputStructType=_ANSWER, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
 
+
+def stream_diversity_at(flows: DataFrame, connections: DataFrame, delay: str = "10 seconds", buckets: int = 64) -> DataFrame:
+    """``crossflow.pid_diversity`` at the evaluation of each flow of a known pid."""
+    # No filter here: Spark would move it in front of the watermark, which flows without a pid move on too.
+    found = stream_answers(flows.withWatermark("ts", delay), connections.withWatermark("ts", delay), buckets, (SPREAD,))
+    return found.select("flow_id", F.unix_micros("ts").alias("ts_us"), "distinct_ips", "pid_connections", "at_cap")
+
+
+def stream_crossflow_lookup(flows: DataFrame, connections: DataFrame, delay: str = "10 seconds", buckets: int = 64) -> DataFrame:
+    """``crossflow.crossflow_lookup`` of a stream of finished flows.
+
+    ``flows`` has ``ts`` at the evaluation (``eval_us``), ``connections`` (see
+    ``crossflow.connections``) at the start of a flow; both streams get a
+    watermark of ``delay`` behind them, and the slower one sets the pace.
+    """
+    timed = flows.withWatermark("ts", delay)
+    answers = stream_answers(timed, connections.withWatermark("ts", delay), buckets)
     names = [c for c in flows.columns if c not in ("flow_id", "ts")]
     both = answers.unionByName(timed.select("flow_id", "ts", F.struct(*names).alias("_flow")), allowMissingColumns=True)
 
