@@ -30,6 +30,7 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 #: Stands for no earlier row.
 NEVER = np.iinfo("int64").min
+NEVER_AGAIN = np.iinfo("int64").max
 
 
 def _latest_before(ts: np.ndarray, last: int | None) -> np.ndarray:
@@ -92,39 +93,43 @@ def stream_connections(packets: DataFrame, delay: str = "10 seconds") -> DataFra
 class Reevaluations(StatefulProcessor):
     """Statistics of an active flow at every whole interval after its start."""
 
-    columns = [*FLOW_KEY, "first_us", "eval_us", "packet_count", "byte_count"]
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "first_us long, last_us long, packets long, bytes long, next_us long")
 
-    def _advance(self, key, flow: list, until: int) -> list:
-        """Emit the evaluations before ``until``, at most up to expiry."""
-        first, last, packets, size, upcoming = flow
-        out = []
-        while upcoming < until and upcoming <= last + IDLE_US:
-            out.append((*key, first, upcoming, packets, size))
-            upcoming += REEVALUATE_US
-        flow[4] = upcoming
-        return out
+    def _told(self, key, flow: tuple, ts: np.ndarray, size: np.ndarray, until: int) -> tuple[tuple, pd.DataFrame]:
+        """The flow after further packets, and its evaluations before ``until``.
+
+        An evaluation sees the packets up to its own time.
+        """
+        first, last, packets, total, upcoming = flow
+        last = max(last, int(ts[-1])) if len(ts) else last
+        at = np.arange(upcoming, min(until, last + IDLE_US + 1), REEVALUATE_US)
+        seen, sums = np.searchsorted(ts, at, "right"), np.concatenate([[0], np.cumsum(size)])
+        told = pd.DataFrame(dict.fromkeys(FLOW_KEY, None) | {"first_us": first, "eval_us": at, "packet_count": packets + seen, "byte_count": total + sums[seen]})
+        for name, value in zip(FLOW_KEY, key):
+            told[name] = value
+        return (first, last, packets + len(ts), total + int(sums[-1]), upcoming + len(at) * REEVALUATE_US), told
 
     def handleInputRows(self, key, rows, timerValues):
-        flow = list(self.state.get()) if self.state.exists() else None
-        out = []
-        for row in _in_order(rows).to_dict("records"):
-            ts = int(row["ts_us"])
-            if flow is not None and ts - flow[1] >= IDLE_US:
-                out += self._advance(key, flow, flow[1] + IDLE_US + 1)
-                flow = None
+        rows = _in_order(rows)
+        ts, size = (rows[c].to_numpy().astype("int64") for c in ("ts_us", "length"))
+        flow = tuple(self.state.get()) if self.state.exists() else None
+        latest = _latest_before(ts, flow and flow[1])[:-1]
+        starts = np.flatnonzero((latest == NEVER) | (ts - latest >= IDLE_US))
+        for low, high in zip([0, *starts], [*starts, len(ts)]):
+            if high > low:
+                flow = flow or (int(ts[low]), int(ts[low]), 0, 0, int(ts[low]) + REEVALUATE_US)
             if flow is None:
-                flow = [ts, ts, 0, 0, ts + REEVALUATE_US]
-            out += self._advance(key, flow, ts)
-            flow = [flow[0], max(flow[1], ts), flow[2] + 1, flow[3] + int(row["length"]), flow[4]]
+                continue
+            ended = high < len(ts)
+            flow, told = self._told(key, flow, ts[low:high], size[low:high], NEVER_AGAIN if ended else int(ts[-1]))
+            yield told
+            flow = None if ended else flow
         self._wait(flow)
-        yield pd.DataFrame(out, columns=self.columns)
 
-    def _wait(self, flow: list) -> None:
-        self.state.update(tuple(flow))
+    def _wait(self, flow: tuple) -> None:
+        self.state.update(flow)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(flow[4] // 1000 + 1)
@@ -132,15 +137,15 @@ class Reevaluations(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.state.exists():
             return
-        flow = list(self.state.get())
+        nothing = np.zeros(0, "int64")
         # Nothing older than the watermark will arrive.
-        out = self._advance(key, flow, timerValues.getCurrentWatermarkInMs() * 1000)
+        flow, told = self._told(key, tuple(self.state.get()), nothing, nothing, timerValues.getCurrentWatermarkInMs() * 1000)
         if flow[4] > flow[1] + IDLE_US:
             self.state.clear()
         else:
-            self.state.update(tuple(flow))
+            self.state.update(flow)
             self.handle.registerTimer(flow[4] // 1000 + 1)
-        yield pd.DataFrame(out, columns=self.columns)
+        yield told
 
     def close(self) -> None:
         pass
@@ -226,15 +231,17 @@ class Cooldown(_Stateful):
     state_schema = "until_us long"
 
     def handleInputRows(self, key, rows, timerValues):
-        until = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for row in _in_order(rows).to_dict("records"):
-            ts = int(row["ts_us"])
-            if until is None or ts >= until:
-                until = ts + int(row["ttl_ms"]) * 1000
-                out.append((row["flow_id"], key[0], ts, until))
-        self._remember(until, until)
-        yield pd.DataFrame(out, columns=["flow_id", "remote_ip", "ts_us", "until_us"])
+        rows = _in_order(rows)
+        ts, until = rows["ts_us"].to_numpy().astype("int64"), rows["ts_us"].to_numpy().astype("int64") + rows["ttl_ms"].to_numpy().astype("int64") * 1000
+        free = self.state.get()[0] if self.state.exists() else NEVER
+        # From one accepted row straight to the first that is free again.
+        taken, row = [], int(np.searchsorted(ts, free))
+        while row < len(ts):
+            taken.append(row)
+            free = int(until[row])
+            row = max(row + 1, int(np.searchsorted(ts, free)))
+        self._remember(free, free)
+        yield pd.DataFrame({"flow_id": rows["flow_id"].to_numpy()[taken], "remote_ip": key[0], "ts_us": ts[taken], "until_us": until[taken]})
 
 
 def stream_cooldown(blocks: DataFrame, delay: str = "10 seconds") -> DataFrame:
