@@ -1037,3 +1037,63 @@ def _(spark, sf):
 @query("desired_blocks_bounded", f"SELECT * FROM ({build(_DESIRED)}) ORDER BY ttl_s DESC, ip LIMIT 5")
 def _(spark, sf):
     return audit.desired_blocks(A.enforcement_log(spark, sf), A.NOW_MS, limit=5)
+
+
+# -- stored tables, written and read back ---------------------------------------
+
+@query("score_burst_behavior", "WITH rich_flows AS (" + build("SELECT * REPLACE (last_us-first_us AS flow_age_us) FROM net_flows") + "), d3 AS (" + S.CTES["d3"]
+       + f") SELECT flow_id, {S.e6('score')} AS score_e6, {S.e6('conf')} AS confidence_e6, ['Low','Medium','High','Critical'][sev+1] AS severity, CAST(hits AS INTEGER) AS hits FROM d3")
+def _(spark, sf):
+    return finding_view(detectors.score_flow_behavior(net_flows(spark, sf), age_mode="active"), "FlowBehavior")
+
+
+def stored_versions(spark, sf):
+    """Verdict versions and findings as ``sinks`` stores them, in two appends, and then compacted."""
+    v, f_ = A.verdicts(spark, sf), A.findings(spark, sf)
+    own = v.select("verdict_id", decide.verdict_id().alias("_key"), "ts_ms")
+    keyed = v.withColumn("_key", decide.verdict_id()).withColumn("event", F.col("verdict_id")).withColumn("verdict_id", F.col("_key")).drop("_key")
+    listed = f_.join(own, "verdict_id").withColumn("verdict_id", F.col("_key")).drop("_key")
+    listed = listed.withColumn("evidence_json", text.evidence_json("evidence")).drop("evidence")
+    folder = work_folder(spark)
+    for part in (0, 1):
+        sinks.append(listed.filter(F.col("ts_ms") % 2 == part), f"{folder}/findings")
+        sinks.append(keyed.filter(F.col("ts_ms") % 2 == part), f"{folder}/verdicts")
+    sinks.compact(spark, f"{folder}/verdicts", f"{folder}/findings", f"{folder}/verdicts2", f"{folder}/findings2")
+    return f"{folder}/verdicts2", f"{folder}/findings2"
+
+
+_VKEY = "md5(a_ip || '|' || a_port || '|' || b_ip || '|' || b_port || '|' || protocol || '|' || verdict)"
+
+
+@query("stored_verdicts", f"SELECT {_VKEY} AS verdict_id, max(ts_ms) AS ts_ms, count(*) AS versions FROM verd GROUP BY 1")
+def _(spark, sf):
+    verdicts, _ = stored_versions(spark, sf)
+    kept = sinks.read_verdicts(spark, verdicts)
+    counted = A.verdicts(spark, sf).groupBy(decide.verdict_id().alias("verdict_id")).agg(F.count("*").alias("versions"))
+    return kept.select("verdict_id", "ts_ms").join(counted, "verdict_id")
+
+
+@query("stored_findings", f"""SELECT verdict_id, ts_ms, detector_id, any_value(ev_text) AS description FROM (
+  SELECT v.verdict_id, v.ts_ms, f.detector_id, f.ev_text, max(v.ts_ms) OVER (PARTITION BY v.verdict_id) AS newest
+  FROM (SELECT verdict_id AS event, {_VKEY} AS verdict_id, ts_ms FROM verd) v JOIN finds f ON f.verdict_id=v.event) WHERE ts_ms=newest GROUP BY ALL HAVING count(*)=1""")
+def _(spark, sf):
+    verdicts, findings = stored_versions(spark, sf)
+    kept = sinks.read_findings(spark, verdicts, findings)
+    # Two events of one verdict at one millisecond would be told apart by nothing.
+    v = A.verdicts(spark, sf).select(decide.verdict_id().alias("verdict_id"), "ts_ms").groupBy("verdict_id", "ts_ms").count().filter("count = 1")
+    return kept.join(v, ["verdict_id", "ts_ms"], "left_semi").select("verdict_id", "ts_ms", "detector_id", F.get("evidence", F.lit(0))["description"].alias("description"))
+
+
+@query("stream_replay", ORACLES["replay_rows"])
+def _(spark, sf):
+    """Every entry comes twice, and the log has a tenth of them already."""
+    n = F.substring("event_id", 2, 20).cast("bigint")
+    log = A.enforcement_log(spark, sf)
+    entries = log.select(
+        "event_id", "ts_ms", F.when(n % 5 == 0, 2).otherwise(1).alias("payload_version"),
+        F.when(n % 7 == 0, "{broken").otherwise(sinks.payload_json()).alias("payload"), (F.col("ts_ms") * 1000).alias("ts_us"))
+    folder = work_folder(spark)
+    sinks.write_enforcement(sinks.replay_rows(entries.filter(n % 10 == 1).drop("ts_us"))[0], f"{folder}/log")
+    twice = entries.unionByName(entries.withColumn("ts_us", F.col("ts_us") + 1_000_000))
+    sinks.replay_stream(replayed(spark, twice), f"{folder}/log", f"{folder}/dead", f"{folder}/checkpoint").awaitTermination()
+    return sinks.read_table(spark, f"{folder}/log").select("event_id", "ts_ms", "action", "ip_text", "ttl_ms", "reason", "detector", "error")

@@ -72,12 +72,23 @@ def _hits(*values: Column) -> Column:
     return add(*[F.when(v != f32(0), 1).otherwise(0) for v in values])
 
 
-def age_seconds() -> Column:
-    return F.col("flow_age_us") / F.lit(1e6)
+#: What a flow's age counts from its first packet to: its evaluation (which the
+#: idle time precedes), or its last packet.
+AGE_MODES = ("evaluation", "active")
 
 
-def packet_rate() -> Column:
-    return F.when(F.col("flow_age_us") > 0, F.col("packet_count") / age_seconds()).otherwise(F.lit(0.0))
+def age_us(mode: str = "evaluation") -> Column:
+    if mode not in AGE_MODES:
+        raise ValueError(f"age_mode is one of {', '.join(AGE_MODES)}, not {mode}")
+    return F.col("flow_age_us") if mode == "evaluation" else F.col("last_us") - F.col("first_us")
+
+
+def age_seconds(mode: str = "evaluation") -> Column:
+    return age_us(mode) / F.lit(1e6)
+
+
+def packet_rate(mode: str = "evaluation") -> Column:
+    return F.when(age_us(mode) > 0, F.col("packet_count") / age_seconds(mode)).otherwise(F.lit(0.0))
 
 
 def bytes_per_packet() -> Column:
@@ -184,11 +195,15 @@ def score_process(flows: DataFrame, use_remote: bool = False) -> DataFrame:
     ).drop("_path", "_base", "_safe", "_unknown", "_total", "_n", *[f"_e{i}" for i in range(1, 5)])
 
 
-def score_flow_behavior(flows: DataFrame) -> DataFrame:
-    """Traffic shape: rate, packet size, bulk, scan, burst, port mismatch."""
+def score_flow_behavior(flows: DataFrame, age_mode: str = "evaluation") -> DataFrame:
+    """Traffic shape: rate, packet size, bulk, scan, burst, port mismatch.
+
+    With the age at the evaluation a flow is never younger than its idle time,
+    so that a burst shows only with ``age_mode="active"``.
+    """
     packets, size, port = F.col("packet_count"), F.col("byte_count"), F.col("remote_port")
-    d = flows.withColumns({"_rate": packet_rate(), "_bpp": bytes_per_packet()})
-    rate, bpp, age = F.col("_rate"), F.col("_bpp"), age_seconds()
+    d = flows.withColumns({"_rate": packet_rate(age_mode), "_bpp": bytes_per_packet()})
+    rate, bpp, age = F.col("_rate"), F.col("_bpp"), age_seconds(age_mode)
     d = d.withColumns({
         "_e1": tiers((rate > 1000, 0.7), (rate > 500, 0.4), (rate > 100, 0.1)),
         "_e2": tiers(((bpp > 0) & (bpp < 20), 0.5), ((bpp > 1400) & ~port.isin(80, 443, 8443), 0.2)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tidewatch.operators.flows import flows, resolved_only
 from tidewatch.plans.lineage import stage
 
 
-def score_flows(flow_rows: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+def score_flows(flow_rows: DataFrame, excluded: DataFrame | list[DataFrame] | None = None, age_mode: str = "evaluation") -> DataFrame:
     """All six detectors over enriched flows of known direction.
 
     The five per-flow detectors are a projection of the flow table; the
@@ -26,15 +27,15 @@ def score_flows(flow_rows: DataFrame, excluded: DataFrame | None = None) -> Data
     known = resolved_only(flow_rows)
     counters = crossflow.crossflow_counters(known, crossflow.connections(known, excluded), excluded)
     scored = known
-    for score in (detectors.score_dns, detectors.score_process, detectors.score_flow_behavior,
-                  detectors.score_ip_reputation, detectors.score_dns_tunnel):
+    behavior = partial(detectors.score_flow_behavior, age_mode=age_mode)
+    for score in (detectors.score_dns, detectors.score_process, behavior, detectors.score_ip_reputation, detectors.score_dns_tunnel):
         scored = score(scored)
     return crossflow.score_cross_flow(crossflow.with_counters(scored, counters))
 
 
 def packet_verdicts(
     packets: DataFrame,
-    excluded: DataFrame | None = None,
+    excluded: DataFrame | list[DataFrame] | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     policy: Policy = Policy(),
     **dimensions: DataFrame,

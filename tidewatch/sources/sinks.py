@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.ip import ip_blob
-from tidewatch.operators.audit import latest_verdicts
-from tidewatch.operators.decide import verdict_id
-from tidewatch.schema import ENFORCEMENT, REPLAY_PAYLOAD
+from tidewatch.functions.text import evidence_json, parse_evidence
+from tidewatch.operators.audit import latest_findings, latest_verdicts
+from tidewatch.operators.decide import verdict_id, with_findings
+from tidewatch.plans.lineage import stage
+from tidewatch.schema import ENFORCEMENT, FINDING, REPLAY_PAYLOAD
 
 # Fixed value: the payload version this code can apply.
 PAYLOAD_VERSION = 1
@@ -66,12 +69,64 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame | None:
     return None if stored is None else latest_verdicts(stored)
 
 
+def finding_rows(decided: DataFrame, ts_ms=None) -> DataFrame:
+    """Rows of the findings table for the rows ``verdict_rows`` makes: each
+    detector's finding with the id and time of its verdict's version, and its
+    evidence as JSON text."""
+    stamp = F.call_function("div", F.col("eval_us"), F.lit(1000).cast("bigint")) if ts_ms is None else ts_ms
+    listed = with_findings(decided.filter("verdict <> 'Allow'")).select(
+        verdict_id().alias("verdict_id"), stamp.alias("ts_ms"), F.posexplode("findings").alias("ord", "f"))
+    told = [c for c in FINDING.fieldNames() if c != "evidence"]
+    return listed.select("verdict_id", "ts_ms", "ord", *[F.col(f"f.{c}") for c in told], evidence_json("f.evidence").alias("evidence_json"))
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """``findings`` carry ``verdict_id`` and the ``ts_ms`` of their verdict
     version, so readers keep only those of the latest version."""
     append(findings, path)
 
 
+def write_decided(decided: DataFrame, verdict_path: str, finding_path: str) -> None:
+    """A batch of decided flows into both tables.
+
+    Findings go first: a reader that sees a version of a verdict then also
+    finds what belongs to it, and findings without their verdict's version are
+    not read. A repeated batch appends equal rows, which readers take once.
+    """
+    append(finding_rows(decided), finding_path)
+    append(verdict_rows(decided), verdict_path)
+
+
+def current(verdicts: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The latest version of every verdict, and the findings of just that version, one a detector."""
+    newest = latest_verdicts(verdicts)
+    return newest, latest_findings(findings, newest).dropDuplicates(["verdict_id", "detector_id"])
+
+
+def read_findings(spark: SparkSession, verdict_path: str, finding_path: str) -> DataFrame | None:
+    """Findings of the stored verdicts' latest versions, their evidence parsed again."""
+    verdicts, findings = read_table(spark, verdict_path), read_table(spark, finding_path)
+    if verdicts is None or findings is None:
+        return None
+    kept = current(verdicts, findings)[1]
+    return kept.withColumn("evidence", parse_evidence("evidence_json")).drop("evidence_json")
+
+
+def compact(spark: SparkSession, verdict_path: str, finding_path: str, new_verdict_path: str, new_finding_path: str) -> None:
+    """Write both tables anew without superseded versions, days and files as ``append`` makes them.
+
+    What is read is fixed when the job begins; readers go over to the new
+    folders when both are written, and what was appended since is appended to
+    them again, which is harmless.
+    """
+    verdicts, findings = read_table(spark, verdict_path), read_table(spark, finding_path)
+    if verdicts is None or findings is None:
+        return
+    newest, kept = current(verdicts, findings)
+    append(kept.drop("dt"), new_finding_path)
+    append(newest.drop("dt"), new_verdict_path)
+
+
 def new_enforcement(events: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Events whose id is not stored yet, one row per id."""
     fresh = events.dropDuplicates(["event_id"])
@@ -154,6 +209,25 @@ def replay_events(entries: DataFrame, log_path: str, dead_letter_path: str) -> N
     append(retained, dead_letter_path)
 
 
+def replay_stream(
+    entries: DataFrame, log_path: str, dead_letter_path: str, checkpoint: str, delay: str = "10 minutes", every: str | None = None
+) -> StreamingQuery:
+    """Replay a stream of spooled entries (with ``ts``); an id leaves one row however often it comes.
+
+    Repeats within ``delay`` are dropped by their state, before they reach the
+    log; only for what is left are stored ids looked up, and of the log only
+    the id column of the entries' own days.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = stage(batch.drop("ts"))
+        replay_events(held, log_path, dead_letter_path)
+
+    fresh = entries.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    writer = fresh.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def payload_json() -> Column:
     """The spooled form of an enforcement row."""
     return F.to_json(F.struct(
