@@ -102,3 +102,22 @@ def test_cooldown(feed, drain):
     blocks = batch.drop("ts").withColumn("ttl_us", F.col("ttl_ms") * 1000)
     want = audit.cooldown(blocks, "remote_ip", "ts_us", "ttl_us", "flow_id").select("flow_id", F.col("until").alias("until_us"))
     assert as_set(drain(stateful.stream_cooldown(stream, "1 hour")), "flow_id", "until_us") == as_set(want, "flow_id", "until_us")
+
+
+def test_equal_keys_on_two_hosts(spark, feed, drain):
+    rows = [(*r, host) for r in packet_rows()[:-1] for host in ("a", "b") if host == "a" or r[0] % 3]
+    last = [(FAR, "10.0.0.9", 9, "8.8.8.8", 53, 17, 60, "10.0.0.9", "c")]
+    batch, stream = feed(rows + last, PACKET + ", host string")
+    want = flows.flows(batch, extra_keys=["host"]).filter(F.col("first_us") < FAR)
+    got = drain(windows.stream_flows(stream)).filter(F.col("first_us") < FAR)
+    columns = ["host", *FLOW_KEY, "flow_id", "first_us", "last_us", "packet_count", "byte_count"]
+    assert as_set(got, *columns) == as_set(want, *columns)
+    assert {r["host"] for r in got.collect()} == {"a", "b"}
+
+
+def test_connections_of_two_hosts(spark, feed, drain):
+    rows = [(*r, host) for r in packet_rows()[:-1] for host in ("a", "b") if host == "a" or r[0] % 3]
+    batch, stream = feed(rows + [(FAR, "10.0.0.9", 9, "8.8.8.8", 53, 17, 60, "10.0.0.9", "c")], PACKET + ", host string")
+    want = flows.flows(batch, extra_keys=["host"]).filter(F.col("first_us") < FAR)
+    got = drain(stateful.stream_connections(stream)).filter(F.col("first_us") < FAR)
+    assert as_set(got, "host", *FLOW_KEY, "first_us") == as_set(want, "host", *FLOW_KEY, "first_us")

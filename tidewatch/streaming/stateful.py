@@ -18,11 +18,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidewatch.functions.times import SECOND_US, with_ts_us
 from tidewatch.operators import crossflow as cf
 from tidewatch.operators.flows import IDLE_US, REEVALUATE_US, with_flow_key
+from tidewatch.plans.versions import shared_owner
 from tidewatch.schema import FLOW_KEY
 
 _KEY_TYPES = "a_ip string, a_port int, b_ip string, b_port int, protocol int"
 
 
+def _flow_key(packets: DataFrame) -> tuple[list[str], str]:
+    """Key columns of a flow, and their types; packets of several hosts have theirs as a part of it."""
+    host = shared_owner(packets)
+    return [*FLOW_KEY, *host], _KEY_TYPES + ", host string" * len(host)
+
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     rows = pd.concat(list(batches))
     return rows.sort_values(["ts_us", "flow_id"] if "flow_id" in rows else ["ts_us"], kind="stable")
@@ -66,33 +73,40 @@ class NewFlows(_Stateful):
     state_schema = "last_us long"
     keep_us = IDLE_US
 
+    def __init__(self, names: list[str]):
+        self.names = names
+
     def handleInputRows(self, key, rows, timerValues):
         rows = _in_order(rows)
         latest = _latest_before(rows["ts_us"].to_numpy(), self.state.get()[0] if self.state.exists() else None)
         fresh = (latest[:-1] == NEVER) | (rows["ts_us"].to_numpy() - latest[:-1] >= IDLE_US)
         self._remember(int(latest[-1]), int(latest[-1]))
         out = rows.loc[fresh, ["ts_us", "src_ip", "dst_ip", "local_ip"]].rename(columns={"ts_us": "first_us"})
-        for at, (name, value) in enumerate(zip(FLOW_KEY, key)):
+        for at, (name, value) in enumerate(zip(self.names, key)):
             out.insert(at, name, value)
         yield out
 
 
 def _keyed(packets: DataFrame, delay: str) -> DataFrame:
     rows = with_flow_key(with_ts_us(packets)).withWatermark("ts", delay)
-    return rows.select("ts", "ts_us", *FLOW_KEY, "src_ip", "dst_ip", "local_ip", "length")
+    return rows.select("ts", "ts_us", *_flow_key(packets)[0], "src_ip", "dst_ip", "local_ip", "length")
 
 
 def stream_connections(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """A row as soon as a flow's first packet arrives."""
-    return _keyed(packets, delay).groupBy(*FLOW_KEY).transformWithStateInPandas(
-        statefulProcessor=NewFlows(), outputMode="append", timeMode="eventTime",
-        outputStructType=f"{_KEY_TYPES}, first_us long, src_ip string, dst_ip string, local_ip string",
+    names, types = _flow_key(packets)
+    return _keyed(packets, delay).groupBy(*names).transformWithStateInPandas(
+        statefulProcessor=NewFlows(names), outputMode="append", timeMode="eventTime",
+        outputStructType=f"{types}, first_us long, src_ip string, dst_ip string, local_ip string",
     )
 
 
 class Reevaluations(StatefulProcessor):
     """Statistics of an active flow at every whole interval after its start."""
 
+    def __init__(self, names: list[str]):
+        self.names = names
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "first_us long, last_us long, packets long, bytes long, next_us long")
@@ -106,8 +120,8 @@ class Reevaluations(StatefulProcessor):
         last = max(last, int(ts[-1])) if len(ts) else last
         at = np.arange(upcoming, min(until, last + IDLE_US + 1), REEVALUATE_US)
         seen, sums = np.searchsorted(ts, at, "right"), np.concatenate([[0], np.cumsum(size)])
-        told = pd.DataFrame(dict.fromkeys(FLOW_KEY, None) | {"first_us": first, "eval_us": at, "packet_count": packets + seen, "byte_count": total + sums[seen]})
-        for name, value in zip(FLOW_KEY, key):
+        told = pd.DataFrame(dict.fromkeys(self.names, None) | {"first_us": first, "eval_us": at, "packet_count": packets + seen, "byte_count": total + sums[seen]})
+        for name, value in zip(self.names, key):
             told[name] = value
         return (first, last, packets + len(ts), total + int(sums[-1]), upcoming + len(at) * REEVALUATE_US), told
 
@@ -153,9 +167,10 @@ class Reevaluations(StatefulProcessor):
 
 def stream_reevaluate(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Rows of ``flows.reevaluate`` as the watermark passes them."""
-    return _keyed(packets, delay).groupBy(*FLOW_KEY).transformWithStateInPandas(
-        statefulProcessor=Reevaluations(), outputMode="append", timeMode="eventTime",
-        outputStructType=f"{_KEY_TYPES}, first_us long, eval_us long, packet_count long, byte_count long",
+    names, types = _flow_key(packets)
+    return _keyed(packets, delay).groupBy(*names).transformWithStateInPandas(
+        statefulProcessor=Reevaluations(names), outputMode="append", timeMode="eventTime",
+        outputStructType=f"{types}, first_us long, eval_us long, packet_count long, byte_count long",
     )
 
 
@@ -181,11 +196,12 @@ class RunningCounts(_Stateful):
 
 def stream_running_counts(connections: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Every connection with the session counts it produced."""
+    host = shared_owner(connections)
     rows = connections.withWatermark("ts", delay).select(
-        "ts", "ts_us", "flow_id", F.coalesce("pid", F.lit(0)).alias("pid"), "remote_ip",
+        "ts", "ts_us", "flow_id", *host, F.coalesce("pid", F.lit(0)).alias("pid"), "remote_ip",
         ((F.col("protocol") == 17) & (F.col("remote_port") == 53)).alias("is_dns"),
     )
-    return rows.groupBy("pid", "remote_ip").transformWithStateInPandas(
+    return rows.groupBy(*host, "pid", "remote_ip").transformWithStateInPandas(
         statefulProcessor=RunningCounts(), outputMode="append", timeMode="eventTime",
         outputStructType="flow_id string, scan_count long, dns_count long",
     )
@@ -220,8 +236,9 @@ class Beacons(_Stateful):
 
 def stream_beacon(connections: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Every connection with its endpoint's regularity in the last minute."""
-    rows = connections.withWatermark("ts", delay).select("ts", "ts_us", "flow_id", "remote_ip", "remote_port", "protocol")
-    return rows.groupBy("remote_ip", "remote_port", "protocol").transformWithStateInPandas(
+    host = shared_owner(connections)
+    rows = connections.withWatermark("ts", delay).select("ts", "ts_us", "flow_id", *host, "remote_ip", "remote_port", "protocol")
+    return rows.groupBy(*host, "remote_ip", "remote_port", "protocol").transformWithStateInPandas(
         statefulProcessor=Beacons(), outputMode="append", timeMode="eventTime",
         outputStructType="flow_id string, beacon_n long, beacon_mean_s double, beacon_cv double",
     )

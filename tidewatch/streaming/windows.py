@@ -1,7 +1,8 @@
 """Streaming operators built from Spark's own windows and aggregations.
 
 All take event-time ``ts`` and a watermark delay: rows later than it are
-dropped by Spark and show up in the query's progress metrics. Results are for
+dropped by Spark and show up in the query's progress metrics (``late.split_late``
+keeps them). Rows of several hosts carry ``host``, which is then part of keys. Results are for
 append mode.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.times import with_ts_us
 from tidewatch.operators.crossflow import DIVERSITY_S, WINDOW_S
 from tidewatch.operators.flows import describe, time_and_direction, with_flow_key
+from tidewatch.plans.versions import shared_owner
 from tidewatch.schema import FLOW_KEY
 
 # A session window merges rows exactly one gap apart; a flow ends at exactly
@@ -23,22 +25,24 @@ FLOW_GAP = "4 seconds 999999 microseconds"
 def stream_flows(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Flow sessions, each emitted once when the watermark passes its end."""
     keyed = with_flow_key(with_ts_us(packets)).withWatermark("ts", delay)
-    runs = keyed.groupBy(*FLOW_KEY, F.session_window("ts", FLOW_GAP)).agg(
+    keys = [*FLOW_KEY, *shared_owner(packets)]
+    runs = keyed.groupBy(*keys, F.session_window("ts", FLOW_GAP)).agg(
         F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("packet_count"),
         F.sum(F.col("length").cast("bigint")).alias("byte_count"), F.min(time_and_direction()).alias("_direction"),
         F.min("local_ip").alias("local_ip"),
     )
-    return describe(runs.drop("session_window"), FLOW_KEY)
+    return describe(runs.drop("session_window"), keys)
 
 
 def stream_scan_dns(connections: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Final connection and DNS counts per (pid, remote) session."""
     dns = (F.col("protocol") == 17) & (F.col("remote_port") == 53)
+    host = shared_owner(connections)
     return (
         connections.withWatermark("ts", delay)
-        .groupBy(F.coalesce("pid", F.lit(0)).alias("pid"), "remote_ip", F.session_window("ts", f"{WINDOW_S} seconds").alias("w"))
+        .groupBy(*host, F.coalesce("pid", F.lit(0)).alias("pid"), "remote_ip", F.session_window("ts", f"{WINDOW_S} seconds").alias("w"))
         .agg(F.count("*").alias("scan_count"), F.count_if(dns).alias("dns_count"))
-        .select("pid", "remote_ip", F.unix_micros("w.start").alias("first_us"), "scan_count", "dns_count")
+        .select(*host, "pid", "remote_ip", F.unix_micros("w.start").alias("first_us"), "scan_count", "dns_count")
     )
 
 
@@ -48,10 +52,11 @@ def stream_diversity(connections: DataFrame, delay: str = "10 seconds", slide: s
     The first aggregation reduces each (window, pid, remote) to one row; the
     second counts them.
     """
+    host = shared_owner(connections)
     per_remote = (
         connections.filter(F.col("pid").isNotNull()).withWatermark("ts", delay)
-        .groupBy(F.window("ts", f"{DIVERSITY_S} seconds", slide), "pid", "remote_ip").agg(F.count("*").alias("n"))
+        .groupBy(F.window("ts", f"{DIVERSITY_S} seconds", slide), *host, "pid", "remote_ip").agg(F.count("*").alias("n"))
     )
-    return per_remote.groupBy("window", "pid").agg(
+    return per_remote.groupBy("window", *host, "pid").agg(
         F.count("*").alias("distinct_ips"), F.sum("n").alias("pid_connections")
-    ).select("pid", F.unix_micros("window.end").alias("window_end_us"), "distinct_ips", "pid_connections")
+    ).select(*host, "pid", F.unix_micros("window.end").alias("window_end_us"), "distinct_ips", "pid_connections")
