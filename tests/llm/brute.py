@@ -160,3 +160,61 @@ def dialogues(rows):
         cost, audit, left = cheapest(pairs, faults)
         out.append((conv, gaps, *(faults.count(f) for f in (1, 2, 3)), illegal, cost, audit, hashlib.sha256("\n".join(left).encode()).hexdigest()))
     return out
+
+
+def mixed(data, seed=42):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def fingerprints(rows, densities, subsets, rarest, commonest):
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; distinct doc_ids, texts that have lexicon terms."""
+    import struct
+
+    whole = lambda x: struct.pack("<q", x)
+    low_ascii = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    terms = lambda t: {signed(mixed(w.encode())) for w in WORD.findall(t.translate(low_ascii))}
+    rows = sorted((d, t or "") for d, t in rows)
+    n = defaultdict(int)
+    for _, t in rows:
+        for x in terms(t):
+            n[x] += 1
+    known = {x for x, k in n.items() if max(2, rarest * len(rows)) <= k <= max(2, commonest * len(rows))}
+
+    def values(t):
+        found = []
+        for density in densities:
+            for _ in range(subsets):
+                k, value = len(found), 42
+                own = sorted(x for x in terms(t) & known if mixed(struct.pack("<i", k), mixed(whole(x))) >> 32 < int(density * 2**32))
+                for x in own:
+                    value = mixed(whole(x), value)
+                found.append(value if own else None)
+        return found
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        dense, hits, total = [], 0, 0
+        for k in range(0, len(a), subsets):
+            either = [(x, y) for x, y in zip(a[k : k + subsets], b[k : k + subsets]) if x is not None or y is not None]
+            equal = sum(x == y for x, y in either)
+            hits, total = hits + equal, total + len(either)
+            if 2 * len(either) >= subsets:
+                dense.append(equal / len(either))
+        return max(dense) if dense else hits / max(total, 1)
+
+    show = lambda v: ".".join("-" if x is None else f"{x:016x}" for x in v)
+    out = []
+    for k, (d, t) in enumerate(rows):
+        then = rows[(k + 1) % len(rows)][1]
+        need = len(t) // 4
+        edit = t[: len(t) - need] + then[:need]
+        a, b, c = values(t), values(edit), values(then)
+        out.append((d, len(t), hashlib.sha256(edit.encode()).hexdigest(), show(a), show(b), likeness(a, b), likeness(a, c)))
+    return out

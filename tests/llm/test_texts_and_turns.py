@@ -16,7 +16,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from test_llm import frame, texts
-from tidewatch.llm import bytepairs, dialogue, infill, queries
+from tidewatch.llm import bytepairs, dialogue, imatch, infill, queries
 
 
 def sha(text: str) -> str:
@@ -230,3 +230,22 @@ def test_dissection_does_not_depend_on_the_parts(text, doc_id, size):
     for name, part in infill.dissect(form, (made[k : k + size] for k in range(0, len(made), size))):
         found[name] = found.get(name, b"") + part
     assert b"".join(found.get(s, b"") for s in infill.SOURCE) == raw
+
+
+# 8
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    rng = random.Random(8)
+    common = [f"w{k}" for k in range(400)]
+    rows = [(3 * k - 20, " ".join(rng.choice(common) + rng.choice(["", "", "É", "."]) for _ in range(rng.randint(5, 25)))) for k in range(120)]
+    rows[7] = (rows[7][0], rows[6][1])
+    rows[9] = (rows[9][0], rows[8][1].upper().replace("É", "é"))
+    got = {r["doc_id"]: r for r in imatch.fingerprints(frame(spark, rows)).collect()}
+    for d, n_chars, sha256, own, edit, near, after in brute.fingerprints(rows, imatch.DENSITIES, imatch.SUBSETS, imatch.RAREST, imatch.COMMONEST):
+        r = got.pop(d)
+        assert (r["n_chars"], r["edited_sha256"]) == (n_chars, sha256)
+        if set(own) != set("-."):
+            assert r["fingerprint"] == own and set(edit) == set("-.") or r["edited_fingerprint"] == edit
+            assert r["near_edited"] == pytest.approx(near) and r["near_next"] == pytest.approx(after)
+    assert not got
