@@ -1097,3 +1097,26 @@ def _(spark, sf):
     twice = entries.unionByName(entries.withColumn("ts_us", F.col("ts_us") + 1_000_000))
     sinks.replay_stream(replayed(spark, twice), f"{folder}/log", f"{folder}/dead", f"{folder}/checkpoint").awaitTermination()
     return sinks.read_table(spark, f"{folder}/log").select("event_id", "ts_ms", "action", "ip_text", "ttl_ms", "reason", "detector", "error")
+
+
+def _entry(condition: str, description: str, detail: str | None = None) -> str:
+    told = f""" || ',"detail":"' || {detail} || '"'""" if detail else ""
+    return f"""CASE WHEN {condition} THEN '{{"description":"{description}"'{told} || '}}' END"""
+
+
+_EVIDENCE = ", ".join([
+    _entry(f"a_ip IN {S.inlist(detectors.IP_BLOCKLIST)}", "Source IP matches blocklist", "a_ip"),
+    _entry(f"b_ip IN {S.inlist(detectors.IP_BLOCKLIST)}", "Destination IP matches blocklist", "b_ip"),
+    _entry(f"a_ip IN {S.inlist(detectors.IP_ALLOWLIST)}", "Source IP is allowlisted", "a_ip"),
+    _entry(f"b_ip IN {S.inlist(detectors.IP_ALLOWLIST)}", "Destination IP is allowlisted", "b_ip"),
+    _entry(rfc1918("a_ip"), "Source IP is RFC1918 (local network)"), _entry(rfc1918("b_ip"), "Destination IP is RFC1918 (local network)"),
+])
+
+
+@query("evidence_json", f"SELECT flow_id, '[' || concat_ws(',', {_EVIDENCE}) || ']' AS evidence_json FROM net_flows")
+def _(spark, sf):
+    """What a detector says, in the form it is stored in."""
+    scored = detectors.score_ip_reputation(net_flows(spark, sf).withColumn("reputation_score", F.lit(None).cast("float")))
+    stored = scored.select("flow_id", text.evidence_json("rep_evidence").alias("evidence_json"))
+    # Read back and written again, it is the same.
+    return stored.select("flow_id", text.evidence_json(text.parse_evidence("evidence_json")).alias("evidence_json"))

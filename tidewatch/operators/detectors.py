@@ -17,7 +17,8 @@ from tidewatch.functions.f32 import add, by_count, evidence_list, f32, ladder, s
 from tidewatch.operators.domains import match_expr
 from tidewatch.schema import DETECTORS, SEVERITIES
 
-# List entries and path rules of the detectors.
+# List entries and path rules of the detectors, and in each of
+# them below its sub-scores, limits and evidence sentences.
 DNS_BLOCKLIST = ["malware.example.com", "c2server.evil.net", "phishing.scam.org"]
 DNS_ALLOWLIST = ["github.com", "google.com", "cloudflare.com", "amazonaws.com", "apple.com", "microsoft.com"]
 SUSPICIOUS_TLDS = ["xyz", "top", "club", "work", "click", "info", "buzz", "gq", "ml", "cf", "ga"]
