@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -290,6 +291,33 @@ def test_special_tokens_and_case():
         assert np.frombuffer(ids, "<u4").tolist() == encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_signs_and_marks():
+    ids = packing.Ids(queries.tokenizer())
+    caron, ring, both = "J\u030c j\u030c", "W\u030aY\u030a", "T\u0344."  # small letters combine with these marks, capitals don't
+    texts = [caron, ring, both, "ones***", "don't!'s a.'re,'LL", "f\xfcr\xf7\xb5. \xc9t\xe9=\u0338", "a.b@c-d's;<|x|>", "", " \n", "x" * 70 + "\xe9, " + "x" * 70, "1a,2.b", "K\u0323."]
+    for _ in range(2):  # learnt, and remembered
+        got = [np.frombuffer(x, "<u4").tolist() for x in ids.of([t.encode() for t in texts])]
+        assert got == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, ids.known)) <= packing.LONGEST and ids.bounds[-1] == len(ids.ids) and len(ids.bounds) == len(ids.known) + 1
+
+
+def test_new_words_are_encoded_together():
+    ids, texts = packing.Ids(queries.tokenizer()), []
+    tokenizer = ids.tokenizer
+
+    class Spy:
+        def encode_batch_fast(self, batch, **options):
+            texts.extend(batch)
+            return tokenizer.encode_batch_fast(batch, **options)
+
+    ids.tokenizer = Spy()
+    words = ["".join(x) for x in itertools.product("abcdefghij", repeat=3)]
+    text = " ".join(w + sign for w in words for sign in ("", ".", "***", ";"))
+    (got,) = ids.of([text.encode()])
+    assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(texts) <= 20
+
+
 # 7
 
 

@@ -13,8 +13,8 @@ doc_id is kept, further columns are ignored, an empty table gives an empty resul
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,17 +29,31 @@ CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers at most, and their longest.
 REMEMBERED, LONGEST = 500_000, 64
+#: Words that are encoded in one call, and in one text; bytes of texts whose words are looked up together.
+LEARNED, TOGETHER, PIECE = 20_000, 100, 1 << 22
 #: Rows of one length that are ranked together at most, on average.
 RANKED = 100_000
 
+#: What special tokens begin with; and in UTF-8 what the marks begin with that form a character with h, j, t, w or y, but not with H, J, T, W or Y.
+LEFT = (b"<|", b"\xcc", b"\xcd\x84")
+#: Lower-case letters of ASCII and Latin-1, in UTF-8: a word of them is one unit of the vocabulary, whatever its normalisation.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: The same by bytes; and the signs of ASCII, without the apostrophe and those that special tokens have.
+LETTER, SECOND, SIGN = np.zeros((3, 256), bool)
+LETTER[97:123] = True
+SECOND[0x9F:0xC0], SECOND[0xB7] = True, False
+SIGN[np.frombuffer(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~', np.uint8)] = True
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Ids(dict):
-    """Ids of each word as little-endian bytes.
+class Ids:
+    """Ids of the words of texts, as little-endian bytes a text.
 
     The vocabulary drops white space and ignores case, so that a word (a run without ASCII white space, ASCII letters in lower
-    case) has the same ids wherever it stands. A text in which a special token may stand is left as it is.
+    case) has the same ids wherever it stands. So has what follows a letter from a sign on, as no token reaches from letters to
+    signs. A text in which a special token or a mark that only small letters combine with may stand is left as it is. Each word of a batch is looked up once, and new words of
+    letters only, which are one unit each, are encoded together: their ids end where a token ends a word.
     """
 
     def __init__(self, path: str):
@@ -47,30 +61,79 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: True for each id that ends a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Word k of ``known`` has the ids from ``bounds[k]`` to ``bounds[k + 1]``."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        new = [w for w in set().union(*split) if w not in self]
-        # A full stop or comma after a letter is a token of its own.
-        ends = [w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122]
-        self._learn({w for w in new if not (len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122)} | {w[:-1] for w in ends} | {b".", b","})
-        for w in ends:
-            self[w] = self[w[:-1]] + self[w[-1:]]
-        found = [b"".join(map(self.__getitem__, words)) for words in split]
-        # Long words, and words made up of two, are not remembered.
-        for w in {w for w in new if len(w) > LONGEST}.union(ends):
-            del self[w]
-        return found
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, x in zip(part, encoded):
-                self[w] = array("I", x.ids).tobytes()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        words, first = split([x if any(a in x for a in LEFT) else x.lower() for x in texts])
+        found = words.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.known]
+        self._learn([w for w in new if len(w) <= LONGEST])
+        kept = len(self.known)
+        long = [w for w in new if len(w) > LONGEST]
+        self._learn(long)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
+        low, sizes = self.bounds[at], np.diff(self.bounds)[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(low - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        rows = (4 * ends[first]).tolist()
+        if long:  # not remembered
+            for w in long:
+                del self.known[w]
+            self.bounds = self.bounds[: kept + 1]
+            self.ids = self.ids[: self.bounds[-1]].copy()
+        return [ids[a:b] for a, b in zip(rows, rows[1:])]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            (plain if PLAIN(w) else other).append(w)
+        for low in range(0, len(plain), LEARNED):
+            part = plain[low : low + LEARNED]
+            ids = np.concatenate(self._encode([b" ".join(part[k : k + TOGETHER]) for k in range(0, len(part), TOGETHER)]))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self._add(part, ids, ends)
+            else:
+                other += part
+        for low in range(0, len(other), LEARNED):
+            part = other[low : low + LEARNED]
+            ids = self._encode(part)
+            self._add(part, np.concatenate(ids), np.cumsum([len(x) for x in ids]))
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    def _add(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.bounds = np.concatenate([self.bounds, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of the texts, cut where a sign follows a letter; ``first[r]`` to ``first[r + 1]`` are the words of text r."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
+    letter = LETTER[data]
+    letter[1:] |= SECOND[data[1:]] & (data[:-1] == 0xC3)
+    starts = np.zeros(len(data), bool)
+    starts[1:] = SIGN[data[1:]] & letter[:-1]
+    starts[K.words(data, offsets)[0]] = True
+    black = ~K.WHITE[data]
+    own, at = data[black], np.flatnonzero(starts[black])
+    buffers = [None, pa.py_buffer(np.append(at, len(own))), pa.py_buffer(own)]
+    return pa.Array.from_buffers(pa.large_binary(), len(at), buffers), np.searchsorted(np.flatnonzero(starts), offsets)
 
 
 @lru_cache(1)
@@ -83,7 +146,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: boo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_at(path)
-        for part in K.pieces(batches):
+        for part in K.pieces(batches, limit=PIECE):
             rows: list[list] = [[] for _ in range(6)]
             data, offsets = K.flat(part.column("text"))
             data, offsets = data.tobytes(), offsets.tolist()
