@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import comb
@@ -514,6 +515,46 @@ def test_classifier_learns_a_class_of_long_texts(spark):
     assert min(p[k] for k in range(40)) > 0.5 > max(p[100 + k] for k in range(40))
 
 
+def test_the_driver_does_not_train(spark, monkeypatch):
+    make = lambda k, words: " ".join(f"{words[(7 * k + j * j) % len(words)]}{j % 9}" for j in range(60 + k))
+    rows = [(k, make(k, ["fine", "prose", "reads"])) for k in range(30)] + [(100 + k, make(k, ["junk", "spam"])) for k in range(30)]
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, _ in rows], "doc_id long, quality int")
+    order = sorted(rows, key=lambda r: (r[0] < 100, r[0] * 0x9E3779B97F4A7C15 % 2**64))
+    want = quality.train([t for _, t in order], np.array([int(d < 100) for d, _ in order]))
+    monkeypatch.setattr(quality, "train", None)  # tasks have the module of their own process
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert (model.weights == want.weights).all() and (model.slope, model.offset) == (want.slope, want.offset)
+
+
+def test_training_holds_a_piece_of_the_text(monkeypatch):
+    texts = [" ".join(f"{'good' if k % 2 else 'bad'}{j % 50}" for j in range(4000)) for k in range(60)]
+    labels = np.arange(60) % 2
+    monkeypatch.setattr(quality, "BITS", 12)
+    monkeypatch.setattr(K, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    monkeypatch.setattr(K.pieces, "__defaults__", ("text", 1 << 16))
+    tracemalloc.start()
+    model = quality.train(texts, labels, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model is not None and peak < 10 * sum(map(len, texts))
+
+
+def test_groups_without_crowds_are_not_compared_across(spark, monkeypatch):
+    monkeypatch.setattr(near, "across", None)
+    text = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join([*text[:k], f"x{k}", *text[k:]])) for k in range(4)] + [(10, "other words in this text"), (11, None)]
+    got = near.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(brute.near(rows))
+
+
+def test_groups_are_joined_by_their_edges(spark):
+    frame_ = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split()))
+    tops = frame_([(1, 1), (5, 1), (2, 2), (8, 2), (3, 3), (9, 3)], "node top")
+    got = near.joined(tops, frame_([(2, 3), (4, 3), (7, 6)], "a b"))
+    assert dict(map(tuple, got.collect())) == {1: 1, 5: 1, 2: 2, 8: 2, 3: 2, 9: 2, 4: 2, 6: 6, 7: 6}
+    assert near.joined(tops, frame_([], "a b")) is tops
+
+
 def test_revisits_of_one_id_and_long_bodies(spark):
     head = lambda tag: {"ETag": tag}
     body = "b" * 3_000_000

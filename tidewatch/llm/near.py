@@ -152,7 +152,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     left, right = (members.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}")) for x in "ab")
     common = F.size(F.array_intersect("m_a", "m_b"))
     good = 100 * common >= percent * (F.size("m_a") + F.size("m_b") - common)
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(good).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(good).drop("m_a", "m_b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,6 +169,17 @@ def components(edges: DataFrame) -> DataFrame:
             return tops
 
 
+def joined(tops: DataFrame, edges: DataFrame) -> DataFrame:
+    """``tops`` when the groups (or classes without a group) that the edges (a, b) connect become one."""
+    edges = stage(edges)
+    if edges.isEmpty():
+        return tops
+    above = components(edges)
+    of_group = tops.join(above.select(F.col("node").alias("top"), F.col("top").alias("new")), "top", "left")
+    fresh = above.join(tops.select("node"), "node", "left_anti")
+    return stage(of_group.select("node", F.coalesce("new", "top").alias("top")).unionByName(fresh.select("node", "top")))
+
+
 def overlaps(node: np.ndarray, asks: np.ndarray, sets_: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows that ask, rows that are asked, and how many members each two have in common."""
     left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
@@ -251,10 +262,11 @@ def across(crowds: DataFrame, tops: DataFrame, classes: DataFrame, members: Data
     return dealt.groupBy("key", "i", "j").applyInArrow(lambda table: bridges(table, percent), "a long, b long").distinct()
 
 
-def apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
-    """Pairs of classes that aren't in one group yet."""
+def between(pairs: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs of classes that aren't in one group yet, with their groups."""
     left, right = (tops.select(F.col("node").alias(x), F.col("top").alias(f"top_{x}")) for x in "ab")
-    return pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b")
+    own = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
+    return own.withColumns({f"top_{x}": F.coalesce(f"top_{x}", x) for x in "ab"}).where("top_a != top_b")
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
@@ -268,10 +280,11 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: i
     members = stage(full_sets(docs, ends.distinct().join(classes.select("node", "doc_id"), "node"), width))
     sided = pairs.select(F.col("a").alias("node"), "a", "b", "same").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "same"))
     best = stage(sided.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
-    links = stage(confirmed(best, members, percent))
-    links = stage(links.unionByName(confirmed(apart(pairs, components(links)).join(best, ["a", "b"], "left_anti"), members, percent)))
-    tops = components(links)
-    tops = components(links.unionByName(across(crowds, tops, classes, members, percent)))
+    tops = components(confirmed(best, members, percent))
+    left = stage(between(pairs, tops).join(best, ["a", "b"], "left_anti"))
+    tops = joined(tops, confirmed(left, members, percent).select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
+    if not crowds.isEmpty():
+        tops = joined(tops, across(crowds, tops, classes, members, percent))
     of_class = classes.select("node", "doc_id").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
     least = of_class.groupBy("top").agg(F.min("doc_id").alias("component"))
     of_class = stage(of_class.select("node", "top").join(least, "top").select("node", "component"))

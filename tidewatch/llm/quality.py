@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules and a logistic regression over hashed word and character n-grams.
 
 The regression is fitted on at most ``sample`` labelled documents of each class (chosen by hash, none longer than
-``LONGEST`` characters unless the class has only such; a bound on the sample only), its probabilities are calibrated on a held-out third, and every
+``LONGEST`` characters unless the class has only such; a bound on the sample only), in one task; its probabilities are calibrated on a held-out third, and every
 document is scored in Arrow batches against a fixed threshold.
 
 A null or empty text has no words and so fails the base rules; a document without label is scored like any other; without
@@ -16,9 +16,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import kernels as K
+from tidewatch.plans.lineage import stage
 
 BITS = 18
 LONGEST = 20_000
@@ -66,20 +67,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.offset, -50, 50)))
 
 
+def _batches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of the texts, a piece at a time."""
+    for piece in K.pieces([pa.record_batch([pa.array(texts, pa.string())], ["text"])]):
+        yield K.flat(piece.column("text"))
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = 60) -> Model | None:
     """Fit on two thirds of the texts, calibrate on the rest; None without both classes in both parts."""
     part = np.arange(len(texts)) % 3 == 2
     if any(len(np.unique(labels[x])) < 2 for x in (part, ~part)):
         return None
-    data, offsets = K.flat(pa.array([x for x, held in zip(texts, part) if not held], pa.string()))
-    at, row, value = [], [], []
-    for ids, bounds in features(data, offsets):
-        pairs, counts = np.unique(K.rows_of(bounds).astype(np.int64) << BITS | ids.astype(np.int64), return_counts=True)
-        r = (pairs >> BITS).astype(np.int32)
-        at.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
-        row.append(r)
-        value.append((SCALE * counts / np.maximum(np.diff(bounds), 1)[r]).astype(np.float32))
-    at, row, value = map(np.concatenate, (at, row, value))
+    at, row, value = ([[] for _ in range(3)] for _ in range(3))  # of each family
+    done = 0
+    for data, offsets in _batches([x for x, held in zip(texts, part) if not held]):
+        for k, (ids, bounds) in enumerate(features(data, offsets)):
+            pairs, counts = np.unique(K.rows_of(bounds).astype(np.int64) << BITS | ids.astype(np.int64), return_counts=True)
+            r = (pairs >> BITS).astype(np.int32)
+            at[k].append((pairs & ((1 << BITS) - 1)).astype(np.int32))
+            row[k].append(r + np.int32(done))
+            value[k].append((SCALE * counts / np.maximum(np.diff(bounds), 1)[r]).astype(np.float32))
+        done += len(offsets) - 1
+    at, row, value = (np.concatenate([x for family in column for x in family]) for column in (at, row, value))
     goal = labels[~part].astype(float)
     share = np.where(goal == 1, 0.5 / goal.sum(), 0.5 / (len(goal) - goal.sum()))
     weights, first, second = (np.zeros(1 << BITS) for _ in range(3))
@@ -91,8 +100,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 60) -> Model | Non
         second = 0.99 * second + 0.01 * slope * slope
         weights -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
     model = Model(weights.astype(np.float32), 1.0, 0.0)
-    data, offsets = K.flat(pa.array([x for x, held in zip(texts, part) if held], pa.string()))
-    return _calibrated(model, model.margins(data, offsets), labels[part].astype(float))
+    margins = [model.margins(data, offsets) for data, offsets in _batches([x for x, held in zip(texts, part) if held])]
+    return _calibrated(model, np.concatenate(margins), labels[part].astype(float))
 
 
 def _calibrated(model: Model, margins: np.ndarray, goal: np.ndarray) -> Model:
@@ -108,27 +117,42 @@ def _calibrated(model: Model, margins: np.ndarray, goal: np.ndarray) -> Model:
     return Model(model.weights, float(max(b[0], 1e-3)), float(b[1]))
 
 
+def _trained(table: pa.Table) -> pa.Table:
+    """A row of the model that the sample gives, or none."""
+    quality, doc_id = (table.column(c).to_numpy() for c in ("quality", "doc_id"))
+    order = np.lexsort((doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), quality))
+    model = train(table.column("text").take(pa.array(order)).to_pylist(), quality[order])
+    rows = [(model.weights.tobytes(), model.slope, model.offset)] if model else []
+    kinds = (pa.binary(), pa.float64(), pa.float64())
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["weights", "slope", "offset"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 800) -> Model | None:
-    """Model from at most ``sample`` labelled documents a class; a document labelled both ways counts as bad."""
+    """Model from at most ``sample`` labelled documents a class; a document labelled both ways counts as bad.
+
+    A task trains it; the driver gets its weights only.
+    """
     one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     one = one.agg(F.min(F.col("quality").cast("int")).alias("quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    rows = _picked(texts.where(F.length("text") <= LONGEST), one, sample)
-    if len({r["quality"] for r in rows}) < 2:
+    picked = stage(_picked(texts.where(F.length("text") <= LONGEST), one, sample))
+    have = [r["quality"] for r in picked.select("quality").distinct().collect()]
+    if len(have) < 2:
         # A class has longer texts only (or none): any length will do for it.
-        missing = one.where(~F.col("quality").isin([r["quality"] for r in rows])) if rows else one
-        rows += _picked(texts, missing, sample)
-    rows.sort(key=lambda r: (r["quality"], r["doc_id"] * 0x9E3779B97F4A7C15 % 2**64))
-    return train([r["text"] for r in rows], np.array([r["quality"] for r in rows], int))
+        missing = one.where(~F.col("quality").isin(have)) if have else one
+        picked = picked.unionByName(_picked(texts, missing, sample))
+    found = picked.groupBy().applyInArrow(_trained, "weights binary, slope double, offset double").first()
+    return found and Model(np.frombuffer(found["weights"], np.float32), found["slope"], found["offset"])
 
 
-def _picked(texts: DataFrame, labels: DataFrame, sample: int) -> list[Row]:
-    """At most ``sample`` labelled texts of each class."""
+def _picked(texts: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """quality, doc_id, text: at most ``sample`` labelled texts of each class."""
     # Twice the sample, as some may have no document or too long a one; at most 4 x sample ids are broadcast.
     picked = [labels.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample) for k in (0, 1)]
     found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
     ranked = found.groupBy("quality", "doc_id").agg(F.min("text").alias("text"))
-    return [r for k in (0, 1) for r in ranked.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    each = [ranked.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    return each[0].unionByName(each[1])
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
