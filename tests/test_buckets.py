@@ -101,6 +101,35 @@ def test_silent_keys_are_forgotten_with_one_timer():
     assert handle.value is None and not handle.timers
 
 
+def plain_evaluations(times, until):
+    """All evaluations of one key's packets (time, size), as stated."""
+    runs = []
+    for t, size in times:
+        if runs and t - runs[-1][-1][0] < 5 * S:
+            runs[-1].append((t, size))
+        else:
+            runs.append([(t, size)])
+    told = []
+    for run_ in runs:
+        first, last = run_[0][0], run_[-1][0]
+        for at in range(first + S, min(until, last + 5 * S) + 1, S):
+            seen = [x for x in run_ if x[0] <= at]
+            told.append((first, at, len(seen), sum(x[1] for x in seen)))
+    return told
+
+
+def test_reevaluations_of_many_keys_over_batches():
+    rng = np.random.default_rng(5)
+    line = {f"k{k}": [(int(t), int(s)) for t, s in zip(np.cumsum(rng.integers(100_000, 6 * S, 40)) + 100 * S, rng.integers(1, 99, 40))] for k in range(9)}
+    flat = sorted((t, k, s) for k, own in line.items() for t, s in own)
+    parts = [flat[i * 60 : i * 60 + 60] for i in range(6)]
+    batches = [(packets([k for _, k, _ in p], [t for t, _, _ in p], [s for _, _, s in p]), p[0][0] - S) for p in parts]
+    made, handle = run(stateful.Reevaluations(NAMES), [*batches, (None, 10**9)])
+    got = sorted((r.a_ip, r.first_us, r.eval_us, r.packet_count, r.byte_count) for r in made.itertuples())
+    assert got == sorted((k, *x) for k, own in line.items() for x in plain_evaluations(own, 10**12))
+    assert handle.value is None and not handle.timers
+
+
 def test_rows_without_time_come_last_and_start_nothing():
     rows = packets(["a", "a", "b"], [None, 1 * S, None])
     line = Line(pd.DataFrame({c: pd.Series(dtype="int64") for c in [*NAMES, "last_us"]}), rows, NAMES)
