@@ -130,6 +130,20 @@ def test_reevaluations_of_many_keys_over_batches():
     assert handle.value is None and not handle.timers
 
 
+def test_running_counts_of_many_keys_over_batches():
+    rng = np.random.default_rng(6)
+    rows = sorted((int(t), f"f{i:03d}", int(p), bool(d)) for i, (t, p, d) in enumerate(zip(rng.integers(0, 600 * S, 300) // S * S, rng.integers(0, 12, 300), rng.integers(0, 2, 300))))
+    frame = lambda part: pd.DataFrame(part, columns=["ts_us", "flow_id", "pid", "is_dns"]).assign(remote_ip="r")
+    made, _ = run(stateful.RunningCounts(["pid", "remote_ip"]), [(frame(rows[i : i + 100]).sample(frac=1, random_state=i), rows[i][0] - S) for i in (0, 100, 200)])
+    want, state = {}, {}
+    for t, i, p, d in rows:
+        last, n, dns = state.get(p, (None, 0, 0))
+        n, dns = (0, 0) if last is None or t - last > 60 * S else (n, dns)
+        state[p] = (t, n + 1, dns + d)
+        want[i] = (n + 1, dns + d)
+    assert {r.flow_id: (r.scan_count, r.dns_count) for r in made.itertuples()} == want
+
+
 def test_rows_without_time_come_last_and_start_nothing():
     rows = packets(["a", "a", "b"], [None, 1 * S, None])
     line = Line(pd.DataFrame({c: pd.Series(dtype="int64") for c in [*NAMES, "last_us"]}), rows, NAMES)
