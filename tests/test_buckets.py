@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from tidewatch.streaming import stateful
+from tidewatch.streaming import counters, stateful
 from tidewatch.streaming.buckets import Line, ordered, packed, unpacked
 
 S = 1_000_000
@@ -155,6 +155,23 @@ def test_ties_are_ordered_by_id():
     assert ordered(code, ts, pd.Series(["b", "z", "a", "c", "y"])).tolist() == [3, 2, 0, 4, 1]
 
 
+def test_counters_hold_rows_packed():
+    n = 120_000
+    rows = pd.DataFrame({
+        "key": [f"{k % 700}" for k in range(n)], "ts_us": np.arange(n) * 1000, "event": np.arange(n) % 2 == 0, "scans": 1, "dns": 0,
+        "remote": [f"10.0.0.{k % 90}" if k % 2 == 0 else None for k in range(n)], "flow_id": [None if k % 2 == 0 else f"f{k}" for k in range(n)], "side": None,
+    })
+    made, handle = run(counters.Counters(), [(rows, 0)], (counters.SPREAD,))
+    assert not len(made) and len(handle.items) == 3 and sum(len(x[0]) for x in handle.items) < 20 * n
+    made, handle = run(counters.Counters(), [(rows, 0), (None, 10**9)], (counters.SPREAD,))
+    assert sorted(made["flow_id"]) == sorted(rows["flow_id"].dropna())
+    own = rows[rows["key"] == "1"]
+    at = int(own["ts_us"].max())
+    seen = rows[rows["event"] & (rows["key"] == "1") & (rows["ts_us"] <= at) & (rows["ts_us"] >= at - 10 * S)]
+    told = made[made["flow_id"] == f"f{at // 1000}"].iloc[0]
+    assert (told["distinct_ips"], told["pid_connections"]) == (seen["remote"].nunique(), len(seen))
+
+
 def test_packed_tables_come_back():
     rows = pa.table({"a": [1, None], "b": ["x", None]})
     assert unpacked(packed(rows)).equals(rows)
