@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
-from tidewatch.streaming import counters, stateful
+from tidewatch.streaming import counters, stateful, windows
 from tidewatch.streaming.buckets import Line, ordered, packed, unpacked
 
 S = 1_000_000
@@ -175,3 +176,30 @@ def test_counters_hold_rows_packed():
 def test_packed_tables_come_back():
     rows = pa.table({"a": [1, None], "b": ["x", None]})
     assert unpacked(packed(rows)).equals(rows)
+
+
+def test_sliding_diversity_tells_each_window_once_and_leaves_out_what_is_late():
+    rows = pd.DataFrame({"pid": [1, 1, 1, 2], "remote_ip": ["a", "b", "a", "c"], "ts_us": [int(0.2 * S), int(0.9 * S), 4 * S, 3 * S]})
+    late = pd.DataFrame({"pid": [1, 1], "remote_ip": ["z", "a"], "ts_us": [2 * S, 30 * S]})
+    made, handle = run(windows.Sliding(["pid"], 10 * S, S), [(rows, 5 * S), (late, 6 * S), (None, 100 * S)])
+    got = {(r.pid, r.window_end_us // S): (r.distinct_ips, r.pid_connections) for r in made.itertuples()}
+    assert len(got) == len(made)
+    want = {}
+    events = [(1, "a", 0.2), (1, "b", 0.9), (1, "a", 4), (2, "c", 3), (1, "z", 2), (1, "a", 30)]
+    for end in range(1, 41):
+        for pid in (1, 2):
+            inside = [r for p, r, t in events if p == pid and end - 10 <= t < end and not (r == "z" and end <= 5)]
+            if inside:
+                want[pid, end] = (len(set(inside)), len(inside))
+    assert got == want and not len(unpacked(handle.value[1])) and not handle.timers
+
+
+@pytest.mark.parametrize("end", [0, 1])
+def test_sliding_diversity_over_batches(end):
+    rng = np.random.default_rng(7 + end)
+    rows = pd.DataFrame({"pid": rng.integers(0, 5, 400), "remote_ip": [f"r{x}" for x in rng.integers(0, 8, 400)], "ts_us": np.sort(rng.integers(0, 90 * S, 400))})
+    parts = [rows.iloc[i : i + 100] for i in range(0, 400, 100)]
+    made, _ = run(windows.Sliding(["pid"], 10 * S, S), [*[(p, int(p["ts_us"].min()) - end * S) for p in parts], (None, 10**9)])
+    wide = pd.concat([rows.assign(window_end_us=(rows["ts_us"] // S + k) * S) for k in range(1, 11)]).groupby(["pid", "window_end_us"])
+    want = pd.DataFrame({"d": wide["remote_ip"].nunique(), "n": wide.size()}).reset_index()
+    assert sorted(map(tuple, made[["pid", "window_end_us", "distinct_ips", "pid_connections"]].to_numpy())) == sorted(map(tuple, want.to_numpy()))
