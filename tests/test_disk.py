@@ -6,10 +6,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text
-from tidewatch.operators import crossflow
+from tidewatch.operators import crossflow, enrich
 from tidewatch.plans import lineage
 
 
+def test_addresses_are_looked_up_in_shares(spark, monkeypatch):
+    nets = spark.createDataFrame([("93.0.0.0/8", "AA", 1), ("93.184.0.0/16", "BB", None), ("2001:db8::/32", "CC", 3), ("93.184.216.0/24", None, 4)], "network string, country_code string, asn long")
+    wanted = spark.createDataFrame([(f"93.{k % 200}.{k % 7 + 214}.{k % 250}",) for k in range(600)] + [("2001:db8::7",), (None,), ("8.8.8.8",)], "ip string")
+    show = lambda df: sorted(map(tuple, df.select("ip", "country_code", "asn").collect()), key=str)
+    whole, staged = show(enrich.geo_lookup(wanted, nets, nets)), []
+    monkeypatch.setattr(enrich, "in_shares", lambda *a, f=enrich.in_shares: f(*a, prefixes=500))
+    monkeypatch.setattr(enrich, "stage", lambda df, f=lineage.stage: staged.append(f(df)) or staged[-1])
+    assert show(enrich.geo_lookup(wanted, nets, nets)) == whole and len(whole) > 500
+    assert len(staged) > 3 and max(df.count() for df in staged[2:]) < 300
+
+
 def test_ids_come_back_from_bytes(spark):
     ids = ["0123456789abcdef0123456789abcdef", "0123456789ABCDEF0123456789abcdef", "f0001", "", None, "\u00e9\u20ac", "x" * 16]
     df = spark.createDataFrame([(i,) for i in ids], "id string").withColumn("b", text.compact_id("id"))
